@@ -20,25 +20,20 @@ from vitalgauge.session import small_table
 _WHOLE = quoted(("BYTE", "SHORT", "INT", "LONG"))
 _REAL = quoted(("FLOAT", "DOUBLE"))
 _NON_FINITE = quoted(("NaN", "Infinity", "-Infinity"))
-_DEFS = (
-    "array<struct<field:string,type:string,unit:string,indexed:boolean,allowed:array<string>>>"
-)
+_DEFS = "map<string,struct<type:string,unit:string,indexed:boolean,allowed:array<string>>>"
 
 
 def definitions_by_event(df: DataFrame) -> DataFrame:
     """Registry folded to one row per event; at most as many rows as there are known events."""
-    grouped = defaultdict(list)
+    grouped = defaultdict(dict)
     for f in catalog.registry():
-        grouped[(f.module, f.name)].append(
-            {
-                "field": f.field,
-                "type": f.type,
-                "unit": f.unit,
-                "indexed": f.indexed,
-                "allowed": list(f.allowed) if f.type != "boolean" else [],
-            }
-        )
-    rows = [(module, name, defs) for (module, name), defs in grouped.items()]
+        grouped[(f.module, f.name)][f.field] = {
+            "type": f.type,
+            "unit": f.unit,
+            "indexed": f.indexed,
+            "allowed": list(f.allowed) if f.type != "boolean" else [],
+        }
+    rows = [(module, name, list(defs.items())) for (module, name), defs in grouped.items()]
     return small_table(df.sparkSession, rows, f"module string, name string, defs {_DEFS}")
 
 
@@ -59,15 +54,15 @@ _IS_TEXT = (
     f"(x.wire NOT IN ('BOOLEAN', 'NULL') AND x.wire NOT IN {_WHOLE} AND NOT {_IS_REAL})"
 )
 _DOUBLE = parse_double("x.raw")
-# First pass over the definitions: fetch the raw value and its wire type.
+# First pass over the sent fields that are registered: definition, raw value and wire type.
 _FETCH = (
-    "transform(defs, d -> named_struct('d', d, 'sent', map_contains_key(fields, d.field), 'raw',"
-    " try_element_at(fields, d.field), 'wire',"
-    " coalesce(try_element_at(field_types, d.field), 'STRING')))"
+    "transform(filter(map_entries(fields), e -> map_contains_key(defs, e.key)), e ->"
+    " named_struct('field', e.key, 'd', try_element_at(defs, e.key), 'raw', e.value, 'wire',"
+    " coalesce(try_element_at(field_types, e.key), 'STRING')))"
 )
 # Second pass: the typed reading; at most the one of the registered type is not null.
 _TYPE = (
-    "transform(fetched, x -> named_struct('d', x.d, 'sent', x.sent,"
+    "transform(fetched, x -> named_struct('field', x.field, 'd', x.d,"
     f" 'i', CASE WHEN x.d.type <> 'integer' OR x.wire = 'BOOLEAN' OR x.raw IS NULL THEN NULL"
     f" WHEN {_IS_REAL} THEN if({_DOUBLE} = floor({_DOUBLE}) AND abs({_DOUBLE}) <"
     f" 9.223372036854775e18D, cast({_DOUBLE} AS bigint), NULL) ELSE {parse_integer('x.raw')} END,"
@@ -82,9 +77,8 @@ def _state(event_ms: str) -> str:
     # Third pass: one state per field, from the typed reading.
     number = "coalesce(cast(y.i AS double), y.n)"
     return (
-        "transform(typed, y -> named_struct('field', y.d.field, 'indexed', y.d.indexed,"
-        f" 'state', CASE WHEN NOT y.sent THEN '{C.MISSING}'"
-        f" WHEN coalesce(cast(y.i AS string), cast(y.n AS string), cast(y.b AS string), y.s)"
+        "transform(typed, y -> named_struct('field', y.field, 'indexed', y.d.indexed,"
+        f" 'state', CASE WHEN coalesce(cast(y.i AS string), cast(y.n AS string), cast(y.b AS string), y.s)"
         f" IS NULL THEN '{C.INVALID}'"
         " WHEN size(y.d.allowed) > 0 AND NOT array_contains(y.d.allowed,"
         f" coalesce(cast(y.i AS string), y.s)) THEN '{C.UNKNOWN}'"
@@ -109,7 +103,7 @@ def normalize_fields(events: DataFrame, timestamp: str = "timestamp") -> DataFra
     defs = F.broadcast(definitions_by_event(events))
     return (
         events.join(defs, ["module", "name"], "left")
-        .withColumn("defs", F.expr(f"coalesce(defs, cast(array() AS {_DEFS}))"))
+        .withColumn("defs", F.expr(f"coalesce(defs, cast(map() AS {_DEFS}))"))
         .withColumn("fetched", F.expr(_FETCH))
         .withColumn("typed", F.expr(_TYPE))
         .withColumn("observed", F.expr(_state(timestamp)))
@@ -119,11 +113,12 @@ def normalize_fields(events: DataFrame, timestamp: str = "timestamp") -> DataFra
             _pick("n", "nums"),
             _pick("b", "bools"),
             _pick("s", "strs"),
-            "map_from_entries(transform(observed, o -> struct(o.field, o.state))) AS field_states",
+            "map_from_entries(concat(transform(observed, o -> struct(o.field AS f, o.state AS s)),"
+            " transform(filter(map_keys(defs), d -> NOT map_contains_key(fields, d)),"
+            f" d -> struct(d AS f, '{C.MISSING}' AS s)))) AS field_states",
             f"transform(filter(observed, o -> o.indexed AND o.state = '{C.AVAILABLE}'),"
             " o -> o.field) AS indexed_fields",
-            "size(array_except(map_keys(fields), transform(defs, d -> d.field)))"
-            " AS unknown_field_count",
+            "cast(size(fields) - size(observed) AS int) AS unknown_field_count",
         )
     )
 

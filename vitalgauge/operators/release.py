@@ -1,9 +1,9 @@
 """Release health: identity-gated counts, installations, sessions and SDK quality per release.
 
-Two aggregates over one filtered scan feed every metric: plain conditional counts per release, and
-distinct entities (installations, sessions, fingerprints) folded to one flag word per entity before
-they are counted. Both combine on the map side, so one dominating release or installation never
-gathers in a task.
+One filtered scan feeds every metric. Each row is reduced to a flag word and expands to its event
+class and the entities it names (installation, session, fingerprint). Entities fold to one flag word
+per key before they are counted, and that fold combines on the map side, so one dominating release
+or installation never gathers in a task.
 """
 
 from __future__ import annotations
@@ -32,10 +32,60 @@ class Window:
     min_sdk_coverage: float = C.MIN_SDK_COVERAGE
 
 
+# Facts about one row, each a bit of its flag word.
+FLAGS = {
+    "eligible": "eligible",
+    "incident": f"eligible AND family IN {E.LIVE}",
+    "identified": "eligible AND installation_hmac IS NOT NULL",
+    "fingerprint": "incident_fingerprint IS NOT NULL",
+    "java": "family = 'JAVA_CRASH'",
+    "native": "family = 'NATIVE_CRASH'",
+    "tombstone": "family = 'NATIVE_TOMBSTONE'",
+    "anr": "family = 'ANR'",
+    "late": "is_late",
+    "sdk": "eligible AND family = 'SDK_HEALTH'",
+    "sdk_valid": "sdk_valid",
+    "sdk_dropped": "sdk_dropped",
+    "sdk_healthy": "eligible AND family = 'SDK_HEALTH' AND sdk_valid",
+    "runtime": f"eligible AND family NOT IN {E.HISTORICAL}",
+    "known_session": f"eligible AND family NOT IN {E.HISTORICAL} AND session_hmac IS NOT NULL"
+    f" AND session_identity_quality <=> '{C.OCCURRENCE_BOUND}'",
+    "session_start": "session_start",
+}
+_BIT = {name: 1 << i for i, name in enumerate(FLAGS)}
+
+
+def flagged(*names: str, without: str | None = None) -> str:
+    """SQL test that the flag word carries all the names, and not ``without``."""
+    wanted = sum(_BIT[name] for name in names)
+    tested = wanted + (_BIT[without] if without else 0)
+    return f"(flags & {tested} = {wanted})"
+
+
+# Event counts of a release; ``declared`` is every row.
+EVENT_COUNTS = {
+    "eligible": flagged("eligible"),
+    "java": flagged("eligible", "java"),
+    "native": flagged("eligible", "native"),
+    "tombstone": flagged("eligible", "tombstone"),
+    "anr": flagged("eligible", "anr"),
+    "incidents": flagged("incident"),
+    "incidents_identified": flagged("incident", "identified"),
+    "fingerprinted": flagged("incident", "fingerprint"),
+    "identified": flagged("identified"),
+    "late": flagged("eligible", "late"),
+    "sdk_rows": flagged("sdk"),
+    "sdk_invalid": flagged("sdk", without="sdk_valid"),
+    "sdk_drops": flagged("sdk", "sdk_dropped"),
+    "runtime": flagged("runtime"),
+    "known_sessions": flagged("known_session"),
+}
+
+
 def release_rows(
     inbox: DataFrame, scope: Scope, window: Window, releases: tuple[str, ...]
 ) -> DataFrame:
-    """Scoped rows of the named releases with the flags all release aggregates share."""
+    """Scoped rows of the named releases, reduced to a flag word and the identity columns."""
     rows = scope_window_filter(inbox, scope, window.from_ms, window.to_ms).filter(
         F.col("app_version").isin(*releases)
     )
@@ -52,15 +102,17 @@ def release_rows(
         f"{E.SESSION_START} AS session_start",
         f"{E.SDK_VALID} AS sdk_valid",
         f"{E.SDK_DROPPED} AS sdk_dropped",
-        f"{E.RATE} AS sdk_rate",
+        f"{E.RATE} AS rate",
         f"{E.late(window.late_after_ms)} AS is_late",
     ).selectExpr(
-        "*",
-        f"eligible AND family IN {E.LIVE} AS incident",
-        f"eligible AND family NOT IN {E.HISTORICAL} AS runtime",
-        "eligible AND family = 'SDK_HEALTH' AS sdk",
-        f"eligible AND family NOT IN {E.HISTORICAL} AND session_hmac IS NOT NULL"
-        f" AND session_identity_quality <=> '{C.OCCURRENCE_BOUND}' AS known_session",
+        "app_version",
+        "installation_hmac",
+        "installation_hmac_key_version",
+        "session_hmac",
+        "session_hmac_key_version",
+        "incident_fingerprint",
+        "if(eligible AND family = 'SDK_HEALTH', rate, NULL) AS sdk_rate",
+        " + ".join(f"if({FLAGS[name]}, {bit}, 0)" for name, bit in _BIT.items()) + " AS flags",
     )
 
 
@@ -71,7 +123,7 @@ def _with_releases(df: DataFrame, releases: tuple[str, ...]) -> DataFrame:
     return joined.na.fill(0, [c for c, kind in df.dtypes if kind == "bigint"])
 
 
-def _counts(**conditions: str) -> list[str]:
+def _counts(conditions: dict[str, str]) -> list[str]:
     return [f"count_if({condition}) AS {name}" for name, condition in conditions.items()]
 
 
@@ -81,84 +133,87 @@ def _aggregate(df: DataFrame, keys: tuple[str, ...], aggregates: list[str]) -> D
 
 def release_counts(rows: DataFrame, releases: tuple[str, ...]) -> DataFrame:
     """Event counts per release: declared, eligible, incidents, identity and SDK evidence."""
-    counts = _counts(
-        eligible="eligible",
-        java="eligible AND family = 'JAVA_CRASH'",
-        native="eligible AND family = 'NATIVE_CRASH'",
-        tombstone="eligible AND family = 'NATIVE_TOMBSTONE'",
-        anr="eligible AND family = 'ANR'",
-        incidents="incident",
-        incidents_identified="incident AND installation_hmac IS NOT NULL",
-        fingerprinted="incident AND incident_fingerprint IS NOT NULL",
-        identified="eligible AND installation_hmac IS NOT NULL",
-        late="eligible AND is_late",
-        sdk_rows="sdk",
-        sdk_invalid="sdk AND NOT sdk_valid",
-        sdk_drops="sdk AND sdk_dropped",
-        runtime="runtime",
-        known_sessions="known_session",
-    )
     aggregates = [
         "count(*) AS declared",
-        "max(if(sdk, sdk_rate, NULL)) AS sdk_worst_rate",
-        *counts,
+        "max(sdk_rate) AS sdk_worst_rate",
+        *_counts(EVENT_COUNTS),
     ]
     return _with_releases(_aggregate(rows, ("app_version",), aggregates), releases)
 
 
-# Bits of the flag word kept per entity.
-_FLAGS = (
-    "if(incident, 1, 0) + if(sdk AND sdk_valid, 2, 0) + if(session_start, 4, 0)"
-    " + if(family IN ('JAVA_CRASH', 'NATIVE_CRASH'), 8, 0) + if(family = 'ANR', 16, 0)"
-)
-_ENTITIES = (
-    "explode(array_compact(array("
-    "if(installation_hmac IS NOT NULL, named_struct('kind', 'installation', 'key',"
-    " installation_hmac, 'version', installation_hmac_key_version), NULL),"
-    "if(known_session, named_struct('kind', 'session', 'key', session_hmac, 'version',"
-    " session_hmac_key_version), NULL),"
-    "if(incident AND incident_fingerprint <> '', named_struct('kind', 'fingerprint', 'key',"
-    " incident_fingerprint, 'version', cast(NULL AS string)), NULL)))) AS e"
-)
+def _entity(kind: str, condition: str, key: str) -> str:
+    return f"if({condition}, named_struct('kind', '{kind}', 'key', {key}), NULL)"
 
 
-def release_entities(rows: DataFrame, releases: tuple[str, ...]) -> DataFrame:
-    """Distinct installations, sessions and fingerprints per release from one exploded pass."""
-    exploded = (
-        rows.filter("eligible")
-        .selectExpr("app_version", f"{_FLAGS} AS flags", _ENTITIES)
-        .selectExpr("app_version", "flags", "e.*")
+# What one row contributes to: its event class, and the entities it names. Event classes are flag
+# words, so there are few of them and they collapse on the map side.
+_ENTITIES = ", ".join(
+    (
+        _entity("event", "true", "cast(flags AS string)"),
+        _entity("installation", flagged("identified"), "installation_hmac"),
+        _entity("epoch", flagged("identified"), "coalesce(installation_hmac_key_version, '')"),
+        _entity(
+            "session",
+            flagged("known_session"),
+            "concat(coalesce(session_hmac_key_version, ''), '/', session_hmac)",
+        ),
+        _entity(
+            "session_epoch", flagged("known_session"), "coalesce(session_hmac_key_version, '')"
+        ),
+        _entity(
+            "fingerprint",
+            f"{flagged('incident', 'fingerprint')} AND incident_fingerprint <> ''",
+            "incident_fingerprint",
+        ),
     )
-    # An installation counts once per release even under two key versions; a session per version.
-    merged = _aggregate(
-        exploded.withColumn("epoch", F.expr("if(kind = 'session', version, NULL)")),
-        ("app_version", "kind", "key", "epoch"),
-        [
-            "bit_or(flags) AS flags",
-            "min(version) AS low",
-            "max(version) AS high",
-            "bool_or(version IS NULL) AS unversioned",
-        ],
+)
+
+
+def release_measures(rows: DataFrame, releases: tuple[str, ...]) -> DataFrame:
+    """All counts and distinct counts per release from one scan.
+
+    Every row expands to its event class and entities; the first aggregate folds them by key (with
+    a partial aggregate before the shuffle), the second counts keys per release.
+    """
+    entities = rows.selectExpr(
+        "app_version", "flags", "sdk_rate", f"inline(array_compact(array({_ENTITIES})))"
     )
-    counts = _counts(
-        active="kind = 'installation'",
-        affected="kind = 'installation' AND flags & 1 > 0",
-        sdk_installations="kind = 'installation' AND flags & 2 > 0",
-        fingerprints="kind = 'fingerprint'",
-        sessions_started="kind = 'session' AND flags & 4 > 0",
-        sessions_unstarted="kind = 'session' AND flags & 4 = 0",
-        sessions_crashed="kind = 'session' AND flags & 4 > 0 AND flags & 8 > 0",
-        sessions_anr="kind = 'session' AND flags & 4 > 0 AND flags & 16 > 0",
+    folded = _aggregate(
+        entities,
+        ("app_version", "kind", "key"),
+        ["count(*) AS n", "bit_or(flags) AS flags", "max(sdk_rate) AS sdk_rate"],
     )
-    aggregates = [
-        *counts,
-        "min(if(kind = 'session', coalesce(epoch, ''), NULL)) AS session_epoch_low",
-        "max(if(kind = 'session', coalesce(epoch, ''), NULL)) AS session_epoch_high",
-        "bool_or(kind = 'installation' AND unversioned) AS unversioned",
-        "min(if(kind = 'installation', low, NULL)) AS epoch_low",
-        "max(if(kind = 'installation', high, NULL)) AS epoch_high",
+    started = f"kind = 'session' AND {flagged('session_start')}"
+    crashed = f"({flagged('java')} OR {flagged('native')})"
+    distinct = {
+        "active": "kind = 'installation'",
+        "affected": f"kind = 'installation' AND {flagged('incident')}",
+        "sdk_installations": f"kind = 'installation' AND {flagged('sdk_healthy')}",
+        "fingerprints": "kind = 'fingerprint'",
+        "sessions_started": started,
+        "sessions_unstarted": f"kind = 'session' AND NOT {flagged('session_start')}",
+        "sessions_crashed": f"{started} AND {crashed}",
+        "sessions_anr": f"{started} AND {flagged('anr')}",
+        "session_epochs": "kind = 'session_epoch'",
+    }
+    events = [
+        f"sum(if(kind = 'event' AND {condition}, n, 0)) AS {name}"
+        for name, condition in {"declared": "true", **EVENT_COUNTS}.items()
     ]
-    return _with_releases(_aggregate(merged, ("app_version",), aggregates), releases)
+    return _with_releases(
+        _aggregate(
+            folded,
+            ("app_version",),
+            [
+                *events,
+                *_counts(distinct),
+                "max(if(kind = 'event', sdk_rate, NULL)) AS sdk_worst_rate",
+                # A key ring holds at most 16 versions, so the set stays small.
+                "collect_set(if(kind = 'epoch', key, NULL)) AS epochs",
+            ],
+        ),
+        releases,
+    )
 
 
 QUALITY = ladder(
@@ -331,7 +386,7 @@ def session_metric(failed: str, to_ms: int) -> str:
         ("declared = 0", lit(C.NO_DATA), "NULL"),
         ("known_sessions = 0", lit(C.UNAVAILABLE), lit(C.SESSION_REASON)),
         (
-            "session_epoch_low <> session_epoch_high",
+            "session_epochs > 1",
             lit(C.UNAVAILABLE),
             lit("SESSION_KEY_ROTATION_BREAKS_CONTINUITY"),
         ),
@@ -384,11 +439,9 @@ def release_slices(rows: DataFrame, window: Window, releases: tuple[str, ...]) -
     gates, native and tombstone counts take the replaced one, and all four keep the old reason.
     """
     to_ms = window.to_ms
-    base = identity_coverage(
-        with_quality(release_counts(rows, releases)).join(
-            release_entities(rows, releases), "app_version"
-        )
-    ).selectExpr("*", f"{sdk_drop_metric(to_ms)} AS sdk_drop_rate")
+    base = identity_coverage(with_quality(release_measures(rows, releases))).selectExpr(
+        "*", f"{sdk_drop_metric(to_ms)} AS sdk_drop_rate"
+    )
     gates = (
         (f"quality <> '{C.PRESENT}'", "quality", "quality_reason"),
         (
@@ -438,22 +491,21 @@ def release_slices(rows: DataFrame, window: Window, releases: tuple[str, ...]) -
         "declared - eligible AS excluded_non_occurrence_count",
         "release_identity_coverage",
         "installation_identity_coverage",
-        "unversioned",
-        "epoch_low",
-        "epoch_high",
+        "epochs",
         *[f"{sql[name]} AS {name}" for name in METRICS],
     )
 
 
+_EPOCHS = "array_distinct(flatten(collect_list(epochs)))"
 _CONTINUITY = ladder(
-    ("coalesce(bool_or(unversioned), false)", lit("INSTALLATION_HMAC_VERSION_MISSING")),
-    ("min(epoch_low) <> max(epoch_high)", lit("INSTALLATION_HMAC_CONTINUITY_BREAK")),
+    (f"array_contains({_EPOCHS}, '')", lit("INSTALLATION_HMAC_VERSION_MISSING")),
+    (f"size({_EPOCHS}) > 1", lit("INSTALLATION_HMAC_CONTINUITY_BREAK")),
 )
 
 
-def hmac_continuity(entities: DataFrame) -> DataFrame:
+def hmac_continuity(measures: DataFrame) -> DataFrame:
     """One row: why installation counts of the compared releases cannot be joined, or null."""
-    return entities.agg(F.expr(_CONTINUITY).alias("reason"))
+    return measures.agg(F.expr(_CONTINUITY).alias("reason"))
 
 
 def release_health(
@@ -550,15 +602,15 @@ def release_incident_trend(
     for role in ("new", "baseline"):
         mine = f"role = '{role}'"
         counts += _counts(
-            **{
+            {
                 f"{role}_declared": mine,
                 f"{role}_eligible": f"{mine} AND eligible",
                 f"{role}_seen": f"{mine} AND eligible AND family IN {E.INCIDENTS}",
-            },
-            **{
+            }
+            | {
                 f"{role}_{name}": f"{mine} AND eligible AND family = '{family}'"
                 for name, family in _TREND_FAMILIES.items()
-            },
+            }
         )
         out += [
             f"if({role}_eligible > 0, {role}_{name}, NULL) AS {role}_{name}"

@@ -269,7 +269,7 @@ def _(spark, sf):
 def _(spark, sf):
     releases = (T.NEW, "3.0.0")
     rows = R.release_rows(T.inbox(spark, sf), T.SCOPE, WINDOW, releases)
-    return R.hmac_continuity(R.release_entities(rows, releases))
+    return R.hmac_continuity(R.release_measures(rows, releases))
 
 
 def _trend_columns() -> str:
