@@ -75,7 +75,7 @@ def fingerprint_native(events: DataFrame) -> DataFrame:
     )
     canonical = (
         f"""concat('{{"family":"', family, '","frames":', {frames}, ',"signal":',"""
-        f" {signal_json}, '}')"
+        f" {signal_json}, '}}')"
     )
     return (
         events.withColumn("family", F.expr(FAMILY))
