@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from vitalgauge.plans import registry
 
-MODULES = ("scan_queries", "release_queries", "performance_queries")
+MODULES = ("scan_queries", "release_queries", "performance_queries", "signal_queries")
 
 
 def _utc(fn):

@@ -113,7 +113,7 @@ PROBE = (
 @query(
     "check_unit_bounds",
     T.duck_cte() + f", p AS (SELECT id, cast({PROBE} AS double) AS probe, {UNIT_CASE} AS unit,"
-    " occurrence_timestamp_ms AS ts FROM t) SELECT id, unit, round(probe, 6) AS probe,"
+    " occurrence_timestamp_ms AS ts FROM t) SELECT id, unit, probe,"
     " CASE unit WHEN 'events' THEN probe >= 0 WHEN 'ms' THEN probe >= 0 WHEN 'ratio' THEN"
     " probe >= 0 AND probe <= 1 WHEN '%' THEN probe >= 0 AND probe <= 100 WHEN 'ratio_delta'"
     " THEN probe >= -1 AND probe <= 1 WHEN 'ms_epoch' THEN probe > 0 AND probe <= ts + 600000"
@@ -125,7 +125,7 @@ def _(spark, sf):
         "occurrence_timestamp_ms",
     )
     checked = N.check_unit_bounds(probes, "probe", "unit", "occurrence_timestamp_ms")
-    return rounded(checked.select("id", "unit", "probe", "in_bounds"))
+    return checked.select("id", "unit", "probe", "in_bounds")
 
 
 @query(
