@@ -46,19 +46,27 @@ def parse_integer(text: str) -> str:
     return f"if({text} rlike {raw(CANONICAL_INTEGER)}, try_cast({text} AS bigint), NULL)"
 
 
-def json_text(value: str) -> str:
-    """Compact JSON with lower-case control escapes, so hashes do not depend on the writer."""
-    out = f"to_json({value})"
+def json_string(text: str) -> str:
+    """One JSON string literal, or null."""
+    return f"trim(BOTH '[]' FROM to_json(array({text})))"
+
+
+def lower_escapes(column: str) -> str:
+    """JSON text of a column with lower-case control escapes, so hashes do not depend on the writer.
+
+    Text without such an escape, which is nearly all of it, is returned as it is.
+    """
+    out = column
     for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F", "7F"):
         # An escaped backslash before the letter u is text, not an escape.
         pattern = raw(rf"(?<!\\)((?:\\\\)*)\\u00{code}")
         out = f"regexp_replace({out}, {pattern}, {raw(rf'$1\\u00{code.lower()}')})"
-    return out
+    return f"if(contains({column}, r'\u00'), {out}, {column})"
 
 
-def json_string(text: str) -> str:
-    """One JSON string literal."""
-    return f"regexp_replace({json_text(f'array({text})')}, {raw(r'^\[|\]$')}, '')"
+def untrimmed(text: str) -> str:
+    """True when the text starts or ends with Unicode white space."""
+    return f"{text} rlike {raw(f'^{_SPACE}|{_SPACE}$')}"
 
 
 def basename(path: str) -> str:

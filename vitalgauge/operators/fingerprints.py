@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgauge.functions.events import FAMILY
-from vitalgauge.functions.text import basename, json_string, json_text, lines, raw, strip
+from vitalgauge.functions.text import basename, json_string, lines, lower_escapes, raw, strip
 
 MAX_LINES = 256
 _FRAME = raw(r"#\d+\s+pc\s+([0-9a-fA-F]+)\s+(\S+)(.*)")
@@ -39,11 +39,9 @@ def fingerprint_java_anr(events: DataFrame) -> DataFrame:
     return (
         events.withColumn("evidence", F.expr(evidence))
         .withColumn("kept_lines", F.expr(kept))
-        .withColumn(
-            "stack_fingerprint",
-            F.expr(f"if(size(kept_lines) > 0, sha2({json_text('kept_lines')}, 256), NULL)"),
-        )
-        .drop("evidence", "kept_lines")
+        .withColumn("canonical", F.expr("if(size(kept_lines) > 0, to_json(kept_lines), NULL)"))
+        .withColumn("stack_fingerprint", F.expr(f"sha2({lower_escapes('canonical')}, 256)"))
+        .drop("evidence", "kept_lines", "canonical")
     )
 
 
@@ -59,14 +57,14 @@ def fingerprint_native(events: DataFrame) -> DataFrame:
         f" {_FRAME}), line -> array({pc}, {basename(f'regexp_extract(line, {_FRAME}, 2)')},"
         f" {strip(f'regexp_extract(line, {_FRAME}, 3)')}))"
     )
-    frames = f"if(size(parsed_frames) > 0, {json_text('parsed_frames')}, NULL)"
+    frames = "if(size(parsed_frames) > 0, to_json(parsed_frames), NULL)"
     if "native_frames" in events.columns:
         typed = (
             "transform(native_frames, f -> named_struct('abi', f.abi, 'module_build_id',"
             " f.module_build_id, 'module_name', f.module_name, 'module_relative_pc',"
             " f.module_relative_pc))"
         )
-        frames = f"if(size(native_frames) > 0, {json_text(typed)}, {frames})"
+        frames = f"if(size(native_frames) > 0, to_json({typed}), {frames})"
     signal = _field("signal")
     signal_json = (
         f"CASE WHEN {signal} IS NULL THEN 'null' WHEN coalesce(try_element_at(field_types,"
@@ -85,12 +83,11 @@ def fingerprint_native(events: DataFrame) -> DataFrame:
         )
         .withColumn("parsed_frames", F.expr(parsed))
         .withColumn(
-            "native_fingerprint",
-            F.expr(
-                f"if(family IN ('NATIVE_CRASH', 'NATIVE_TOMBSTONE'), sha2({canonical}, 256), NULL)"
-            ),
+            "canonical",
+            F.expr(f"if(family IN ('NATIVE_CRASH', 'NATIVE_TOMBSTONE'), {canonical}, NULL)"),
         )
-        .drop("family", "backtrace", "parsed_frames")
+        .withColumn("native_fingerprint", F.expr(f"sha2({lower_escapes('canonical')}, 256)"))
+        .drop("family", "backtrace", "parsed_frames", "canonical")
     )
 
 

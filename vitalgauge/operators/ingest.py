@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from vitalgauge import constants as C
 from vitalgauge.functions.events import quoted
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.functions.text import CANONICAL_INTEGER, json_string, json_text, parse_double, raw
-from vitalgauge.functions.text import strip
+from vitalgauge.functions.text import (
+    CANONICAL_INTEGER,
+    json_string,
+    lower_escapes,
+    parse_double,
+    raw,
+    untrimmed,
+)
 
 KINDS = quoted(("METRIC", "ALERT", "FILE"))
 SEVERITIES = quoted(("DEBUG", "INFO", "WARN", "ERROR", "FATAL"))
@@ -113,7 +119,7 @@ def _bounded(column: str, limit: int = C.MAX_IDENTIFIER_BYTES) -> str:
 
 
 def _trimmed(column: str) -> str:
-    return f"({_bounded(column)} AND {column} = {strip(column)})"
+    return f"({_bounded(column)} AND NOT {untrimmed(column)})"
 
 
 def _map_error(column: str) -> str:
@@ -233,7 +239,7 @@ def canonical_json(has_occurrence: bool) -> str:
         )
         fields = ", ".join(f"'{k}', occurrence.{k}" for k in keys)
         parts["occurrence"] = (
-            f"if(occurrence IS NULL, 'null', {json_text(f'named_struct({fields})')})"
+            f"if(occurrence IS NULL, 'null', to_json(named_struct({fields})))"
         )
     body = ", ',', ".join(f"""'"{key}":', {sql}""" for key, sql in parts.items())
     return f"concat('{{', {body}, '}}')"
@@ -243,6 +249,7 @@ def canonical_payload_hash(events: DataFrame) -> DataFrame:
     """Add ``payload_sha256`` and ``payload_size_bytes`` of the canonical JSON."""
     return (
         events.withColumn("_json", F.expr(canonical_json("occurrence" in events.columns)))
+        .withColumn("_json", F.expr(lower_escapes("_json")))
         .selectExpr(
             *events.columns,
             "sha2(_json, 256) AS payload_sha256",
@@ -259,15 +266,17 @@ def event_size_limit(hashed: DataFrame, limit: int = C.MAX_EVENT_JSON_BYTES) ->
 def reject_invalid_batches(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split into accepted events and quarantined batches; one bad event rejects its batch.
 
-    Only the bad events are aggregated, so a sound batch costs one anti join.
+    The aggregate combines on the map side to one row per batch. It tests the error inside the
+    aggregate: a filter on it would be pushed below the validation and repeat its expressions.
     """
+    broken = "error_code IS NOT NULL"
     bad = (
-        events.filter("error_code IS NOT NULL")
-        .groupBy("batch_id")
+        events.groupBy("batch_id")
         .agg(
-            F.min("event_index").alias("first_bad_index"),
-            F.min_by("error_code", "event_index").alias("batch_error"),
+            F.expr(f"min(event_index) FILTER (WHERE {broken}) AS first_bad_index"),
+            F.expr(f"min_by(error_code, event_index) FILTER (WHERE {broken}) AS batch_error"),
         )
+        .filter("first_bad_index IS NOT NULL")
     )
     accepted = events.join(bad, "batch_id", "left_anti")
     return accepted, events.join(bad, "batch_id")

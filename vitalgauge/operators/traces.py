@@ -15,38 +15,54 @@ BROKEN = ("INVALID_PARENT", "CYCLE", "DUPLICATE_ID", "AMBIGUOUS_PARENT")
 _NODE = ["trace_id", "span_id"]
 
 
-def _hex_id(field: str, digits: int) -> str:
-    text = f"try_element_at(fields, '{field}')"
+# Raw field -> column holding its text; looked up once per row.
+_SENT = {
+    "traceId": "raw_trace",
+    "spanId": "raw_span",
+    "parentSpanId": "raw_parent",
+    "duration_ms": "raw_duration",
+    "startTimestampMs": "raw_start",
+    "endTimestampMs": "raw_end",
+    "spanSchemaVersion": "raw_version",
+    "status": "raw_status",
+}
+
+
+def _with_text(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "*", *[f"try_element_at(fields, '{f}') AS {name}" for f, name in _SENT.items()]
+    )
+
+
+def _hex_id(text: str, digits: int) -> str:
     return (
         f"if({text} rlike '^[0-9a-fA-F]{{{digits}}}$' AND {text} rlike '[^0]', lower({text}), NULL)"
     )
 
 
-def _integer(field: str) -> str:
+def _integer(text: str) -> str:
     # Canonical non-negative text of at most 20 digits, bounded by the nanosecond range.
-    text = f"try_element_at(fields, '{field}')"
     number = f"try_cast({text} AS bigint)"
     return (
-        f"if({text} rlike '^(0|[1-9][0-9]*)$' AND length({text}) <= 20"
-        f" AND {number} <= {C.MAX_SPAN_MILLIS}, {number}, NULL)"
+        f"if({text} rlike '^(0|[1-9][0-9]{{0,19}})$' AND {number} <= {C.MAX_SPAN_MILLIS},"
+        f" {number}, NULL)"
     )
 
 
 def parse_spans(rows: DataFrame, late_after_ms: int = C.LATE_AFTER_MS) -> DataFrame:
     """Spans of valid trace events; bad timing is a state, a bad identity drops the row."""
-    read = rows.filter("module = 'trace' AND kind = 'METRIC'").selectExpr(
+    read = _with_text(rows.filter("module = 'trace' AND kind = 'METRIC'")).selectExpr(
         "event_id",
-        f"{_hex_id('traceId', 32)} AS trace_id",
-        f"{_hex_id('spanId', 16)} AS span_id",
-        f"{_hex_id('parentSpanId', 16)} AS parent_span_id",
-        "try_element_at(fields, 'parentSpanId') IS NOT NULL AS parent_sent",
+        f"{_hex_id('raw_trace', 32)} AS trace_id",
+        f"{_hex_id('raw_span', 16)} AS span_id",
+        f"{_hex_id('raw_parent', 16)} AS parent_span_id",
+        "raw_parent IS NOT NULL AS parent_sent",
         "coalesce(name, '') AS name",
-        "if(try_element_at(fields, 'status') IN ('OK', 'ERROR'),"
-        " try_element_at(fields, 'status'), 'UNKNOWN') AS status",
-        f"{_integer('duration_ms')} AS duration_ms",
-        f"{_integer('startTimestampMs')} AS sent_start",
-        f"{_integer('endTimestampMs')} AS sent_end",
-        f"coalesce({_integer('spanSchemaVersion')} = 2, false) AS timed",
+        "if(raw_status IN ('OK', 'ERROR'), raw_status, 'UNKNOWN') AS status",
+        f"{_integer('raw_duration')} AS duration_ms",
+        f"{_integer('raw_start')} AS sent_start",
+        f"{_integer('raw_end')} AS sent_end",
+        f"coalesce({_integer('raw_version')} = 2, false) AS timed",
         "cast(size(filter(map_keys(fields), f -> startswith(f, 'attr_'))) AS int)"
         " AS custom_attribute_count",
         "occurrence_timestamp_ms",
@@ -104,10 +120,10 @@ def load_spans(
 def span_row_counts(rows: DataFrame) -> DataFrame:
     """Usable, invalid and expired trace rows; expired rows are not judged."""
     ok = (
-        f"kind = 'METRIC' AND {_hex_id('traceId', 32)} IS NOT NULL"
-        f" AND {_hex_id('spanId', 16)} IS NOT NULL"
+        f"kind = 'METRIC' AND {_hex_id('raw_trace', 32)} IS NOT NULL"
+        f" AND {_hex_id('raw_span', 16)} IS NOT NULL"
     )
-    return load_spans(rows).agg(
+    return _with_text(load_spans(rows)).agg(
         F.expr(f"count_if(raw_pruned_ms IS NULL AND {ok}) AS sample_count"),
         F.expr(f"count_if(raw_pruned_ms IS NULL AND NOT ({ok})) AS invalid_span_count"),
         F.expr("count_if(raw_pruned_ms IS NOT NULL) AS expired_span_count"),
@@ -155,14 +171,14 @@ def detect_span_cycles(nodes: DataFrame) -> DataFrame:
     return active.select(*_NODE)
 
 
-def classify_span_relations(spans: DataFrame) -> DataFrame:
-    """Add ``relation_state``.
+def classify_span_relations(spans: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Add ``relation_state``; ``nodes`` are the ``span_nodes`` when the caller has them already.
 
     Relations are decided on unique span ids and joined back, so copies of one span or many
     children of one parent never meet as pairs.
     """
     ensure_checkpoint_dir(spans.sparkSession)
-    nodes = span_nodes(spans).checkpoint()
+    nodes = span_nodes(spans).checkpoint() if nodes is None else nodes
     cyclic = detect_span_cycles(nodes).withColumn("cyclic", F.lit(True))
     parents = nodes.select(
         "trace_id",
@@ -281,24 +297,21 @@ def trace_detail(classified: DataFrame, trace_id: str) -> DataFrame:
 MAX_DEPTH = 8
 
 
-def trace_waterfall(classified: DataFrame) -> DataFrame:
+def trace_waterfall(spans: DataFrame) -> DataFrame:
     """Offset and width of every timed span in per cent of its trace, and its depth (at most 8).
 
     Depth walks unique parents only. Three pointer doublings cover eight levels; each starts from a
     reliable checkpoint, so the plan does not double with the pointers.
     """
-    ensure_checkpoint_dir(classified.sparkSession)
+    ensure_checkpoint_dir(spans.sparkSession)
+    nodes = span_nodes(spans).checkpoint()
+    classified = classify_span_relations(spans, nodes)
     timed = f"timing_state = '{C.AVAILABLE}'"
-    bounds = classified.groupBy("trace_id").agg(
+    bounds = spans.groupBy("trace_id").agg(
         F.expr(f"min(if({timed}, start_ms, NULL)) AS trace_start"),
         F.expr(f"max(if({timed}, end_ms, NULL)) AS trace_end"),
     )
-    unique = (
-        span_nodes(classified)
-        .filter("copies = 1")
-        .select(*_NODE, "parent_span_id")
-        .checkpoint()
-    )
+    unique = nodes.filter("copies = 1").select(*_NODE, "parent_span_id")
     known = unique.select("trace_id", F.col("span_id").alias("parent_span_id"))
     hops = (
         unique.join(known, ["trace_id", "parent_span_id"], "left_semi")

@@ -8,7 +8,14 @@ from pyspark.sql import SparkSession
 
 from vitalgauge.plans import registry
 
-MODULES = ("scan_queries", "release_queries", "performance_queries", "signal_queries")
+MODULES = (
+    "scan_queries",
+    "release_queries",
+    "performance_queries",
+    "signal_queries",
+    "ingest_queries",
+    "operation_queries",
+)
 
 
 def _utc(fn):

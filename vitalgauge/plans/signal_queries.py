@@ -220,7 +220,7 @@ def _(spark, sf):
     " c.trace_id AND deep.span_id = c.span_id",
 )
 def _(spark, sf):
-    return rounded(TR.trace_waterfall(classified(spark, sf)))
+    return rounded(TR.trace_waterfall(spans(spark, sf)))
 
 
 # rule_id, tenant, metric, comparison, threshold, min_samples, window_s, release, channel, silence
