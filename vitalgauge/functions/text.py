@@ -61,7 +61,7 @@ def lower_escapes(column: str) -> str:
         # An escaped backslash before the letter u is text, not an escape.
         pattern = raw(rf"(?<!\\)((?:\\\\)*)\\u00{code}")
         out = f"regexp_replace({out}, {pattern}, {raw(rf'$1\\u00{code.lower()}')})"
-    return f"if(contains({column}, r'\u00'), {out}, {column})"
+    return f"if(contains({column}, r'\\u00'), {out}, {column})"
 
 
 def untrimmed(text: str) -> str:
