@@ -532,16 +532,10 @@ def _(spark, sf):
 @query("admit_quota")
 def _(spark, sf):
     """Every event is a batch of k events; one key sends a third of them."""
-    batches = T.telemetry(spark, sf).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('key-', user_id % 5) END AS key_id",
-        "occurrence_timestamp_ms - occurrence_timestamp_ms % 3600000 + k * 500 AS received_ms",
-        "event_id AS batch_id",
-        "cast(k AS bigint) AS event_count",
-    )
-    limits = batches.select("key_id").distinct().selectExpr(
-        "key_id", "3L AS requests_per_minute", "120L AS events_per_minute"
-    )
-    return IN.admit_quota(batches, limits)
+    from vitalgauge.plans.streaming_queries import quota_batches, quota_limits
+
+    batches = quota_batches(spark, sf)
+    return IN.admit_quota(batches, quota_limits(batches))
 
 
 @query(

@@ -15,6 +15,7 @@ MODULES = (
     "signal_queries",
     "ingest_queries",
     "operation_queries",
+    "streaming_queries",
 )
 
 

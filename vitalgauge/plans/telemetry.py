@@ -180,14 +180,15 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-@lru_cache(maxsize=8)
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inbox rows with raw sender fields in a ``fields`` map (the plan object is kept, no data)."""
-    base = raw_events(spark, sf_dir).selectExpr(*SPARK_BASE)
+def map_events(events: DataFrame) -> DataFrame:
+    """Inbox rows with raw sender fields in a ``fields`` map, from batch or streaming events."""
+    base = events.selectExpr(*SPARK_BASE)
     rows = base.select(*[_spark_column(name, sql).alias(name) for name, sql in COLUMNS.items()])
     entries = F.array(
         *[
-            F.struct(F.lit(name).alias("key"), F.expr(_spark_literal(field_sql(name))).alias("value"))
+            F.struct(
+                F.lit(name).alias("key"), F.expr(_spark_literal(field_sql(name))).alias("value")
+            )
             for name in FIELD_TEXT
         ]
     )
@@ -196,6 +197,12 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("field_types", F.lit(None).cast("map<string,string>"))
 
 
+@lru_cache(maxsize=8)
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapped table (the plan object is kept, no data)."""
+    return map_events(raw_events(spark, sf_dir))
+
+
 @lru_cache(maxsize=8)
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbox rows with normalized fields (``ints``, ``nums``, ``bools``, ``strs``, states)."""

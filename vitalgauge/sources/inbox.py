@@ -15,7 +15,9 @@ def with_partition_date(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_inbox(rows: DataFrame, path: str, files_per_day: int = 1) -> None:
+def write_inbox(
+    rows: DataFrame, path: str, files_per_day: int = 1, mode: str = "append"
+) -> None:
     """Append rows, clustered by partition; raise ``files_per_day`` for hot days.
 
     A salt by event id spreads a dominating tenant or day over several writers, and rows are sorted
@@ -28,7 +30,7 @@ def write_inbox(rows: DataFrame, path: str, files_per_day: int = 1) -> None:
         .repartition(*PARTITIONS, "_salt")
         .sortWithinPartitions(*PARTITIONS, "app_version", "occurrence_timestamp_ms")
         .drop("_salt")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
