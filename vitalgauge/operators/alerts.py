@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.operators.percentiles import join_percentiles
+from vitalgauge.operators.percentiles import percentile_aggregates
 from vitalgauge.operators.performance import observe_value
 from vitalgauge.session import broadcast_checked
 
@@ -77,10 +77,8 @@ def evaluate_p95_rules(events: DataFrame, rules: DataFrame, now_ms: int) -> Data
     observed = observe_value(
         rule_events(events, mine, now_ms), "rule_id", "metric"
     ).filter("metric = concat(metric_id, '.p95')")
-    counts = observed.groupBy("rule_id").agg(
-        F.expr("count(value) AS samples"), F.expr("count(*) AS n")
-    )
-    measured = join_percentiles(counts, observed, ["rule_id"], "value", {"p95": 0.95})
+    counts = (F.count("value").alias("samples"), F.count("*").alias("n"))
+    measured = percentile_aggregates(observed, ["rule_id"], "value", {"p95": 0.95}, counts)
     return mine.join(measured, "rule_id", "left").selectExpr(
         *mine.columns,
         "if(samples = n, p95, NULL) AS value",
@@ -280,7 +278,7 @@ def rolling_drop_rate_alert(rows: DataFrame, threshold: float = 0.01) -> DataFra
     """p95 drop rate of 15-minute windows sliding by one minute, above the threshold."""
     windows = drop_rate_windows(rows, "15 minutes", "1 minute").filter("bound")
     keys = [*DROP_RATE_KEYS, "window_start_ms"]
-    counts = windows.groupBy(*keys).agg(F.count("*").alias("sample_count"))
-    return join_percentiles(counts, windows, keys, "rate", {"p95": 0.95}).filter(
+    counts = (F.count("*").alias("sample_count"),)
+    return percentile_aggregates(windows, keys, "rate", {"p95": 0.95}, counts).filter(
         F.col("p95") > threshold
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgauge.functions import events as E
 from vitalgauge.operators.alerts import drop_rate_windows
-from vitalgauge.operators.percentiles import exact_percentiles
+from vitalgauge.operators.percentiles import percentile_aggregates
 
 
 def panel_counts(rows: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def panel_counts(rows: DataFrame) -> DataFrame:
 def panel_drop_rate_p95(rows: DataFrame, width: str = "1 hour") -> DataFrame:
     """p95 of the reported drop rate per release and time window."""
     keys = ["app_id", "release_version", "window_start_ms"]
-    return exact_percentiles(drop_rate_windows(rows, width), keys, "rate", {"p95": 0.95})
+    return percentile_aggregates(drop_rate_windows(rows, width), keys, "rate", {"p95": 0.95})
 
 
 def panel_startup_p90(rows: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -37,9 +37,9 @@ def panel_startup_p90(rows: DataFrame, width: str = "1 hour") -> DataFrame:
             F.window(F.timestamp_millis("occurrence_timestamp_ms"), width)["start"]
         ).alias("window_start_ms"),
         F.expr("try_element_at(nums, 'launchDurationMs') AS duration"),
-    )
+    ).filter("duration IS NOT NULL")
     keys = ["app_id", "environment", "start_type", "window_start_ms"]
-    return exact_percentiles(starts, keys, "duration", {"p90": 0.9})
+    return percentile_aggregates(starts, keys, "duration", {"p90": 0.9})
 
 
 def panel_recent_errors(rows: DataFrame, limit: int = 100) -> DataFrame:

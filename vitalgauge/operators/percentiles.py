@@ -1,19 +1,21 @@
-"""Exact linear-interpolated percentiles that never gather one group in one task.
+"""Exact linear-interpolated percentiles, whatever the size of a group.
 
-Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here the values are
-first counted by (group, value), which spreads any group over all partitions. Approximate splitters
-then cut each large group into bins; exact bin totals tell which bins hold the wanted ranks, and
-only those bins are sorted. The splitters affect balance only: any splitters give the exact result.
+Spark's own ``percentile`` keeps every distinct value of a group in one buffer, which is fine for
+groups of a checked size. For larger ones the values are first counted by (group, value), which
+spreads any group over all partitions. Approximate splitters then cut each group into bins; exact
+bin totals tell which bins hold the wanted ranks, and only those bins are sorted. The splitters
+affect balance only: any splitters give the exact result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 128
-# Groups with at most this many distinct values are one bin.
-SINGLE_BIN_VALUES = 10_000
+BINS = 256
+_STEP = 16
+# Groups with at most this many rows are one bin.
+SINGLE_BIN_ROWS = 10_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -23,13 +25,50 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"r_{k}" for k in keys])
 
 
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
+# Largest group whose values may share one aggregation buffer.
+IN_BUFFER_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, keys: list[str], value: str) -> int:
+    """Values in the biggest group; one number reaches the driver."""
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def percentile_aggregates(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probabilities: dict[str, float],
+    aggregates: tuple[Column, ...] = (),
+    in_buffer_rows: int = IN_BUFFER_ROWS,
 ) -> DataFrame:
-    """One row per group with a column per named probability; null values are ignored."""
+    """Group by ``keys`` with the given aggregates and one column per named probability.
+
+    Null values are ignored by the percentiles. The group sizes are checked first: if every group
+    fits a buffer this is a single aggregate, otherwise the percentiles are computed spread out and
+    joined on.
+    """
     if not keys:
-        one = df.select(F.lit(0).alias("_all"), value)
-        return exact_percentiles(one, ["_all"], value, probabilities).drop("_all")
+        one = df.withColumn("_all", F.lit(0))
+        return percentile_aggregates(
+            one, ["_all"], value, probabilities, aggregates, in_buffer_rows
+        ).drop("_all")
+    if largest_group(df, keys, value) <= in_buffer_rows:
+        builtin = [
+            F.expr(f"percentile(cast({value} AS double), {p}D) AS {name}")
+            for name, p in probabilities.items()
+        ]
+        return df.groupBy(*keys).agg(*aggregates, *builtin)
+    spread = spread_percentiles(df, keys, value, probabilities)
+    base = df.groupBy(*keys).agg(*(aggregates or (F.count(value).alias("_n"),)))
+    return null_safe_join(base, spread, keys, "left").drop("_n")
+
+
+def spread_percentiles(
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """Percentiles of groups too large for one buffer: one row per group with values."""
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
@@ -38,12 +77,23 @@ def exact_percentiles(
     cuts = ", ".join(f"{i / BINS}D" for i in range(1, BINS))
     splits = counted.groupBy(*keys).agg(
         F.expr(
-            f"if(count(*) <= {SINGLE_BIN_VALUES}, cast(array() AS array<double>),"
+            f"if(sum(c) <= {SINGLE_BIN_ROWS}, cast(array() AS array<double>),"
             f" percentile_approx(v, array({cuts}), 1000)) AS splits"
         )
-    )
-    binned = null_safe_join(counted, splits, keys, "inner").select(
-        *keys, "v", "c", F.expr("size(filter(splits, s -> s < v)) AS bin")
+    ).withColumn("coarse", F.expr(f"filter(splits, (s, i) -> i % {_STEP} = {_STEP - 1})"))
+    # Two-step search: every 16th splitter first, then the 16 splitters after it.
+    binned = (
+        null_safe_join(counted, splits, keys, "inner")
+        .withColumn("jump", F.expr("size(filter(coarse, s -> s < v))"))
+        .select(
+            *keys,
+            "v",
+            "c",
+            F.expr(
+                f"jump * {_STEP} + size(filter(slice(splits, jump * {_STEP} + 1, {_STEP}),"
+                " s -> s < v)) AS bin"
+            ),
+        )
     )
     # At most one row per bin and group from here to the rank lookup.
     group = Window.partitionBy(*keys)
@@ -88,10 +138,3 @@ def exact_percentiles(
         columns.append(F.expr(f"{low} + ({high} - {low}) * {weight} AS {name}"))
     return found.groupBy(*keys).agg(*columns)
 
-
-def join_percentiles(
-    left: DataFrame, values: DataFrame, keys: list[str], value: str, probabilities: dict
-) -> DataFrame:
-    """Left join the percentiles of ``values`` onto one row per group."""
-    right = exact_percentiles(values, keys, value, probabilities)
-    return null_safe_join(left, right, keys, "left")

@@ -15,7 +15,7 @@ from vitalgauge import catalog
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.operators.percentiles import join_percentiles
+from vitalgauge.operators.percentiles import percentile_aggregates
 from vitalgauge.operators.scope import Scope, bucket_index, bucket_spine, scope_window_filter
 from vitalgauge.session import small_table
 
@@ -119,8 +119,9 @@ _SUMMARY = (
 def summarize_metric(observations: DataFrame, *keys: str) -> DataFrame:
     """State, counts, coverage, mean, exact percentiles and range per key and metric."""
     names = [*keys, "metric_id"]
-    base = observations.groupBy(*names).agg(*[F.expr(a) for a in _SUMMARY])
-    full = join_percentiles(base, observations, names, "value", PERCENTILES)
+    full = percentile_aggregates(
+        observations, names, "value", PERCENTILES, tuple(F.expr(a) for a in _SUMMARY)
+    )
     return full.selectExpr(
         *names,
         summary_state("sample_count", "event_count", "nonzero") + " AS state",

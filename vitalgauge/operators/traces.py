@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.operators.percentiles import exact_percentiles
+from vitalgauge.operators.percentiles import percentile_aggregates
 from vitalgauge.session import ensure_checkpoint_dir
 
 BROKEN = ("INVALID_PARENT", "CYCLE", "DUPLICATE_ID", "AMBIGUOUS_PARENT")
@@ -83,23 +83,29 @@ def parse_spans(rows: DataFrame, late_after_ms: int = C.LATE_AFTER_MS) -> DataFr
         ),
         otherwise=lit(C.AVAILABLE),
     )
-    return read.filter("trace_id IS NOT NULL AND span_id IS NOT NULL").selectExpr(
-        "event_id",
-        "trace_id",
-        "span_id",
-        "parent_span_id",
-        "name",
-        "status",
-        "duration_ms",
-        "if(timed, sent_start, NULL) AS start_ms",
-        "if(timed, sent_end, NULL) AS end_ms",
-        f"{timing} AS timing_state",
-        "parent_sent AND parent_span_id IS NULL AS parent_invalid",
-        "custom_attribute_count",
-        "occurrence_timestamp_ms",
-        "late",
-        "release_version",
-        "release_identity_quality",
+    columns = {
+        "event_id": "event_id",
+        "trace_id": "trace_id",
+        "span_id": "span_id",
+        "parent_span_id": "parent_span_id",
+        "name": "name",
+        "status": "status",
+        "duration_ms": "duration_ms",
+        "start_ms": "if(timed, sent_start, NULL)",
+        "end_ms": "if(timed, sent_end, NULL)",
+        "timing_state": timing,
+        "parent_invalid": "parent_sent AND parent_span_id IS NULL",
+        "custom_attribute_count": "custom_attribute_count",
+        "occurrence_timestamp_ms": "occurrence_timestamp_ms",
+        "late": "late",
+        "release_version": "release_version",
+        "release_identity_quality": "release_identity_quality",
+    }
+    row = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+    # A plain filter on the parsed ids would be pushed down and repeat the parsing per condition.
+    return read.selectExpr(
+        f"inline(filter(array(struct({row})), s -> s.trace_id IS NOT NULL AND s.span_id IS NOT"
+        " NULL))"
     )
 
 
@@ -258,7 +264,7 @@ def trace_totals(
         F.count_if(F.col("state") == C.DEGRADED).alias("degraded"),
     )
     # Each side is one row; scalar subqueries keep them apart without a join.
-    p95 = exact_percentiles(durations, [], "duration", {"p95": 0.95})
+    p95 = percentile_aggregates(durations, [], "duration", {"p95": 0.95})
     state = ladder(
         (
             "invalid_span_count > 0 OR (expired_span_count > 0 AND sample_count > 0)"

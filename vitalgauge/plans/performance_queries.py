@@ -8,7 +8,7 @@ from vitalgauge import catalog
 from vitalgauge.operators import fingerprints as FP
 from vitalgauge.operators import normalize as N
 from vitalgauge.operators import performance as P
-from vitalgauge.operators.percentiles import exact_percentiles
+from vitalgauge.operators.percentiles import percentile_aggregates, spread_percentiles
 from vitalgauge.plans import telemetry as T
 from vitalgauge.plans.registry import query
 from vitalgauge.plans.release_queries import SPINE_SQL
@@ -383,23 +383,28 @@ def _(spark, sf):
     )
 
 
-@query(
-    "percentile_linear",
+PERCENTILE_SQL = (
     "SELECT l_returnflag, l_linestatus,"
     + ", ".join(
         f" round(quantile_cont(cast(l_extendedprice AS double), {p}), 6) AS {name}"
         for name, p in P.PERCENTILES.items()
     )
-    + " FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    + " FROM lineitem GROUP BY l_returnflag, l_linestatus"
 )
+PRICE_GROUPS = (["l_returnflag", "l_linestatus"], "l_extendedprice", P.PERCENTILES)
+
+
+@query("percentile_linear", PERCENTILE_SQL)
 def _(spark, sf):
-    """Three groups hold almost all rows, the shape a single-buffer percentile handles worst."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return rounded(
-        exact_percentiles(
-            lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", P.PERCENTILES
-        )
-    )
+    return rounded(percentile_aggregates(lines, *PRICE_GROUPS))
+
+
+@query("percentile_spread", PERCENTILE_SQL)
+def _(spark, sf):
+    """The plan for groups too large for one buffer: few groups hold all rows."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return rounded(spread_percentiles(lines, *PRICE_GROUPS))
 
 
 BOUND_SQL = (

@@ -176,8 +176,18 @@ def _spark_column(name: str, sql: str) -> Column:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shared events table as it is."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The shared events table.
+
+    A table with fewer splits than cores (one small file) is spread by event id so that the mapping
+    runs on all of them; a table with more splits is read as it is, without a shuffle.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores, "event_id") if _splits(events) < cores else events
+
+
+def _splits(df: DataFrame) -> int:
+    return df.rdd.getNumPartitions()
 
 
 def map_events(events: DataFrame) -> DataFrame:
