@@ -229,7 +229,8 @@ def decode_protobuf_batches(batches: DataFrame, enveloped: bool) -> DataFrame:
 
 def _to_frame(rows: list[dict]) -> pd.DataFrame:
     # Object columns keep missing values as nulls instead of turning integers into floats.
-    return pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+    columns = {c: pd.Series([row.get(c) for row in rows], dtype=object) for c in _COLUMNS}
+    return pd.DataFrame(columns)
 
 
 def check_envelopes(
