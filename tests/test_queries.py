@@ -80,7 +80,7 @@ def test_scope_and_window_reach_the_stored_inbox(spark, tmp_path):
         "event_id", "tenant_id", "app_id", "environment", "app_version", "module",
         "occurrence_timestamp_ms",
     )
-    write_inbox(rows, str(tmp_path / "inbox"), files_per_day=2)
+    write_inbox(rows, str(tmp_path / "inbox"))
     stored = read_inbox(spark, str(tmp_path / "inbox"))
     scoped = scope_window_filter(stored, T.SCOPE, T.FROM_MS, T.FROM_MS + T.DAY_MS)
     plan = scoped.select("app_version")._jdf.queryExecution().executedPlan().toString()

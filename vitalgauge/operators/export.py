@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.operators.performance import observe_value
+from vitalgauge.operators.performance import observe_value, reported_values
 from vitalgauge.operators.traces import parse_spans
 
 BATCH_ROWS = 100
@@ -127,13 +127,17 @@ def otlp_metrics(rows: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
 OPERATION = "manual_span"
 
 
-def exportable_spans(rows: DataFrame) -> DataFrame:
+_EXPORTABLE = (
+    f"timing_state = '{C.AVAILABLE}' AND NOT parent_invalid AND status <> 'UNKNOWN'"
+    " AND NOT (parent_span_id <=> span_id)"
+)
+
+
+def exportable_spans(rows: DataFrame, *keep: str) -> DataFrame:
     """Valid, timed spans with a known status; names and custom attributes stay behind."""
-    spans = parse_spans(rows, late_after_ms=0).filter(
-        f"timing_state = '{C.AVAILABLE}' AND NOT parent_invalid AND status <> 'UNKNOWN'"
-        " AND NOT (parent_span_id <=> span_id)"
-    )
+    spans = parse_spans(rows, late_after_ms=0, keep=keep).filter(_EXPORTABLE)
     return spans.selectExpr(
+        *keep,
         "event_id",
         "trace_id",
         "span_id",
@@ -148,13 +152,9 @@ def exportable_spans(rows: DataFrame) -> DataFrame:
 
 def otlp_traces(rows: DataFrame) -> DataFrame:
     """Exportable spans grouped by export batch and resource."""
-    resources = with_export_batch(rows).selectExpr(
-        "event_id", "export_batch", "tenant_id", "app_id", "environment",
-        f"{_BOUND_VERSION} AS service_version", "sdk_version",
-    )
-    spans = exportable_spans(rows)
+    prepared = with_export_batch(rows).withColumn("service_version", F.expr(_BOUND_VERSION))
     return (
-        spans.join(resources, "event_id")
+        exportable_spans(prepared, "export_batch", *_RESOURCE)
         .groupBy("export_batch", *_RESOURCE)
         .agg(F.expr("array_sort(collect_list(struct(span_id, start_time_unix_nano, status_code)))"
                     " AS spans"))
@@ -168,15 +168,17 @@ def isolate_bad_rows(rows: DataFrame) -> DataFrame:
     reported value or valid span has nothing truthful to send for that signal.
     """
     missing = " OR ".join(f"{c} IS NULL" for c in REQUIRED_LOG_FIELDS)
-    values = (
-        observe_value(rows, "id").filter("value IS NOT NULL").select("id").distinct()
-    ).withColumn("has_value", F.lit(True))
-    spans = exportable_spans(rows).select("event_id").distinct().withColumn(
-        "has_span", F.lit(True)
-    )
-    return rows.join(values, "id", "left").join(spans, "event_id", "left").selectExpr(
-        "id",
+    judged = reported_values(rows).selectExpr(
+        "*",
         f"if({missing}, 'failed', 'pending') AS logs",
         "if(has_value, 'pending', 'not_applicable') AS metrics",
-        "if(has_span, 'pending', 'not_applicable') AS traces",
+    )
+    # Everything is decided inside the row: one row in, one row out, no shuffle.
+    return parse_spans(
+        judged, late_after_ms=0, keep=("id", "logs", "metrics"), keep_rows=True
+    ).selectExpr(
+        "id",
+        "logs",
+        "metrics",
+        f"if(coalesce({_EXPORTABLE}, false), 'pending', 'not_applicable') AS traces",
     )

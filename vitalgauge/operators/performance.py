@@ -46,6 +46,13 @@ def _number(field: str) -> str:
     )
 
 
+# A closed availability flag or an empty sample count hides the value of the definition ``f``.
+_GATED = (
+    "((f.available IS NOT NULL AND NOT coalesce(try_element_at(bools, f.available), false))"
+    f" OR (f.counted IS NOT NULL AND NOT coalesce({_number('f.counted')} > 0, false)))"
+)
+
+
 def _observations(spark) -> DataFrame:
     grouped = defaultdict(list)
     for f in catalog.performance_fields():
@@ -73,13 +80,9 @@ def observe_value(rows: DataFrame, *keep: str) -> DataFrame:
     A closed availability flag or an empty sample count makes the value UNAVAILABLE whatever was
     sent; otherwise the normalized value or its stored state applies.
     """
-    gated = (
-        "(f.available IS NOT NULL AND NOT coalesce(try_element_at(bools, f.available), false))"
-        f" OR (f.counted IS NOT NULL AND NOT coalesce({_number('f.counted')} > 0, false))"
-    )
-    value = f"if({gated}, NULL, {_number('f.field')})"
+    value = f"if({_GATED}, NULL, {_number('f.field')})"
     state = ladder(
-        (gated, lit(C.UNAVAILABLE)),
+        (_GATED, lit(C.UNAVAILABLE)),
         (f"{_number('f.field')} IS NOT NULL", lit(C.AVAILABLE)),
         otherwise=f"coalesce(try_element_at(field_states, f.field), '{C.UNAVAILABLE}')",
     )
@@ -91,6 +94,17 @@ def observe_value(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def reported_values(rows: DataFrame) -> DataFrame:
+    """Add ``has_value``: the row reports at least one observation."""
+    defs = F.broadcast(_observations(rows.sparkSession))
+    reported = f"exists(observed, f -> NOT ({_GATED}) AND {_number('f.field')} IS NOT NULL)"
+    return (
+        rows.join(defs, ["module", "name"], "left")
+        .withColumn("has_value", F.expr(f"coalesce({reported}, false)"))
+        .drop("observed")
+    )
+
+
 def summary_state(values: str, total: str, nonzero: str) -> str:
     """SQL state of a distribution from value count, event count and non-zero value count."""
     return ladder(

@@ -49,9 +49,23 @@ def _integer(text: str) -> str:
     )
 
 
-def parse_spans(rows: DataFrame, late_after_ms: int = C.LATE_AFTER_MS) -> DataFrame:
-    """Spans of valid trace events; bad timing is a state, a bad identity drops the row."""
-    read = _with_text(rows.filter("module = 'trace' AND kind = 'METRIC'")).selectExpr(
+def parse_spans(
+    rows: DataFrame,
+    late_after_ms: int = C.LATE_AFTER_MS,
+    keep: tuple[str, ...] = (),
+    keep_rows: bool = False,
+) -> DataFrame:
+    """Spans of valid trace events; bad timing is a state, a bad identity drops the row.
+
+    ``keep`` carries further columns along. With ``keep_rows`` a row without a span stays, with
+    null span columns.
+    """
+    spans_only = "module = 'trace' AND kind = 'METRIC'"
+    if not keep_rows:
+        rows = rows.filter(spans_only)
+    read = _with_text(rows).selectExpr(
+        *keep,
+        f"coalesce({spans_only}, false) AS is_span",
         "event_id",
         f"{_hex_id('raw_trace', 32)} AS trace_id",
         f"{_hex_id('raw_span', 16)} AS span_id",
@@ -103,9 +117,11 @@ def parse_spans(rows: DataFrame, late_after_ms: int = C.LATE_AFTER_MS) -> DataFr
     }
     row = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
     # A plain filter on the parsed ids would be pushed down and repeat the parsing per condition.
+    generate = "inline_outer" if keep_rows else "inline"
     return read.selectExpr(
-        f"inline(filter(array(struct({row})), s -> s.trace_id IS NOT NULL AND s.span_id IS NOT"
-        " NULL))"
+        *keep,
+        f"{generate}(filter(array(struct({row})), s -> is_span AND s.trace_id IS NOT NULL"
+        " AND s.span_id IS NOT NULL))",
     )
 
 

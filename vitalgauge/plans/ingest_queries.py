@@ -687,7 +687,7 @@ def _(spark, sf):
 
     path = f"{ensure_checkpoint_dir(spark)}/inbox-{uuid.uuid4().hex}"
     rows = T.telemetry(spark, sf).drop("fields", "field_types", "k", "user_id", "v100")
-    write_inbox(rows, path, files_per_day=1)
+    write_inbox(rows, path)
     stored = read_inbox(spark, path)
     return stored.groupBy("tenant_id", "app_version").agg(F.count("*").alias("event_count"))
 

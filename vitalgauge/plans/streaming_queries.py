@@ -15,7 +15,8 @@ from vitalgauge.streaming import jobs as J
 from vitalgauge.streaming.tables import EpochTable
 
 SLICES = 3
-DAYS = 31
+# Longer than the data, so that the streamed windows can be compared with the batch result.
+KEEP_ALL = "31 days"
 
 
 def workspace(spark) -> str:
@@ -23,31 +24,21 @@ def workspace(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def staged(spark, df, order: str, folder: str):
-    """Write rows in time order as several files, one per micro-batch, and open the stream."""
+def in_slices(spark, df, order: str, folder: str, launch) -> None:
+    """Feed rows in time order: write a slice, drain the stream, go on from its checkpoint."""
     path = f"{folder}/source"
     low, high = df.agg(F.min(order), F.max(order)).first()
     width = (high - low) // SLICES + 1
     for i in range(SLICES):
         start = low + i * width
         part = df.filter((F.col(order) >= start) & (F.col(order) < start + width))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return (
-        spark.readStream.schema(df.schema)
-        .option("maxFilesPerTrigger", 1)
-        .option("recursiveFileLookup", "true")
-        .parquet(path)
-    )
+        part.write.mode("append").parquet(path)
+        launch(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
-def events_stream(spark, sf, folder: str):
+def sliced_events(spark, sf):
     """Event ids follow time; slicing by batch keeps the 25 events of a batch together."""
-    events = T.raw_events(spark, sf).withColumn("slice", F.expr("event_id - event_id % 25"))
-    return staged(spark, events, "slice", folder)
-
-
-def drained(started) -> None:
-    started.awaitTermination()
+    return T.raw_events(spark, sf).withColumn("slice", F.expr("event_id - event_id % 25"))
 
 
 @query(
@@ -59,11 +50,13 @@ def drained(started) -> None:
 )
 def _(spark, sf):
     folder = workspace(spark)
-    rows = T.map_events(events_stream(spark, sf, folder))
     table = EpochTable(f"{folder}/counts", J.RELEASE_COUNTS)
-    drained(
-        J.stream_release_counts(rows, table, f"{folder}/log", True, watermark=f"{DAYS} days")
-    )
+
+    def launch(events):
+        rows = T.map_events(events)
+        return J.stream_release_counts(rows, table, f"{folder}/log", True, watermark=KEEP_ALL)
+
+    in_slices(spark, sliced_events(spark, sf), "slice", folder, launch)
     keys = ["app_id", "environment", "app_version", "family", "window_start_ms"]
     return J.latest(table.read(spark), keys, "event_count")
 
@@ -76,11 +69,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = workspace(spark)
-    rows = T.map_events(events_stream(spark, sf, folder))
     table = EpochTable(f"{folder}/alerts", J.ROLLING_ALERTS)
-    drained(
-        J.stream_rolling_alerts(rows, table, f"{folder}/log", True, watermark=f"{DAYS} days")
-    )
+
+    def launch(events):
+        rows = T.map_events(events)
+        return J.stream_rolling_alerts(rows, table, f"{folder}/log", True, watermark=KEEP_ALL)
+
+    in_slices(spark, sliced_events(spark, sf), "slice", folder, launch)
     keys = ["app_id", "environment", "family", "window_start_ms"]
     return J.latest(table.read(spark), keys, "incident_count")
 
@@ -96,8 +91,11 @@ def _(spark, sf):
         "cast(rule_id AS bigint) AS rule_id", "evaluated_ms", "value", "sample_count", "state"
     )
     table = EpochTable(f"{folder}/transitions", J.TRANSITIONS)
-    stream = staged(spark, source, "evaluated_ms", folder)
-    drained(J.stream_alert_episodes(stream, table, f"{folder}/log", True))
+
+    def launch(stream):
+        return J.stream_alert_episodes(stream, table, f"{folder}/log", True)
+
+    in_slices(spark, source, "evaluated_ms", folder, launch)
     return table.read(spark).select("rule_id", "evaluated_ms", "transition")
 
 
@@ -107,8 +105,11 @@ def _(spark, sf):
     folder = workspace(spark)
     source = quota_batches(spark, sf)
     table = EpochTable(f"{folder}/admissions", J.ADMISSIONS)
-    stream = staged(spark, source, "received_ms", folder)
-    drained(J.stream_quota(stream, quota_limits(source), table, f"{folder}/log", True))
+
+    def launch(stream):
+        return J.stream_quota(stream, quota_limits(source), table, f"{folder}/log", True)
+
+    in_slices(spark, source, "received_ms", folder, launch)
     return table.read(spark).drop("epoch")
 
 
@@ -138,16 +139,18 @@ COPIES = "if(id % 7 = 0, array(0, 1), array(0))"
 )
 def _(spark, sf):
     folder = workspace(spark)
-    copies = T.map_events(events_stream(spark, sf, folder)).selectExpr(
-        "*", f"explode({COPIES}) AS copy"
-    )
-    rows = copies.selectExpr(
-        "* EXCEPT (copy, fields, field_types)",
-        "concat('b', lpad(cast(floor(id / 25e0) AS bigint), 9, '0')) AS batch_id",
-        "cast(id % 25 + 25 * copy AS int) AS event_index",
-        "concat('sha-', id, if(copy = 1 AND k % 25 = 3, '-changed', '')) AS payload_sha256",
-    )
-    drained(J.stream_ingest(rows, folder, f"{folder}/log", True))
+
+    def launch(events):
+        copies = T.map_events(events).selectExpr("*", f"explode({COPIES}) AS copy")
+        rows = copies.selectExpr(
+            "* EXCEPT (copy, fields, field_types)",
+            "concat('b', lpad(cast(floor(id / 25e0) AS bigint), 9, '0')) AS batch_id",
+            "cast(id % 25 + 25 * copy AS int) AS event_index",
+            "concat('sha-', id, if(copy = 1 AND k % 25 = 3, '-changed', '')) AS payload_sha256",
+        )
+        return J.stream_ingest(rows, folder, f"{folder}/log", True)
+
+    in_slices(spark, sliced_events(spark, sf), "slice", folder, launch)
     stored = spark.read.parquet(f"{folder}/inbox")
     return stored.groupBy("tenant_id", "app_version").agg(
         F.count("*").alias("event_count"), F.sum("k").alias("k_sum")

@@ -15,21 +15,16 @@ def with_partition_date(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_inbox(
-    rows: DataFrame, path: str, files_per_day: int = 1, mode: str = "append"
-) -> None:
-    """Append rows, clustered by partition; raise ``files_per_day`` for hot days.
+def write_inbox(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows clustered by partition.
 
-    A salt by event id spreads a dominating tenant or day over several writers, and rows are sorted
-    by release and time inside a file so that row-group statistics prune as well.
+    Rebalancing lets AQE split a dominating tenant or day over several writers and merge small
+    ones. Rows are sorted by release and time inside a file so that row-group statistics prune too.
     """
-    dated = with_partition_date(rows)
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(files_per_day))
     (
-        dated.withColumn("_salt", salt)
-        .repartition(*PARTITIONS, "_salt")
+        with_partition_date(rows)
+        .hint("rebalance", *[F.col(c) for c in PARTITIONS])
         .sortWithinPartitions(*PARTITIONS, "app_version", "occurrence_timestamp_ms")
-        .drop("_salt")
         .write.mode(mode)
         .partitionBy(*PARTITIONS)
         .parquet(path)
