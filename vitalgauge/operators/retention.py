@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgauge import constants as C
-from vitalgauge.functions.events import quoted
 from vitalgauge.functions.metrics import ladder, lit
 from vitalgauge.session import small_table
 
