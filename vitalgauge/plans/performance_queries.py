@@ -311,7 +311,21 @@ def _(spark, sf):
     return catalog.field_registry(spark).join(sent, ["module", "name", "field"], "left")
 
 
-@query("event_catalog")
+KNOWN_SQL = (
+    "known AS (SELECT unnest(["
+    + ", ".join(
+        f"{{'p': {p}, 'm': '{m}', 'n': '{n}'}}" for p, (m, n) in enumerate(catalog.known_events())
+    )
+    + "]) AS x)"
+)
+
+
+@query(
+    "event_catalog",
+    T.duck_cte(extra=KNOWN_SQL) + " SELECT x.p AS position, x.m AS module, x.n AS name,"
+    " nullif(count(id), 0) AS event_count FROM known LEFT JOIN t ON module = x.m AND name = x.n"
+    " GROUP BY 1, 2, 3",
+)
 def _(spark, sf):
     """Known events with the number of rows reporting each."""
     seen = T.telemetry(spark, sf).groupBy("module", "name").agg(F.count("*").alias("event_count"))
@@ -469,13 +483,6 @@ def _(spark, sf):
     return rounded(P.metric_trend(rows, RELEASES, TREND_METRIC, T.FROM_MS, T.TO_MS))
 
 
-KNOWN_SQL = (
-    "known AS (SELECT unnest(["
-    + ", ".join(f"{{'m': '{m}', 'n': '{n}'}}" for m, n in catalog.known_events())
-    + "]) AS x)"
-)
-
-
 @query(
     "event_statistics",
     T.duck_cte(extra=KNOWN_SQL)
