@@ -6,8 +6,9 @@ documents link when intersection >= ``percent`` / 100 of union; a class is whate
 
 1. Documents with equal sets make one node, whatever their number.
 2. Shingles are ordered: the common ones (found by counting over all documents, with a bound on the error that lossy
-   counting guarantees) come last, by frequency; the rest by hash. Two linked sets share a shingle in the first
-   size - ceil(percent * size) + 1 of that order: their prefixes.
+   counting guarantees) come last, by frequency; the rest by hash. Two linked sets share at least three shingles
+   (fewer if they must share fewer in all) in the first size - ceil(percent * size) + 3 of that order: their prefixes.
+   A set with fewer prefix shingles that any other set of fitting size may share drops out.
 3. Nodes with identical prefix and size make a group; groups, not nodes, stand in the inverted lists.
 4. Star rounds: in each inverted list and size band one node is verified against the nodes that aren't connected with
    it yet. That is linear in the list, and a family of near copies falls into one class without its pairs.
@@ -31,11 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import named, saved
+from vitalgauge.llm.common import named, saved, slices
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+PREFIX_SHARED = 3  # shingles that the prefixes of two linked sets share, if the sets are that large
+FILTER_BITS = 24
 COMMON_BITS = 20  # at most 2**20 shingles count as common: those with over 1 / 2**20 of all occurrences
-COUNT_AT_ONCE = 1 << 22
+COUNT_AT_ONCE = 1 << 21
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -44,9 +47,16 @@ class JoinSpec:
     width: int = 5
     percent: int = 80
 
+    def least(self, size: int) -> int:
+        """How many shingles a set of this size shares with any that it links with."""
+        return -(-self.percent * size // 100)
+
+    def common(self, size: int) -> int:
+        """How many of them must lie in both prefixes."""
+        return min(PREFIX_SHARED, self.least(size))
+
     def prefix(self, size: int) -> int:
-        """How many of the first shingles two linked sets must share one of."""
-        return size - -(-self.percent * size // 100) + 1
+        return size - self.least(size) + self.common(size)
 
     def linked(self, shared: int, a: int, b: int) -> bool:
         return 100 * shared >= self.percent * (a + b - shared)
@@ -88,60 +98,83 @@ def _signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _signatures(texts: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(doc_id, set_key, size) of each row; equal sets have equal keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, spec.width) for t in batch["body"]]
-            ids = batch["doc_id"].astype("Int64")
-            yield pd.DataFrame({"doc_id": ids, "set_key": [_signature(s) for s in sets], "size": [len(s) for s in sets]})
-
-    return texts.mapInPandas(run, "doc_id bigint, set_key binary, size bigint")
-
-
-def _common(texts: DataFrame, spec: JoinSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with over 1 / 2**COMMON_BITS of all occurrences, ascending by frequency, and their ranks by hash.
-
-    Each task counts some millions at a time and passes on those with over half that share, so a common shingle passes
-    in at least one count and its total is short by half the limit at most; there are at most 2**(COMMON_BITS + 1).
-    """
+def _first_pass(texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Two kinds of rows from one look at each text: (doc_id, set_key, size) of the row, equal sets having equal keys;
+    and (shingle, n, every), counts of shingles that are frequent among the last some millions, of ``every`` seen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         size = 0
-
-        def flush() -> pd.DataFrame:
-            every = np.concatenate(held)
-            every.sort()
-            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            counts = np.diff(np.append(starts, len(every)))
-            kept = counts >= max(2, len(every) >> (COMMON_BITS + 1))
-            hashes = np.append(every[starts][kept].view(np.int64), 0)
-            return pd.DataFrame({"shingle": hashes, "n": np.append(counts[kept], 0), "every": np.append(np.zeros(kept.sum(), int), len(every))})
-
-        for batch in batches:
-            for body in batch["body"]:
-                own = shingle_set(body, spec.width)
+        for part in slices(batches):
+            sets = [shingle_set(t, spec.width) for t in part["body"]]
+            yield _rows(part["doc_id"], part["key"], [_signature(s) for s in sets], [len(s) for s in sets])
+            for own in sets:
                 held.append(own)
                 size += len(own)
                 if size >= COUNT_AT_ONCE:
-                    yield flush()
+                    yield _counts(held)
                     held, size = [], 0
         if size:
-            yield flush()
+            yield _counts(held)
+
+    return texts.mapInPandas(
+        run, "doc_id bigint, key bigint, set_key binary, size bigint, shingle bigint, n bigint, every bigint"
+    )
+
+
+def _rows(ids: pd.Series, keys: pd.Series, signatures: list[bytes], sizes: list[int]) -> pd.DataFrame:
+    blank = pd.array([None] * len(ids), "Int64")
+    return pd.DataFrame(
+        {
+            "doc_id": pd.array(ids, "Int64"),
+            "key": keys.to_numpy(),
+            "set_key": signatures,
+            "size": sizes,
+            "shingle": blank,
+            "n": blank,
+            "every": blank,
+        }
+    )
+
+
+def _counts(held: list[np.ndarray]) -> pd.DataFrame:
+    together = np.concatenate(held)
+    together.sort()
+    starts = np.flatnonzero(np.concatenate([[True], together[1:] != together[:-1]]))
+    counts = np.diff(np.append(starts, len(together)))
+    kept = counts >= max(2, len(together) >> (COMMON_BITS + 1))
+    hashes, n = together[starts][kept].view(np.int64), counts[kept]
+    every = np.zeros(len(n) + 1, np.int64)
+    every[-1] = len(together)
+    blank = pd.array([None] * len(every), "Int64")
+    return pd.DataFrame(
+        {
+            "doc_id": blank,
+            "key": blank,
+            "set_key": [None] * len(every),
+            "size": blank,
+            "shingle": np.append(hashes, 0),
+            "n": np.append(n, 0),
+            "every": every,
+        }
+    )
 
-    counted = saved(
-        texts.select("body").mapInPandas(run, "shingle bigint, n bigint, every bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("every").alias("every")),
-        "shingle-counts",
+
+def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with over 1 / 2**COMMON_BITS of all occurrences, sorted by hash, and their ranks by frequency.
+
+    A task passes on what has over half that share of the millions that it counts at a time, so a common shingle passes
+    in at least one count, and its total is short by half the limit at most; there are at most 2**(COMMON_BITS + 1).
+    """
+    totals = saved(
+        counts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("every").alias("every")),
+        "near-counts",
     )
-    every = counted.agg(F.sum("every")).first()[0] or 0
-    least = max(3, every >> (COMMON_BITS + 1))
-    rows = counted.where(F.col("n") >= least).select("shingle", "n").toPandas()
+    every = totals.agg(F.sum("every")).first()[0] or 0
+    rows = totals.where(F.col("n") >= max(3, every >> (COMMON_BITS + 1))).select("shingle", "n").toPandas()
     hashes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    by_count = np.lexsort((hashes, rows["n"].to_numpy()))
     ranks = np.empty(len(hashes), np.int64)
-    ranks[by_count] = np.arange(len(hashes))
+    ranks[np.lexsort((hashes, rows["n"].to_numpy()))] = np.arange(len(hashes))
     by_hash = np.argsort(hashes)
     return hashes[by_hash], ranks[by_hash]
 
@@ -162,9 +195,9 @@ def _prefixes(texts: DataFrame, spec: JoinSpec, common: tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, ranks = shipped.value
-        for batch in batches:
+        for part in slices(batches):
             rows = []
-            for body in batch["body"]:
+            for body in part["body"]:
                 own = shingle_set(body, spec.width)
                 if len(own):
                     front = _ordered(own, hashes, ranks)[: spec.prefix(len(own))]
@@ -215,18 +248,37 @@ def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _perhaps(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be wanted: a bit map of 2**FILTER_BITS hashes, broadcast (at most 2**(FILTER_BITS
+    - 6) rows), lets through every wanted key and few others, so that a join shuffles little. It drops no match."""
+    slot = F.xxhash64(F.col(wanted_key)).bitwiseAND((1 << FILTER_BITS) - 1)
+    words = (
+        wanted.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("_bits"))
+    )
+    own = F.xxhash64(F.col(key)).bitwiseAND((1 << FILTER_BITS) - 1)
+    held = df.withColumn("_slot", own).withColumn("_at", F.shiftright("_slot", 6))
+    return (
+        held.join(F.broadcast(words), F.col("_at") == F.col("_word"))
+        .where(F.expr("(_bits & shiftleft(1L, cast(_slot & 63 as int))) <> 0"))
+        .select(df.columns)
+    )
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, spec: JoinSpec) -> DataFrame:
     """(node, own): the whole sorted set of each wanted node (node, set_key, first), one row a node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, spec.width) for t in batch["body"]]
-            right = np.array([_signature(s) == bytes(k) for s, k in zip(sets, batch["set_key"], strict=True)], bool)
-            yield pd.DataFrame({"node": batch["node"], "own": [s.tobytes() for s in sets]})[right]
+        for part in slices(batches):
+            sets = [shingle_set(t, spec.width) for t in part["body"]]
+            right = np.array([_signature(s) == bytes(k) for s, k in zip(sets, part["set_key"], strict=True)], bool)
+            yield pd.DataFrame({"node": part["node"], "own": [s.tobytes() for s in sets]})[right]
 
     bodies = (
-        texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "node", "set_key", F.xxhash64("body").alias("_content"))
+        _perhaps(texts, "key", wanted, "first")
+        .join(wanted, F.col("key") == F.col("first"))
+        .groupBy("key", "node", "set_key", F.xxhash64("body").alias("_content"))
         .agg(F.any_value("body").alias("body"))
     )
     return bodies.mapInPandas(run, "node bigint, own binary")
@@ -236,16 +288,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
     """Of the distinct node pairs (a, b) those that link; whole sets are compared."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for part in slices(batches):
             keep = []
-            for one, other in zip(batch["own_a"], batch["own_b"], strict=True):
+            for one, other in zip(part["own_a"], part["own_b"], strict=True):
                 x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
                 keep.append(spec.linked(_shared(x, y), len(x), len(y)))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+            yield part.loc[np.array(keep, bool), ["a", "b"]]
 
+    pairs = saved(pairs, "near-pairs")
     found = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+        pairs.join(_perhaps(sets, "node", pairs, "a").select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+        .join(_perhaps(sets, "node", pairs, "b").select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
         .mapInPandas(test, "a bigint, b bigint")
     )
     return saved(found, "near-links")
@@ -306,33 +359,46 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
 
     A null doc_id has its class's id, null if the class has no other.
     """
-    texts = named(df, doc_id=doc_key, body=text).select(
-        F.col("doc_id").cast("bigint"), F.coalesce(F.col("body").cast("string"), F.lit("")).alias("body")
+    body = F.coalesce(F.col("body").cast("string"), F.lit(""))
+    texts = (
+        named(df, doc_id=doc_key, body=text)
+        .select(F.col("doc_id").cast("bigint"), body.alias("body"))
+        .withColumn("key", F.coalesce("doc_id", -F.abs(F.xxhash64("body") / 2).cast("bigint") - 2))
     )
-    documents = saved(_signatures(texts, spec), "near-documents")
-    firsts = documents.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    firsts = saved(firsts, "near-firsts")
-    # the smallest doc_id names a set; where one doc_id has several texts, or none, a hash does
-    shared = firsts.groupBy("first").count().where("count > 1 or first is null").select(F.col("first").alias("unfit"))
-    nodes = firsts.join(shared, firsts["first"].eqNullSafe(F.col("unfit")), "left").select(
+    first_pass = saved(_first_pass(texts, spec), "near-first-pass")
+    documents = first_pass.where("set_key is not null").select("doc_id", "key", "set_key", "size")
+    firsts = saved(
+        documents.where("size > 0").groupBy("set_key").agg(F.min("key").alias("first"), F.min("doc_id").alias("smallest")),
+        "near-firsts",
+    )
+    # the smallest key names a set; where one doc_id has several texts, a hash does
+    shared = firsts.groupBy("first").count().where("count > 1").select("first", F.lit(True).alias("shared"))
+    nodes = firsts.join(shared, "first", "left").select(
         "set_key",
         "first",
-        F.when(F.col("first").isNull() | F.col("unfit").isNotNull(), -F.abs(F.xxhash64("set_key")) - 2)
-        .otherwise(F.col("first"))
-        .alias("node"),
+        "smallest",
+        F.when(F.col("shared"), -F.abs(F.xxhash64("set_key") / 2).cast("bigint") - 2).otherwise(F.col("first")).alias("node"),
     )
-    prefixes = saved(_prefixes(texts, spec, _common(texts, spec)).join(nodes, "set_key"), "near-prefixes")
+    prefixes = saved(_prefixes(texts, spec, _common(first_pass)).join(nodes, "set_key"), "near-prefixes")
     groups = prefixes.groupBy("family", "size").agg(
         F.min("node").alias("lead"), F.count("*").alias("members"), F.any_value("prefix").alias("prefix")
     )
     inverted = groups.select("family", "size", "members", F.posexplode("prefix").alias("place", "shingle"))
-    several = inverted.groupBy("shingle").agg(F.sum("members").alias("holders")).where("holders > 1").select("shingle")
+    # lists of one node, and of two that can't fit, make no pair
+    several = (
+        inverted.groupBy("shingle")
+        .agg(F.sum("members").alias("holders"), F.min("size").alias("small"), F.max("size").alias("large"))
+        .where((F.col("holders") > 2) | ((F.col("holders") == 2) & (100 * F.col("small") >= spec.percent * F.col("large"))))
+        .select("shingle")
+    )
     listed = saved(inverted.join(several, "shingle").select("shingle", "place", "family", "size"), "near-lists")
-    met = listed.select("family").distinct()
+    needed = F.least(F.lit(PREFIX_SHARED), F.ceil(F.col("size") * spec.percent / 100))
+    met = saved(listed.groupBy("family", "size").count().where(F.col("count") >= needed).select("family"), "near-met")
+    listed = listed.join(met, "family", "left_semi")
     state = saved(
         prefixes.join(groups.select("family", "size", "lead"), ["family", "size"])
         .join(met, "family", "left_semi")
-        .select("node", "first", "set_key", "family", "size", "lead", F.col("node").alias("class")),
+        .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class")),
         "near-state",
     )
     sets = saved(_sets(texts, state.select("node", "set_key", "first"), spec), "near-sets")
@@ -347,10 +413,11 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
         if not links.isEmpty():
             found = connected(links, state)
             state = saved(state.drop("class").join(found, "node"), "near-state")
-    class_ids = state.join(
-        state.groupBy("class").agg(F.min("first").alias("component_id")), "class"
-    ).select("set_key", "component_id")
-    named_sets = firsts.join(class_ids, "set_key", "left").select("set_key", F.coalesce("component_id", "first").alias("component_id"))
+    class_ids = state.groupBy("class").agg(F.min("smallest").alias("component_id"))
+    class_ids = state.join(class_ids, "class").select("set_key", "component_id")
+    named_sets = firsts.join(class_ids, "set_key", "left").select(
+        "set_key", F.coalesce("component_id", "smallest").alias("component_id")
+    )
     return documents.join(named_sets, "set_key", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
