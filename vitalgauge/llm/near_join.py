@@ -10,10 +10,11 @@ documents link when intersection >= ``percent`` / 100 of union; a class is whate
    (fewer if they must share fewer in all) in the first size - ceil(percent * size) + 3 of that order: their prefixes.
    A set with fewer prefix shingles that any other set of fitting size may share drops out.
 3. Nodes with identical prefix and size make a group; groups, not nodes, stand in the inverted lists.
-4. Star rounds: in each inverted list and size band one node is verified against the nodes that aren't connected with
-   it yet. That is linear in the list, and a family of near copies falls into one class without its pairs.
-5. All group pairs that share a prefix shingle, fit in size and position, and lie in different classes are expanded to
-   members and verified. Only pairs already known to be in one class are left out, so no class is missed.
+4. Star rounds: in each inverted list and size band one node is verified against those that aren't connected with it
+   yet and share enough lists with it. That is linear in the list, and a family of near copies falls into one class
+   without its pairs.
+5. All group pairs that share enough prefix shingles, fit in size and position, and lie in different classes are
+   expanded to members and verified. Only pairs already known to be in one class are left out, so no class is missed.
 
 Verification intersects the whole sorted sets. Classes come from label propagation with pointer jumping; each round's
 labels are a table in the shared folder. Classes are of texts: rows with equal doc_ids share one only
@@ -284,8 +285,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, spec: JoinSpec) -> DataFrame:
     return bodies.mapInPandas(run, "node bigint, own binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Of the distinct node pairs (a, b) those that link; whole sets are compared."""
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Of the distinct node pairs (a, b) those that link; the whole sets of their texts are compared."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches):
@@ -296,6 +297,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: JoinSpec) -> DataFrame:
             yield part.loc[np.array(keep, bool), ["a", "b"]]
 
     pairs = saved(pairs, "near-pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = saved(_sets(texts, nodes.select("node", "set_key", "first").join(met, "node"), spec), "near-sets")
     found = (
         pairs.join(_perhaps(sets, "node", pairs, "a").select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
         .join(_perhaps(sets, "node", pairs, "b").select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
@@ -321,7 +324,7 @@ def _band(spec: JoinSpec, shift: float) -> Column:
 def _star(listed: DataFrame, state: DataFrame, spec: JoinSpec, shift: float, last: bool) -> DataFrame:
     """Pairs of one group of each inverted list and band with those of the list's groups that lie in other classes."""
     leads = state.where("node = lead").select("family", "node", "class")
-    rows = listed.join(leads, "family").select("shingle", _band(spec, shift).alias("band"), "node", "class")
+    rows = listed.join(leads, "family").select("shingle", _band(spec, shift).alias("band"), "node", "class", "size")
     pick = F.max if last else F.min
     heads = (
         rows.groupBy("shingle", "band")
@@ -329,7 +332,19 @@ def _star(listed: DataFrame, state: DataFrame, spec: JoinSpec, shift: float, las
         .where("low <> high")
         .select("shingle", "band", F.col("head.node").alias("a"), F.col("head.class").alias("head_class"))
     )
-    return rows.join(heads, ["shingle", "band"]).where("class <> head_class").select("a", F.col("node").alias("b")).distinct()
+    return (
+        rows.join(heads, ["shingle", "band"])
+        .where("class <> head_class")
+        .groupBy("a", F.col("node").alias("b"))
+        .agg(F.count("*").alias("lists"), F.min("size").alias("size"))
+        .where(F.col("lists") >= _needed(spec, F.col("size")))
+        .select("a", "b")
+    )
+
+
+def _needed(spec: JoinSpec, size: Column) -> Column:
+    """How many prefix shingles a set of this size shares with any that it links with."""
+    return F.least(F.lit(PREFIX_SHARED), F.ceil(size * spec.percent / 100))
 
 
 def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -345,9 +360,15 @@ def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
     groups = (
         x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (100 * small >= spec.percent * large) & fits)
         .select(
-            F.col("x.family").alias("fx"), F.col("x.class").alias("cx"), F.col("y.family").alias("fy"), F.col("y.class").alias("cy")
+            F.col("x.family").alias("fx"),
+            F.col("x.class").alias("cx"),
+            F.col("y.family").alias("fy"),
+            F.col("y.class").alias("cy"),
+            small.alias("small"),
         )
-        .distinct()
+        .groupBy("fx", "cx", "fy", "cy")
+        .agg(F.count("*").alias("lists"), F.min("small").alias("small"))
+        .where(F.col("lists") >= _needed(spec, F.col("small")))
     )
     one = state.select(F.col("family").alias("fx"), F.col("class").alias("cx"), F.col("node").alias("a"))
     other = state.select(F.col("family").alias("fy"), F.col("class").alias("cy"), F.col("node").alias("b"))
@@ -391,17 +412,15 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
         .where((F.col("holders") > 2) | ((F.col("holders") == 2) & (100 * F.col("small") >= spec.percent * F.col("large"))))
         .select("shingle")
     )
-    listed = saved(inverted.join(several, "shingle").select("shingle", "place", "family", "size"), "near-lists")
-    needed = F.least(F.lit(PREFIX_SHARED), F.ceil(F.col("size") * spec.percent / 100))
-    met = saved(listed.groupBy("family", "size").count().where(F.col("count") >= needed).select("family"), "near-met")
-    listed = listed.join(met, "family", "left_semi")
+    listed = saved(inverted.join(several, "shingle").select("shingle", "place", "family", "size"), "near-listed")
+    met = saved(listed.groupBy("family", "size").count().where(F.col("count") >= _needed(spec, F.col("size"))).select("family"), "near-met")
+    listed = saved(listed.join(met, "family", "left_semi"), "near-lists")
     state = saved(
         prefixes.join(groups.select("family", "size", "lead"), ["family", "size"])
         .join(met, "family", "left_semi")
         .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class")),
         "near-state",
     )
-    sets = saved(_sets(texts, state.select("node", "set_key", "first"), spec), "near-sets")
     rounds = [
         lambda s: s.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(_star(listed, s, spec, 0.0, False)).distinct(),
         lambda s: _star(listed, s, spec, 0.5, True),
@@ -409,7 +428,7 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
         lambda s: _rest(listed, s, spec),
     ]
     for pairs in rounds:
-        links = _verified(pairs(state), sets, spec)
+        links = _verified(pairs(state), texts, state, spec)
         if not links.isEmpty():
             found = connected(links, state)
             state = saved(state.drop("class").join(found, "node"), "near-state")
