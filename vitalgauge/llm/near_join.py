@@ -38,7 +38,7 @@ from vitalgauge.llm.common import named, saved, slices
 CACHED_WORDS = 200_000
 PREFIX_SHARED = 3  # shingles that the prefixes of two linked sets share, if the sets are that large
 FILTER_BITS = 24
-COMMON_BITS = 20  # at most 2**20 shingles count as common: those with over 1 / 2**20 of all occurrences
+COMMON_BITS = 22  # shingles with over 1 / 2**(COMMON_BITS + 1) of all occurrences are common: that bounds their number
 COUNT_AT_ONCE = 1 << 21
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -162,10 +162,10 @@ def _counts(held: list[np.ndarray]) -> pd.DataFrame:
 
 
 def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with over 1 / 2**COMMON_BITS of all occurrences, sorted by hash, and their ranks by frequency.
+    """Shingles with over 1 / 2**(COMMON_BITS + 1) of all occurrences, sorted by hash, and their ranks by frequency.
 
-    A task passes on what has over half that share of the millions that it counts at a time, so a common shingle passes
-    in at least one count, and its total is short by half the limit at most; there are at most 2**(COMMON_BITS + 1).
+    A task passes on what has over that share (and at least two) of the millions that it counts at a time; a shingle
+    with such a share of all passes in at least one count. There are at most 2**(COMMON_BITS + 1).
     """
     totals = saved(
         counts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("every").alias("every")),
@@ -321,30 +321,37 @@ def _band(spec: JoinSpec, shift: float) -> Column:
     return F.floor(F.log(F.col("size").cast("double")) / -np.log(spec.percent / 100) + shift)
 
 
-def _star(listed: DataFrame, state: DataFrame, spec: JoinSpec, shift: float, last: bool) -> DataFrame:
-    """Pairs of one group of each inverted list and band with those of the list's groups that lie in other classes."""
+def _star(listed: DataFrame, state: DataFrame, spec: JoinSpec, shift: float, draw: int) -> DataFrame:
+    """Pairs of one group of each inverted list and band, drawn by a hash, with those of the list's groups that lie in
+    other classes and share enough lists with that class."""
     leads = state.where("node = lead").select("family", "node", "class")
     rows = listed.join(leads, "family").select("shingle", _band(spec, shift).alias("band"), "node", "class", "size")
-    pick = F.max if last else F.min
+    # without a draw the lists of a family agree on its smallest node; with one each list draws its own
+    rank = F.xxhash64("node", "shingle", F.lit(draw)) if draw else F.col("node")
     heads = (
         rows.groupBy("shingle", "band")
-        .agg(pick(F.struct("node", "class")).alias("head"), F.min("class").alias("low"), F.max("class").alias("high"))
+        .agg(F.min(F.struct(rank.alias("rank"), "node", "class")).alias("head"), F.min("class").alias("low"), F.max("class").alias("high"))
         .where("low <> high")
         .select("shingle", "band", F.col("head.node").alias("a"), F.col("head.class").alias("head_class"))
     )
     return (
         rows.join(heads, ["shingle", "band"])
         .where("class <> head_class")
-        .groupBy("a", F.col("node").alias("b"))
-        .agg(F.count("*").alias("lists"), F.min("size").alias("size"))
+        .groupBy(F.col("node").alias("b"), "head_class")
+        .agg(F.count("*").alias("lists"), F.min("size").alias("size"), F.collect_set("a").alias("heads"))
         .where(F.col("lists") >= _needed(spec, F.col("size")))
-        .select("a", "b")
+        .select(F.explode("heads").alias("a"), "b")
     )
 
 
+def _least(spec: JoinSpec, size: Column) -> Column:
+    """How many shingles a set of this size shares with any that it links with."""
+    return F.ceil(size * spec.percent / 100)
+
+
 def _needed(spec: JoinSpec, size: Column) -> Column:
-    """How many prefix shingles a set of this size shares with any that it links with."""
-    return F.least(F.lit(PREFIX_SHARED), F.ceil(size * spec.percent / 100))
+    """How many of them lie in both prefixes."""
+    return F.least(F.lit(PREFIX_SHARED), _least(spec, size))
 
 
 def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -356,6 +363,7 @@ def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     # at most what stands before in both prefixes, this shingle, and what follows in both
     reach = F.least("x.place", "y.place") + 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
+    reach = F.least(reach, "x.free", "y.free")
     fits = 100 * reach >= spec.percent * (F.col("x.size") + F.col("y.size") - reach)
     groups = (
         x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (100 * small >= spec.percent * large) & fits)
@@ -413,8 +421,15 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
         .select("shingle")
     )
     listed = saved(inverted.join(several, "shingle").select("shingle", "place", "family", "size"), "near-listed")
-    met = saved(listed.groupBy("family", "size").count().where(F.col("count") >= _needed(spec, F.col("size"))).select("family"), "near-met")
-    listed = saved(listed.join(met, "family", "left_semi"), "near-lists")
+    # shingles of a prefix that are on no list are in no set that may link: ``free`` is what can be shared at most
+    met = saved(
+        listed.groupBy("family", "size")
+        .count()
+        .where(F.col("count") >= _needed(spec, F.col("size")))
+        .select("family", (_least(spec, F.col("size")) - _needed(spec, F.col("size")) + F.col("count")).alias("free")),
+        "near-met",
+    )
+    listed = saved(listed.join(met, "family"), "near-lists")
     state = saved(
         prefixes.join(groups.select("family", "size", "lead"), ["family", "size"])
         .join(met, "family", "left_semi")
@@ -422,9 +437,9 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
         "near-state",
     )
     rounds = [
-        lambda s: s.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(_star(listed, s, spec, 0.0, False)).distinct(),
-        lambda s: _star(listed, s, spec, 0.5, True),
-        lambda s: _star(listed, s, spec, 0.0, True),
+        lambda s: s.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(_star(listed, s, spec, 0.0, 0)).distinct(),
+        lambda s: _star(listed, s, spec, 0.5, 1),
+        lambda s: _star(listed, s, spec, 0.0, 2),
         lambda s: _rest(listed, s, spec),
     ]
     for pairs in rounds:
