@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from vitalgauge.llm.common import named, shared_path
 
 END_ID = 0
 NO_ID = -(1 << 63)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 OTHER_SPACES = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = rf"{OTHER_SPACES}\n "
 # One space may lead a run of other characters; of the white space before a run all but the last stands alone.
@@ -66,15 +67,15 @@ class WordEncoder:
         self.by_words = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre)
 
     def _fill(self, table: dict[str, bytes], units: set[str], lead: str) -> None:
-        new = list(units - table.keys())
+        # the first words seen are the common ones: they stay, what came later goes
+        if len(table) > 2 * CACHED_WORDS:
+            for old in list(table)[CACHED_WORDS:]:
+                del table[old]
+        new = [u for u in units if u not in table]
         if new:
-            if len(table) + len(new) > CACHED_WORDS and table:
-                # the first words seen are the common ones: they stay, what came later goes
-                for old in list(table)[CACHED_WORDS // 2 :]:
-                    del table[old]
-                new = list(units - table.keys())
+            code = "H" if self.dtype.itemsize == 2 else "I"
             found = self.tokenizer.encode_batch_fast([lead + u for u in new], add_special_tokens=False)
-            table.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(new, found, strict=True))
+            table.update((u, array(code, e.ids).tobytes()) for u, e in zip(new, found, strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
