@@ -33,12 +33,25 @@ from vitalgauge.llm.common import named, shared_path
 
 END_ID = 0
 NO_ID = -(1 << 63)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 OTHER_SPACES = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = rf"{OTHER_SPACES}\n "
 # One space may lead a run of other characters; of the white space before a run all but the last stands alone.
 UNITS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-UNUSUAL = re.compile(rf"[{OTHER_SPACES}]|  |\n\n|\n | \n|^ | \Z|^\n|\n\Z")
+ODD = re.compile(f"[{OTHER_SPACES}]")
+
+
+def unusual(text: str) -> bool:
+    """Whether the text has white space other than single spaces and line ends between words."""
+    return (
+        "  " in text
+        or "\n\n" in text
+        or "\n " in text
+        or " \n" in text
+        or text[:1] in (" ", "\n")
+        or text[-1:] in (" ", "\n")
+        or ODD.search(text) is not None
+    )
 
 
 def default_tokenizer() -> str:
@@ -61,58 +74,75 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.spaced: dict[str, bytes] = {}  # ids of a space and the word
-        self.plain: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # pieces that begin with a space
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
+        self.spaced, self.plain = _Words(), _Words()  # ids of a space and the word; of the word alone
         pre = self.tokenizer.pre_tokenizer
         self.by_words = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre)
 
-    def _fill(self, table: dict[str, bytes], units: set[str], lead: str) -> None:
-        # the first words seen are the common ones: they stay, what came later goes
-        if len(table) > 2 * CACHED_WORDS:
-            for old in list(table)[CACHED_WORDS:]:
-                del table[old]
-        new = [u for u in units if u not in table]
-        if new:
-            code = "H" if self.dtype.itemsize == 2 else "I"
-            found = self.tokenizer.encode_batch_fast([lead + u for u in new], add_special_tokens=False)
-            table.update((u, array(code, e.ids).tobytes()) for u, e in zip(new, found, strict=True))
+    def _fill(self) -> None:
+        """Work out the ids of the words that were asked for and aren't known yet."""
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        fresh = list(self.spaced.fresh.items())
+        runs = [fresh[k : k + 64] for k in range(0, len(fresh), 64)]
+        joined = self.tokenizer.encode_batch_fast([" " + " ".join([u for u, _ in run]) for run in runs], add_special_tokens=False)
+        alone = [("", u, ids) for u, ids in self.plain.fresh.items()]
+        for run, encoded in zip(runs, joined, strict=True):
+            ids = np.array(encoded.ids, self.dtype)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(run) and starts[0] == 0:
+                raw, cuts = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), None]
+                for (_, known), a, b in zip(run, cuts, cuts[1:], strict=False):
+                    known += raw[a:b]
+            else:
+                alone += [(" ", u, known) for u, known in run]
+        found = self.tokenizer.encode_batch_fast([lead + u for lead, u, _ in alone], add_special_tokens=False)
+        for (_, _, known), encoded in zip(alone, found, strict=True):
+            known += array(code, encoded.ids).tobytes()
+        self.spaced.settle()
+        self.plain.settle()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        lines_of: list[list[list[str]] | list[str] | None] = []
-        spaced: set[str] = set()
-        plain: set[str] = {"\n"}
+        spaced, plain = self.spaced.__getitem__, self.plain.__getitem__
+        parts_of: list[list[bytearray] | bytes] = []
         for text in texts:
             if not self.by_words or (self.added is not None and self.added.search(text)):
-                lines_of.append(None)
-            elif UNUSUAL.search(text):
-                units = UNITS.findall(text)
-                plain.update(units)
-                lines_of.append(units)
-            else:
-                lines = [line.split(" ") for line in text.split("\n")] if text else []
-                for line in lines:
-                    plain.add(line[0])
-                    spaced.update(line)
-                lines_of.append(lines)
-        self._fill(self.spaced, spaced, " ")
-        self._fill(self.plain, plain, "")
-        out = []
-        for text, lines in zip(texts, lines_of, strict=True):
-            if lines is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, self.dtype).tobytes())
-            elif lines and isinstance(lines[0], str):
-                out.append(b"".join([self.plain[u] for u in lines]))
+                parts_of.append(np.array(ids, self.dtype).tobytes())
+            elif text and unusual(text):
+                parts_of.append(list(map(plain, UNITS.findall(text))))
             else:
-                parts: list[bytes] = []
-                for line in lines:
+                parts: list[bytearray] = []
+                for line in text.split("\n") if text else ():
+                    first, *others = line.split(" ")
                     if parts:
-                        parts.append(self.plain["\n"])
-                    parts.append(self.plain[line[0]])
-                    parts += map(self.spaced.__getitem__, line[1:])
-                out.append(b"".join(parts))
-        return out
+                        parts.append(plain("\n"))
+                    parts.append(plain(first))
+                    parts += map(spaced, others)
+                parts_of.append(parts)
+        self._fill()
+        return [parts if isinstance(parts, bytes) else b"".join(parts) for parts in parts_of]
+
+
+class _Words(dict):
+    """Ids by word. A word that isn't known gets an empty entry, which is filled before it is read."""
+
+    def __init__(self) -> None:
+        self.fresh: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytearray:
+        if word in self.fresh:
+            return self.fresh[word]
+        entry = self.fresh[word] = bytearray()
+        return entry
+
+    def settle(self) -> None:
+        """Keep the new words while there is room: the first ones seen are the common ones."""
+        if len(self) < CACHED_WORDS:
+            self.update(self.fresh)
+        self.fresh = {}
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
