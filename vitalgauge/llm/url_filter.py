@@ -88,7 +88,8 @@ def judge_urls(
         .withColumn("node", F.lit(""))
     )
     for level in range(levels):
-        paths = _descend(paths, level, levels, most_kinds, rare_share, merge_z)
+        # each level reads the last one twice: as a table its plan isn't repeated
+        paths = saved(_descend(saved(paths, "url-level") if level == 0 else paths, level, levels, most_kinds, rare_share, merge_z), "url-level")
     paths = saved(paths.select("host", "path", F.col("node").alias("template"), "n", "judged", "bad"), "url-templates")
 
     whole = paths.agg(F.sum("judged").alias("judged"), F.sum("bad").alias("bad")).first()
