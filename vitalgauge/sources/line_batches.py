@@ -58,7 +58,7 @@ def decode_line_batches(batches: DataFrame, max_events: int = 1_000) -> DataFram
             "_lines",
             F.expr("if(element_at(_lines, -1) = '', slice(_lines, 1, size(_lines) - 1), _lines)"),
         )
-        .withColumn("_lines", F.expr("transform(_lines, x -> regexp_replace(x, '\\r$', ''))"))
+        .withColumn("_lines", F.expr("transform(_lines, x -> if(endswith(x, char(13)), left(x, length(x) - 1), x))"))
     )
     batch_error = ladder(
         ("NOT _valid", lit("INVALID_ENCODING")),
