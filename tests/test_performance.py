@@ -201,7 +201,7 @@ def test_spread_percentiles_match_numpy(spark):
     wanted = {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
     for got in (
         spread_percentiles(df, ["k"], "v", wanted),
-        percentile_aggregates(df, ["k"], "v", wanted, in_buffer_rows=10),
+        percentile_aggregates(df, ["k"], "v", wanted),
     ):
         rows = {r["k"]: r for r in got.collect()}
         for key in ("hot", "copies", "small", None):

@@ -1,10 +1,10 @@
 """Exact linear-interpolated percentiles, whatever the size of a group.
 
-Spark's own ``percentile`` keeps every distinct value of a group in one buffer, which is fine for
-groups of a checked size. For larger ones the values are first counted by (group, value), which
-spreads any group over all partitions. Approximate splitters then cut each group into bins; exact
-bin totals tell which bins hold the wanted ranks, and only those bins are sorted. The splitters
-affect balance only: any splitters give the exact result.
+Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here the values are
+first counted by (group, value), which spreads any group over all partitions. Approximate splitters
+then cut each group into bins; exact bin totals tell which bins hold the wanted ranks, and only
+those bins are sorted. The splitters affect balance only: any splitters give the exact result. One
+lazy plan serves groups of every size.
 """
 
 from __future__ import annotations
@@ -12,54 +12,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 256
-_STEP = 16
-# Groups with at most this many rows are one bin.
-SINGLE_BIN_ROWS = 10_000
+BINS = 64
+_STEP = 8
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi join in which a null key matches a null key; the right keys are dropped."""
+    if not keys:
+        return left.join(F.broadcast(right), how=how)  # the right side is one row
     renamed = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
     condition = F.expr(" AND ".join(f"{k} <=> r_{k}" for k in keys))
     return left.join(renamed, condition, how).drop(*[f"r_{k}" for k in keys])
 
 
-# Largest group whose values may share one aggregation buffer.
-IN_BUFFER_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str], value: str) -> int:
-    """Values in the biggest group; one number reaches the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def percentile_aggregates(
     df: DataFrame,
     keys: list[str],
     value: str,
     probabilities: dict[str, float],
     aggregates: tuple[Column, ...] = (),
-    in_buffer_rows: int = IN_BUFFER_ROWS,
 ) -> DataFrame:
     """Group by ``keys`` with the given aggregates and one column per named probability.
 
-    Null values are ignored by the percentiles. The group sizes are checked first: if every group
-    fits a buffer this is a single aggregate, otherwise the percentiles are computed spread out and
-    joined on.
+    Null values are ignored by the percentiles, which are computed spread out and joined on.
     """
     if not keys:
-        one = df.withColumn("_all", F.lit(0))
-        return percentile_aggregates(
-            one, ["_all"], value, probabilities, aggregates, in_buffer_rows
-        ).drop("_all")
-    if largest_group(df, keys, value) <= in_buffer_rows:
-        builtin = [
-            F.expr(f"percentile(cast({value} AS double), {p}D) AS {name}")
-            for name, p in probabilities.items()
-        ]
-        return df.groupBy(*keys).agg(*aggregates, *builtin)
+        # Always 0, but not a literal, so that the joins keep an equality key.
+        one = df.withColumn("_all", F.pmod(F.hash(value), F.lit(1)))
+        return percentile_aggregates(one, ["_all"], value, probabilities, aggregates).drop("_all")
     spread = spread_percentiles(df, keys, value, probabilities)
     base = df.groupBy(*keys).agg(*(aggregates or (F.count(value).alias("_n"),)))
     return null_safe_join(base, spread, keys, "left").drop("_n")
@@ -68,7 +48,11 @@ def percentile_aggregates(
 def spread_percentiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
-    """Percentiles of groups too large for one buffer: one row per group with values."""
+    """Percentiles alone: one row per group with values.
+
+    Counted values meet the splitters of their group; where these are too many to broadcast, the
+    adaptive skew join divides a hot group.
+    """
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
@@ -76,12 +60,9 @@ def spread_percentiles(
     )
     cuts = ", ".join(f"{i / BINS}D" for i in range(1, BINS))
     splits = counted.groupBy(*keys).agg(
-        F.expr(
-            f"if(sum(c) <= {SINGLE_BIN_ROWS}, cast(array() AS array<double>),"
-            f" percentile_approx(v, array({cuts}), 1000)) AS splits"
-        )
+        F.expr(f"percentile_approx(v, array({cuts}), 1000) AS splits")
     ).withColumn("coarse", F.expr(f"filter(splits, (s, i) -> i % {_STEP} = {_STEP - 1})"))
-    # Two-step search: every 16th splitter first, then the 16 splitters after it.
+    # Two-step search: every eighth splitter first, then the eight after it.
     binned = (
         null_safe_join(counted, splits, keys, "inner")
         .withColumn("jump", F.expr("size(filter(coarse, s -> s < v))"))
