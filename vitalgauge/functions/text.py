@@ -51,6 +51,28 @@ def json_string(text: str) -> str:
     return f"trim(BOTH '[]' FROM to_json(array({text})))"
 
 
+def python_double(number: str) -> str:
+    """Text of a finite double as Python prints it: an exponent below 1e-4 and from 1e16, else plain digits.
+
+    Java switches to an exponent at 1e-3 and 1e7 and writes it differently; the digits are the same.
+    """
+    split = (
+        f"transform(array(cast({number} AS string)), t -> named_struct('t', t, 'm',"
+        " replace(substring_index(t, 'E', 1) || '|', '.0|', '|'), 'n',"
+        " cast(if(contains(t, 'E'), substring_index(t, 'E', -1), '0') AS int)))"
+    )
+    digits = "translate(p.m, '-.|', '')"
+    sign = "if(startswith(p.t, '-'), '-', '')"
+    return (
+        f"element_at(transform({split}, p -> CASE WHEN NOT contains(p.t, 'E') THEN p.t"
+        " WHEN p.n >= 16 OR p.n < -4 THEN concat(translate(p.m, '|', ''), 'e', if(p.n < 0, '-', '+'),"
+        " if(abs(p.n) < 10, '0', ''), cast(abs(p.n) AS string))"
+        f" WHEN p.n < 0 THEN concat({sign}, '0.', repeat('0', -p.n - 1), {digits})"
+        f" WHEN length({digits}) <= p.n + 1 THEN concat({sign}, rpad({digits}, p.n + 1, '0'), '.0')"
+        f" ELSE concat({sign}, left({digits}, p.n + 1), '.', substring({digits}, p.n + 2)) END), 1)"
+    )
+
+
 def lower_escapes(column: str) -> str:
     """JSON text of a column with lower-case control escapes, so hashes do not depend on the writer.
 

@@ -145,11 +145,12 @@ def _holds(text: str) -> str:
 
 
 def scrub_identifiers(events: DataFrame) -> DataFrame:
-    """Delete map entries, scenes and native frames that carry a plaintext id.
+    """Delete map entries, scenes, occurrence texts and native frames that carry a plaintext id.
 
     Keys are searched only inside sender-controlled maps. A partly scrubbed frame is no longer an
-    exact identity and is dropped whole.
+    exact identity and is dropped whole, at the top level as inside an occurrence.
     """
+    frame = " OR ".join(_holds(f"f.{c}") for c in ("abi", "module_build_id", "module_name"))
     out = []
     for column in events.columns:
         if column in ("fields", "field_types", "global_context", "extras", "unknown"):
@@ -159,10 +160,18 @@ def scrub_identifiers(events: DataFrame) -> DataFrame:
         elif column == "scene":
             out.append(f"if({_holds('scene')}, NULL, scene) AS scene")
         elif column == "native_frames":
-            frame = " OR ".join(
-                _holds(f"f.{c}") for c in ("abi", "module_build_id", "module_name")
-            )
             out.append(f"filter(native_frames, f -> NOT ({frame})) AS native_frames")
+        elif column == "occurrence":
+            parts = []
+            for field in events.schema["occurrence"].dataType:
+                value = f"occurrence.{field.name}"
+                if field.name == "native_frames":
+                    value = f"filter({value}, f -> NOT ({frame}))"
+                elif field.dataType.typeName() == "string":
+                    value = f"if({_holds(value)}, NULL, {value})"
+                parts.append(f"'{field.name}', {value}")
+            scrubbed = f"named_struct({', '.join(parts)})"
+            out.append(f"if(occurrence IS NULL, NULL, {scrubbed}) AS occurrence")
         else:
             out.append(column)
     return events.selectExpr(*out)

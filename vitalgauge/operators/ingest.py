@@ -16,6 +16,7 @@ from vitalgauge.functions.text import (
     json_string,
     lower_escapes,
     parse_double,
+    python_double,
     raw,
     untrimmed,
 )
@@ -198,7 +199,7 @@ def _map_json(column: str, typed: bool) -> str:
         value = (
             f"CASE WHEN e.value IS NULL THEN 'null' WHEN {kind} IN ('BOOLEAN', 'BYTE', 'SHORT',"
             f" 'INT', 'LONG') THEN e.value WHEN {kind} IN ('FLOAT', 'DOUBLE') AND {finite}"
-            f" THEN to_json(array(cast(e.value AS double))) ELSE {value} END"
+            f" THEN {python_double('cast(e.value AS double)')} ELSE {value} END"
         )
     return (
         f"concat('{{', array_join(transform(array_sort(map_entries({column})), e ->"
@@ -206,6 +207,38 @@ def _map_json(column: str, typed: bool) -> str:
     )
 
 
+def _occurrence_json() -> str:
+    """Key-sorted JSON of an occurrence as it is stored: without installation and session id.
+
+    An absent device model or system version leaves its key out; an absent load bias stays as null.
+    """
+
+    def pair(key: str, sql: str) -> str:
+        return f"""concat('"{key}":', {sql})"""
+
+    def frame(key: str) -> str:
+        number = f"coalesce(cast(f.{key} AS string), 'null')"
+        return pair(key, number if key in ("load_bias", "module_relative_pc") else json_string(f"f.{key}"))
+
+    frame_keys = ("abi", "load_bias", "module_build_id", "module_name", "module_relative_pc")
+    frame_json = "concat('{', " + ", ',', ".join(frame(k) for k in frame_keys) + ", '}')"
+    frames = f"array_join(transform(occurrence.native_frames, f -> {frame_json}), ',')"
+    parts = []
+    for key in (
+        "app_build", "device_model", "native_frames", "os_version", "service_version", "variant",
+        "version_code",
+    ):
+        if key == "native_frames":
+            parts.append(pair(key, f"concat('[', coalesce({frames}, ''), ']')"))
+        elif key in ("device_model", "os_version"):
+            value = pair(key, json_string(f"occurrence.{key}"))
+            parts.append(f"if(occurrence.{key} IS NULL, NULL, {value})")
+        else:
+            parts.append(pair(key, json_string(f"occurrence.{key}")))
+    # array_join leaves out the null parts.
+    return f"concat('{{', array_join(array({', '.join(parts)}), ','), '}}')"
+
+
 def canonical_json(has_occurrence: bool) -> str:
     """SQL of the key-sorted compact JSON of one event, with absent optional keys left out."""
 
@@ -232,15 +265,7 @@ def canonical_json(has_occurrence: bool) -> str:
         "unknown": _map_json("unknown", False),
     }
     if has_occurrence:
-        # to_json drops null fields, which is the rule for the optional keys of an occurrence.
-        keys = (
-            "app_build", "device_model", "native_frames", "os_version", "service_version",
-            "session_id", "variant", "version_code",
-        )
-        fields = ", ".join(f"'{k}', occurrence.{k}" for k in keys)
-        parts["occurrence"] = (
-            f"if(occurrence IS NULL, 'null', to_json(named_struct({fields})))"
-        )
+        parts["occurrence"] = f"if(occurrence IS NULL, 'null', {_occurrence_json()})"
     body = ", ',', ".join(f"""'"{key}":', {sql}""" for key, sql in parts.items())
     return f"concat('{{', {body}, '}}')"
 
@@ -315,14 +340,14 @@ def check_envelope_headers(batches: DataFrame) -> DataFrame:
 def dedup_events(new: DataFrame, existing: DataFrame) -> DataFrame:
     """First copy of every (tenant, event id) that is not stored yet.
 
-    The ranking keeps one row per key before the shuffle as well (window group limit), so a key
-    with very many copies does not gather.
+    The ranking comes first and keeps one row per key before its shuffle as well (window group
+    limit), so a key with very many copies gathers neither there nor in the join with stored rows.
     """
     first = Window.partitionBy("tenant_id", "event_id").orderBy("batch_id", "event_index")
-    fresh = new.join(
+    ranked = new.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
+    return ranked.join(
         existing.select("tenant_id", "event_id"), ["tenant_id", "event_id"], "left_anti"
     )
-    return fresh.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
 
 
 SIGNATURE = (
@@ -336,11 +361,18 @@ _STORED_SCOPE = ("app_id", "environment")
 def detect_event_conflicts(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Event ids reused for other content: inside one batch, or against a stored row.
 
-    One conflict rejects its whole batch; rows name the batch, the id and where it clashed.
+    One conflict rejects its whole batch; rows name the batch, the id and where it clashed. Copies
+    fold to the distinct contents of an id before they meet stored rows, and only clashing contents
+    are led back to their batches.
     """
     signature = F.sha2(F.to_json(F.struct(*SIGNATURE)), 256)
     marked = new.select(
-        "tenant_id", "batch_id", "event_id", signature.alias("signature"), *_STORED_SCOPE
+        "tenant_id",
+        "batch_id",
+        "event_id",
+        signature.alias("signature"),
+        *_STORED_SCOPE,
+        F.sha2(F.to_json(F.struct(*SIGNATURE, *_STORED_SCOPE)), 256).alias("content"),
     )
     inside = (
         marked.groupBy("tenant_id", "batch_id", "event_id")
@@ -348,7 +380,6 @@ def detect_event_conflicts(new: DataFrame, existing: DataFrame) -> DataFrame:
         .filter("variants > 1")
         .select("tenant_id", "batch_id", "event_id", F.lit("BATCH").alias("conflict"))
     )
-    distinct = marked.distinct()
     stored = existing.select(
         "tenant_id",
         "event_id",
@@ -356,9 +387,18 @@ def detect_event_conflicts(new: DataFrame, existing: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"stored_{c}") for c in _STORED_SCOPE],
     )
     differs = "signature <> stored OR app_id <> stored_app_id OR environment <> stored_environment"
-    against = (
-        distinct.join(stored, ["tenant_id", "event_id"])
+    clashing = (
+        marked.drop("batch_id")
+        .distinct()
+        .join(stored, ["tenant_id", "event_id"])
         .filter(differs)
+        .select("tenant_id", "event_id", "content")
+        .distinct()
+    )
+    against = (
+        marked.select("tenant_id", "batch_id", "event_id", "content")
+        .distinct()
+        .join(clashing, ["tenant_id", "event_id", "content"], "left_semi")
         .select("tenant_id", "batch_id", "event_id", F.lit("STORED").alias("conflict"))
         .distinct()
     )
@@ -421,6 +461,7 @@ def admit_quota(
     Whether a batch fits depends on which earlier ones were admitted, so this is a fold in arrival
     order. Batches are spread by (key, minute), sorted by Spark, and each task streams through its
     rows with two counters. ``used`` carries counters of minutes that are already partly consumed.
+    A batch whose key has no limits is rejected.
     """
     windowed = batches.withColumn("window_ms", F.expr("received_ms - received_ms % 60000"))
     if used is None:
@@ -430,7 +471,8 @@ def admit_quota(
             0, ["used_requests", "used_events"]
         )
     ordered = (
-        seeded.join(limits, "key_id")
+        seeded.join(limits, "key_id", "left")
+        .na.fill(0, ["requests_per_minute", "events_per_minute"])
         .repartition("key_id", "window_ms")
         .sortWithinPartitions("key_id", "window_ms", "received_ms", "batch_id")
     )

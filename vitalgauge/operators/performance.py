@@ -15,7 +15,7 @@ from vitalgauge import catalog
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.operators.percentiles import percentile_aggregates
+from vitalgauge.operators.percentiles import null_safe_join, percentile_aggregates
 from vitalgauge.operators.scope import Scope, bucket_index, bucket_spine, scope_window_filter
 from vitalgauge.session import small_table
 
@@ -354,7 +354,7 @@ def weighted_fps(pairs: DataFrame, *keys: str) -> DataFrame:
         F.expr(f"max(span) FILTER (WHERE {usable}) AS span_scale"),
         F.expr(f"max(fps) FILTER (WHERE {usable}) AS fps_scale"),
     )
-    joined = pairs.join(scales, list(keys))
+    joined = null_safe_join(pairs, scales, list(keys), "inner")
     totals = joined.groupBy(*keys).agg(
         F.expr(f"count_if({usable}) AS sample_count"),
         F.expr("count(*) AS event_count"),
@@ -407,7 +407,7 @@ def paired_ratio(
     )
     scales = pairs.groupBy(*keys).agg(F.max("b").alias("scale"))
     return (
-        pairs.join(scales, list(keys))
+        null_safe_join(pairs, scales, list(keys), "inner")
         .groupBy(*keys)
         .agg(F.expr("sum(a / scale) / sum(b / scale) AS ratio"), F.expr("count(*) AS pair_count"))
     )

@@ -385,15 +385,27 @@ def _(spark, sf):
     )
 
 
+# Payload rows also carry a typed double and one native frame, with a load bias in every second.
+RATIO = (
+    "CASE k % 5 WHEN 0 THEN '1e16' WHEN 1 THEN '0.0001' WHEN 2 THEN '-12345678.5' WHEN 3 THEN"
+    " '1E-7' ELSE '250' END"
+)
 JSON_SQL = (
-    "'{\"event_id\":\"' || event_id || '\",\"extras\":{},\"field_types\":{},\"fields\":{\"' ||"
-    " map_key || '\":\"' || map_value || '\"},\"foreground\":true,\"global_context\":{\"screen\":"
+    "'{\"event_id\":\"' || replace(event_id, chr(7), '\\u0007') ||"
+    " '\",\"extras\":{},\"field_types\":{\"ratio\":\"DOUBLE\"},\"fields\":{' || CASE WHEN"
+    " extra_entries > 0 THEN (SELECT string_agg('\"' || n || '\":\"x\",', '' ORDER BY n) FROM"
+    " (SELECT cast(unnest(range(1, 257)) AS varchar) AS n)) ELSE '' END || '\"' ||"
+    " map_key || '\":\"' || map_value || '\",\"ratio\":' ||"
+    f" cast(cast({RATIO} AS double) AS varchar)"
+    " || '},\"foreground\":true,\"global_context\":{\"screen\":"
     "\"home\",\"user\":\"' || installation_id || '\"},\"kind\":\"' || kind || '\",\"module\":\"' ||"
     " module || '\",\"name\":\"' || name || '\",\"occurrence\":{\"app_build\":\"' || app_build ||"
     " '\",' || CASE WHEN device_model IS NULL THEN '' ELSE '\"device_model\":\"' || device_model ||"
-    " '\",' END || '\"native_frames\":[],' || CASE WHEN os_version IS NULL THEN '' ELSE"
+    " '\",' END || '\"native_frames\":[{\"abi\":\"arm64\",\"load_bias\":' || CASE WHEN k % 2 = 0"
+    " THEN 'null' ELSE '4096' END || ',\"module_build_id\":\"b1\",\"module_name\":\"lib.so\","
+    "\"module_relative_pc\":' || cast(k AS varchar) || '}],' || CASE WHEN os_version IS NULL THEN '' ELSE"
     " '\"os_version\":\"' || os_version || '\",' END || '\"service_version\":\"' || service_version"
-    " || '\",\"session_id\":\"' || session_id || '\",\"variant\":\"release\",\"version_code\":\"'"
+    " || '\",\"variant\":\"release\",\"version_code\":\"'"
     " || version_code || '\"},\"priority\":\"' || priority || '\",\"process_name\":\"' ||"
     " process_name || '\",\"scene\":' || CASE WHEN scene IS NULL THEN 'null' ELSE '\"' || scene ||"
     " '\"' END || ',\"severity\":\"' || severity || '\",\"thread_name\":\"' || thread_name ||"
@@ -401,23 +413,35 @@ JSON_SQL = (
 )
 
 
+def payload_rows(spark, sf):
+    frame = (
+        "named_struct('abi', 'arm64', 'module_build_id', 'b1', 'module_name', 'lib.so',"
+        " 'module_relative_pc', k, 'load_bias', if(k % 2 = 0, NULL, 4096))"
+    )
+    frames = F.expr(f"cast(array({frame}) AS array<{PB._FRAME}>)")
+    return wire_events(spark, sf).withColumns({
+        "fields": F.expr(f"map_concat(fields, map('ratio', {RATIO}))"),
+        "field_types": F.expr("map('ratio', 'DOUBLE')"),
+        "occurrence": F.col("occurrence").withField("native_frames", frames),
+    })
+
+
 @query(
     "canonical_payload_hash",
     f"{WIRE_CTE} SELECT id, sha256({JSON_SQL}) AS payload_sha256, octet_length(encode({JSON_SQL})) AS"
-    " payload_size_bytes FROM wire WHERE k NOT IN (83, 93)",
+    " payload_size_bytes FROM wire",
 )
 def _(spark, sf):
-    rows = wire_events(spark, sf).filter("k NOT IN (83, 93)")
+    rows = payload_rows(spark, sf)
     return IN.canonical_payload_hash(rows).select("id", "payload_sha256", "payload_size_bytes")
 
 
 @query(
     "event_size_limit",
-    f"{WIRE_CTE} SELECT id, octet_length(encode({JSON_SQL})) > 1000 AS too_large FROM wire"
-    " WHERE k NOT IN (83, 93)",
+    f"{WIRE_CTE} SELECT id, octet_length(encode({JSON_SQL})) > 1000 AS too_large FROM wire",
 )
 def _(spark, sf):
-    rows = wire_events(spark, sf).filter("k NOT IN (83, 93)")
+    rows = payload_rows(spark, sf)
     return IN.event_size_limit(IN.canonical_payload_hash(rows), limit=1_000).select(
         "id", "too_large"
     )
