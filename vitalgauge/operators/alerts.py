@@ -13,34 +13,32 @@ from vitalgauge.operators.performance import observe_value
 from vitalgauge.session import broadcast_checked
 
 _SCOPE = ["tenant_id", "app_id", "environment"]
-MAX_RULES_PER_SCOPE = 100
 
 
-def active_rules(rules: DataFrame) -> DataFrame:
-    """Enabled rules, the first 100 of every scope."""
+def active_rules(rules: DataFrame, per_scope: int | None = None) -> DataFrame:
+    """Enabled rules; with ``per_scope`` only the first ones of every scope by id."""
+    enabled = rules.filter("enabled")
+    if per_scope is None:
+        return enabled
     rank = F.row_number().over(Window.partitionBy(*_SCOPE).orderBy("rule_id"))
-    return (
-        rules.filter("enabled")
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= MAX_RULES_PER_SCOPE)
-        .drop("_rank")
-    )
+    return enabled.withColumn("_rank", rank).filter(F.col("_rank") <= per_scope).drop("_rank")
 
 
 def rule_events(events: DataFrame, rules: DataFrame, now_ms: int) -> DataFrame:
     """Events inside the window of each rule of their scope.
 
     The scope columns stay equality keys, so this is a hash join with the window as residual. A
-    release rule only sees occurrence-bound events of its release.
+    release rule only sees occurrence-bound events of its release. Events older than the longest
+    window are left out before the join.
     """
     wanted = rules.select(
         *_SCOPE, "rule_id", "metric", "window_seconds", "release_version"
     )
     span = "window_seconds * 1000L"
-    longest = now_ms - 86_400_000
+    longest = wanted.agg(F.max(F.expr(span))).scalar()
     return (
         events.filter(
-            (F.col("occurrence_timestamp_ms") >= longest)
+            (F.col("occurrence_timestamp_ms") >= F.lit(now_ms) - longest)
             & (F.col("occurrence_timestamp_ms") < now_ms)
         )
         .join(broadcast_checked(wanted), _SCOPE)
