@@ -87,17 +87,17 @@ def log_records(rows: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
 
 
 def otlp_logs(rows: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
-    """Log records grouped by export batch and resource."""
+    """Log records grouped by export batch and resource, in order of their ids."""
     return (
         log_records(rows, namespace)
         .groupBy("export_batch", *_RESOURCE, "build", "process_name")
         .agg(
             F.expr(
-                "transform(array_sort(collect_list(struct(id, record.event_id AS e)),"
-                " (a, b) -> cast(a.id - b.id AS int)), x -> x.e) AS event_ids"
-            ),
-            F.collect_list("record").alias("records"),
+                "transform(array_sort(collect_list(struct(id, record)),"
+                " (a, b) -> cast(sign(a.id - b.id) AS int)), x -> x.record) AS records"
+            )
         )
+        .withColumn("event_ids", F.expr("transform(records, r -> r.event_id)"))
     )
 
 

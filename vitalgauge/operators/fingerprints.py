@@ -9,6 +9,7 @@ from vitalgauge.functions.events import FAMILY
 from vitalgauge.functions.text import basename, json_string, lines, lower_escapes, raw, strip
 
 MAX_LINES = 256
+# Patterns that define the fingerprint (fixed values).
 _FRAME = raw(r"#\d+\s+pc\s+([0-9a-fA-F]+)\s+(\S+)(.*)")
 _ADDRESS = raw(r"(?:0x)?[0-9a-fA-F]{6,}")
 _LINE_NUMBER = raw(r":\d+\)")

@@ -177,6 +177,7 @@ def scrub_identifiers(events: DataFrame) -> DataFrame:
     return events.selectExpr(*out)
 
 
+# Identifiers that can't be rewritten (fixed values).
 REQUIRED_IDENTIFIERS = (
     "event_id", "module", "name", "process_name", "thread_name", "tenant_id", "app_id",
     "environment", "sdk_version", "app_version", "app_build", "version_code", "variant",

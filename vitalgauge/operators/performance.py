@@ -185,13 +185,13 @@ def metric_summaries(rows: DataFrame, releases: tuple[str, ...]) -> DataFrame:
 def compare_metrics(summaries: DataFrame, new_release: str, baseline_release: str) -> DataFrame:
     """p95 of the new release minus the baseline per metric, null unless both exist."""
 
-    def p95(release: str) -> str:
-        return f"max(p95) FILTER (WHERE app_version = '{release}')"
+    def p95(release: str) -> Column:
+        return F.max(F.when(F.col("app_version") == F.lit(release), F.col("p95")))
 
     return summaries.groupBy("metric_id").agg(
-        F.expr(f"{p95(new_release)} AS current_p95"),
-        F.expr(f"{p95(baseline_release)} AS baseline_p95"),
-        F.expr(f"{p95(new_release)} - {p95(baseline_release)} AS p95_delta"),
+        p95(new_release).alias("current_p95"),
+        p95(baseline_release).alias("baseline_p95"),
+        (p95(new_release) - p95(baseline_release)).alias("p95_delta"),
     )
 
 
@@ -215,8 +215,8 @@ def metric_trend(
 def event_statistics(rows: DataFrame, new_release: str, baseline_release: str) -> DataFrame:
     """Reported counts of every cataloged event, zeros kept."""
     counts = rows.groupBy("module", "name").agg(
-        F.expr(f"count_if({E.BOUND} AND app_version = '{new_release}') AS current_count"),
-        F.expr(f"count_if({E.BOUND} AND app_version = '{baseline_release}') AS baseline_count"),
+        F.count_if(F.expr(E.BOUND) & (F.col("app_version") == F.lit(new_release))).alias("current_count"),
+        F.count_if(F.expr(E.BOUND) & (F.col("app_version") == F.lit(baseline_release))).alias("baseline_count"),
         F.expr("count(*) AS total_count"),
         F.expr(f"count_if(NOT {E.BOUND}) AS non_occurrence_count"),
     )

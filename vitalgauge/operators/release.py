@@ -533,8 +533,9 @@ def with_continuity(slices: DataFrame, window: Window, new_release: str) -> Data
         lit(C.UNAVAILABLE), "eligible_sample_count", window.to_ms, reason="continuity"
     )
     overridden = ("active_installations", "affected_installations", "affected_installation_ratio")
-    return flat.selectExpr(
-        f"if(app_version = '{new_release}', 'new', 'baseline') AS role",
+    role = F.when(F.col("app_version") == F.lit(new_release), "new").otherwise("baseline")
+    return flat.withColumn("role", role).selectExpr(
+        "role",
         "app_version",
         f"if(broken, '{C.UNAVAILABLE}', state) AS state",
         "declared_sample_count",
@@ -594,7 +595,7 @@ def release_incident_trend(
     )
     flagged = rows.select(
         bucket_index(window.from_ms, window.to_ms).alias("bucket"),
-        F.expr(f"if(app_version = '{new_release}', 'new', 'baseline') AS role"),
+        F.when(F.col("app_version") == F.lit(new_release), "new").otherwise("baseline").alias("role"),
         F.expr(f"{E.BOUND} AS eligible"),
         F.expr(f"{E.FAMILY} AS family"),
     )

@@ -11,7 +11,7 @@ from vitalgauge.operators import retention as RT
 from vitalgauge.operators import symbols as SY
 from vitalgauge.plans import telemetry as T
 from vitalgauge.plans.ingest_queries import _columns
-from vitalgauge.plans.performance_queries import FIELDS_CTE, METRICS, observed_sql, rounded
+from vitalgauge.plans.performance_queries import FIELDS_CTE, observed_sql, rounded
 from vitalgauge.plans.registry import query
 from vitalgauge.plans.scan_queries import JOBS_SQL, symbol_jobs, window
 from vitalgauge.plans.signal_queries import SPAN_CTE, span_events
@@ -436,9 +436,7 @@ OBSERVED_CTE = T.duck_cte(*T.FIELD_TEXT) + (
     " WHERE value IS NOT NULL GROUP BY ALL",
 )
 def _(spark, sf):
-    out = X.otlp_metrics(T.inbox(spark, sf)).filter(
-        F.col("metric").isin(*[f"apm.observation.{m}" for m in METRICS])
-    )
+    out = X.otlp_metrics(T.inbox(spark, sf))
     return rounded(
         out.selectExpr(
             "export_batch", "tenant_id", "app_id", "environment", "service_version",
