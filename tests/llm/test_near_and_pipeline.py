@@ -60,6 +60,20 @@ def test_classes_equal_all_pairs(spark, spec):
     assert got == want
 
 
+def test_bitmaps_keep_every_link():
+    draw = random.Random(1)
+    spec, kept = JoinSpec(1, 80), 0
+    for size in (1, 2, 9, 64, 65, 500, 3000):
+        for edits in (0, 0.05, 0.12, 0.5, 1):
+            a = [f"w{draw.random()}" for _ in range(size)]
+            b = [w if draw.random() >= edits else f"v{draw.random()}" for w in a] + ["x"] * draw.randint(0, 2)
+            x, y = (near_join.shingle_set(" ".join(t), 1) for t in (a, b))
+            may = near_join._may_link(near_join._parity(x), near_join._parity(y), len(x), len(y), spec)
+            assert may or not spec.linked(near_join._shared(x, y), len(x), len(y))
+            kept += may and edits == 1 and size >= 64
+    assert kept == 0
+
+
 def test_classes_of_odd_tables(odd_documents, no_documents):
     rows = near_join.classes(odd_documents).collect()
     assert len(rows) == 9

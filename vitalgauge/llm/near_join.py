@@ -16,7 +16,10 @@ documents link when intersection >= ``percent`` / 100 of union; a class is whate
 5. All group pairs that share enough prefix shingles, fit in size and position, and lie in different classes are
    expanded to members and verified. Only pairs already known to be in one class are left out, so no class is missed.
 
-Verification intersects the whole sorted sets. Classes come from label propagation with pointer jumping; each round's
+Verification: a set's parity bitmap has about as many bits as the set has shingles, each bit telling whether an odd
+number of them fall on it. Two bitmaps differ in at most as many bits as the sets do in shingles, so pairs whose
+bitmaps differ too much can't link and their sets aren't fetched; of the others the whole sorted sets are
+intersected. Classes come from label propagation with pointer jumping; each round's
 labels are a table in the shared folder. Classes are of texts: rows with equal doc_ids share one only
 if their texts link. Null texts count as empty.
 """
@@ -99,6 +102,23 @@ def _signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _parity(shingles: np.ndarray) -> bytes:
+    """The set's parity bitmap: a power of two of bits, at least as many as shingles."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(one: bytes, other: bytes, a: int, b: int, spec: JoinSpec) -> bool:
+    """Whether sets of sizes ``a`` and ``b`` with these bitmaps can link. The longer bitmap is folded onto the shorter."""
+    if len(one) > len(other):
+        one, other = other, one
+    short = np.frombuffer(one, np.uint8)
+    folded = np.bitwise_xor.reduce(np.frombuffer(other, np.uint8).reshape(-1, len(short)), axis=0)
+    apart = int(np.bitwise_count(short ^ folded).sum())
+    return spec.linked((a + b - apart) // 2, a, b)
+
+
 def _first_pass(texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """Two kinds of rows from one look at each text: (doc_id, set_key, size) of the row, equal sets having equal keys;
     and (shingle, n, every), counts of shingles that are frequent among the last some millions, of ``every`` seen."""
@@ -191,7 +211,7 @@ def _ordered(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.
 
 
 def _prefixes(texts: DataFrame, spec: JoinSpec, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(set_key, size, family, prefix), one row a set; ``family`` is equal for equal prefix and size."""
+    """(set_key, size, family, prefix, bits), one row a set; ``family`` is equal for equal prefix and size."""
     shipped = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,14 +223,14 @@ def _prefixes(texts: DataFrame, spec: JoinSpec, common: tuple[np.ndarray, np.nda
                 if len(own):
                     front = _ordered(own, hashes, ranks)[: spec.prefix(len(own))]
                     family = xxhash.xxh3_64_intdigest(front.tobytes() + len(own).to_bytes(8, "little")) - (1 << 63)
-                    rows.append((_signature(own), len(own), family, front.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["set_key", "size", "family", "prefix"])
+                    rows.append((_signature(own), len(own), family, front.view(np.int64), _parity(own)))
+            yield pd.DataFrame(rows, columns=["set_key", "size", "family", "prefix", "bits"])
 
     return (
         texts.select("body")
-        .mapInPandas(run, "set_key binary, size bigint, family bigint, prefix array<bigint>")
+        .mapInPandas(run, "set_key binary, size bigint, family bigint, prefix array<bigint>, bits binary")
         .groupBy("set_key")
-        .agg(F.any_value("size").alias("size"), F.any_value("family").alias("family"), F.any_value("prefix").alias("prefix"))
+        .agg(*(F.any_value(c).alias(c) for c in ("size", "family", "prefix", "bits")))
     )
 
 
@@ -285,8 +305,13 @@ def _sets(texts: DataFrame, wanted: DataFrame, spec: JoinSpec) -> DataFrame:
     return bodies.mapInPandas(run, "node bigint, own binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Of the distinct node pairs (a, b) those that link; the whole sets of their texts are compared."""
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, bitmaps: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Of the distinct node pairs (a, b) those that link: bitmaps (node, size, bits) first, then the whole sets."""
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(batches):
+            sides = zip(part["bits_a"], part["bits_b"], part["size_a"], part["size_b"], strict=True)
+            yield part.loc[np.array([_may_link(*side, spec) for side in sides], bool), ["a", "b"]]
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches):
@@ -296,7 +321,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, spec: JoinSp
                 keep.append(spec.linked(_shared(x, y), len(x), len(y)))
             yield part.loc[np.array(keep, bool), ["a", "b"]]
 
-    pairs = saved(pairs, "near-pairs")
+    for side in ("a", "b"):
+        own = bitmaps.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+        pairs = pairs.join(own, side)
+    pairs = saved(pairs.mapInPandas(sift, "a bigint, b bigint"), "near-pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = saved(_sets(texts, nodes.select("node", "set_key", "first").join(met, "node"), spec), "near-sets")
     found = (
@@ -433,9 +461,10 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
     state = saved(
         prefixes.join(groups.select("family", "size", "lead"), ["family", "size"])
         .join(met, "family", "left_semi")
-        .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class")),
+        .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class"), "bits"),
         "near-state",
     )
+    bitmaps, state = state.select("node", "size", "bits"), state.drop("bits")
     rounds = [
         lambda s: s.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(_star(listed, s, spec, 0.0, 0)).distinct(),
         lambda s: _star(listed, s, spec, 0.5, 1),
@@ -443,7 +472,7 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
         lambda s: _rest(listed, s, spec),
     ]
     for pairs in rounds:
-        links = _verified(pairs(state), texts, state, spec)
+        links = _verified(pairs(state), texts, state, bitmaps, spec)
         if not links.isEmpty():
             found = connected(links, state)
             state = saved(state.drop("class").join(found, "node"), "near-state")
