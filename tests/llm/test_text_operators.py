@@ -98,6 +98,26 @@ def test_n_best_equals_enumeration_and_decoding_restores():
     assert five.encode_n("") == [(0, ())] and two.encode("")[1:] == (0, None)
 
 
+def test_long_runs_of_one_character_are_searched_depth_first():
+    vocabulary = pieces.Pieces.load(pieces.default_model())
+    encoder = pieces.Encoder(vocabulary, 2)
+    for char in "a=_日":
+        text = char * 10_000
+        ids, score, runner_up = encoder.encode(text)
+        assert encoder.decode(ids) == text
+        best = encoder.encode_n(text)
+        assert (score, tuple(ids)) == best[0] and runner_up == (best[1][0] if len(best) > 1 else None)
+
+
+def test_back_pointers_and_search_give_the_same_ids_scores_and_gaps():
+    vocabulary = pieces.Pieces.load(pieces.default_model())
+    draw = random.Random(12)
+    units = {"▁" + "".join(draw.choice("aabetion=_") for _ in range(draw.randint(1, 40))) for _ in range(400)}
+    for unit, (ids, score, gap) in vocabulary.solve(sorted(units)).items():
+        first, other = vocabulary.n_best(unit, 2)
+        assert (tuple(np.frombuffer(ids, "<i4")), score, gap) == (first[1], first[0], first[0] - other[0])
+
+
 def test_encoding_of_odd_tables(odd_documents, no_documents):
     rows = pieces.digest(odd_documents).collect()
     assert len(rows) == 9 and all(r.restored for r in rows)
