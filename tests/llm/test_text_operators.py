@@ -306,3 +306,17 @@ def test_url_rules_and_templates(spark):
     assert {r.verdict for r in rows if r.host == "bad.net"} == {"block"} and {r.verdict for r in rows if r.host == "good.net"} == {"allow"}
     assert len({r.template for r in rows if r.host == "bad.net"}) == 1
     assert url_filter.judge_urls(pages.limit(0), labels.limit(0), rules).count() == 0
+
+
+def test_template_trees_go_down_to_the_last_segment(spark):
+    bad = [f"http://deep.org/2024/05/17/news/bad/p{k}" for k in range(60)]
+    good = [f"http://deep.org/2024/05/17/news/good/p{k}" for k in range(180)]
+    lone = "http://deep.org/" + "/".join("s" * 70)
+    rows = [(k, u) for k, u in enumerate([*bad, *good, lone])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good], "url string, bad boolean")
+    judged = {r.page_id: r for r in url_filter.judge_urls(pages, labels, []).collect()}
+    assert len(judged) == 241
+    assert {judged[k].verdict for k in range(60)} == {"block"}
+    assert {judged[k].verdict for k in range(60, 240)} == {"allow"}
+    assert judged[240].template == judged[240].path

@@ -7,6 +7,9 @@ Level by level down the path, each node of a host's tree looks at the segments b
 - of the others, branches whose labelled share of bad pages doesn't differ from the node's by more than ``merge_z``
   standard errors are merged into one branch; a branch that differs keeps its name.
 
+This goes on until no path has a further segment; a path that is alone below its node keeps its further segments as they
+are, so there are as many rounds as the longest way that distinct paths of a host share.
+
 What is left is a template a url. A template is rejected when the smoothed share of bad pages among its labelled urls
 (smoothed towards the host's, that one towards the whole) reaches ``reject_at``. Explicit rules go first: a rule
 ``host/path`` fits the host and its subdomains where the url's path starts with the rule's; the longest that fits wins.
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 
 from vitalgauge.llm.common import named, saved
 
-LEVELS = 4
 MOST_KINDS = 20
 RARE_SHARE = 0.1
 MERGE_Z = 2.58
@@ -58,7 +60,6 @@ def judge_urls(
     key: str = "page_id",
     url: str = "url",
     bad: str = "bad",
-    levels: int = LEVELS,
     most_kinds: int = MOST_KINDS,
     rare_share: float = RARE_SHARE,
     merge_z: float = MERGE_Z,
@@ -87,10 +88,18 @@ def judge_urls(
         .withColumn("segments", F.split(F.expr("substring(path, 2)"), "/"))
         .withColumn("node", F.lit(""))
     )
-    for level in range(levels):
+    rows, finished = saved(paths, "url-level"), []
+    while True:
         # each level reads the last one twice: as a table its plan isn't repeated
-        paths = saved(_descend(saved(paths, "url-level") if level == 0 else paths, level, levels, most_kinds, rare_share, merge_z), "url-level")
-    paths = saved(paths.select("host", "path", F.col("node").alias("template"), "n", "judged", "bad"), "url-templates")
+        table = saved(_descend(rows, len(finished), most_kinds, rare_share, merge_z), "url-level")
+        finished.append(table.where("not more"))
+        rows = table.where("more").drop("more")
+        if rows.isEmpty():
+            break
+    done = finished[0]
+    for table in finished[1:]:
+        done = done.union(table)
+    paths = saved(done.select("host", "path", F.col("node").alias("template"), "n", "judged", "bad"), "url-templates")
 
     whole = paths.agg(F.sum("judged").alias("judged"), F.sum("bad").alias("bad")).first()
     share = (whole["bad"] or 0) / whole["judged"] if whole["judged"] else 0.0
@@ -109,17 +118,19 @@ def judge_urls(
     )
 
 
-def _descend(paths: DataFrame, level: int, levels: int, most_kinds: int, rare_share: float, merge_z: float) -> DataFrame:
-    """Extend each path's node by its segment, by a wildcard, or by the merged branch of its parent."""
-    here = F.try_element_at("segments", F.lit(level + 1))
-    paths = paths.withColumn("segment", here)
-    branches = (
-        paths.where(F.col("segment").isNotNull())
-        .groupBy("host", "node", "segment")
-        .agg(F.sum("n").alias("n"), F.sum("judged").alias("judged"), F.sum("bad").alias("bad"))
+def _descend(paths: DataFrame, level: int, most_kinds: int, rare_share: float, merge_z: float) -> DataFrame:
+    """Extend each path's node by its segment, by a wildcard, or by the merged branch of its parent, and add ``more``:
+    whether the path goes on. All paths have a segment at this level."""
+    paths = paths.withColumn("segment", F.element_at("segments", level + 1))
+    branches = paths.groupBy("host", "node", "segment").agg(
+        F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("judged").alias("judged"), F.sum("bad").alias("bad")
     )
     nodes = branches.groupBy("host", "node").agg(
-        F.count("*").alias("kinds"), F.sum("n").alias("pages"), F.sum("judged").alias("all_judged"), F.sum("bad").alias("all_bad")
+        F.count("*").alias("kinds"),
+        F.sum("paths").alias("all_paths"),
+        F.sum("n").alias("pages"),
+        F.sum("judged").alias("all_judged"),
+        F.sum("bad").alias("all_bad"),
     )
     share = F.col("all_bad") / F.greatest("all_judged", F.lit(1))
     error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.01)) / F.greatest("judged", F.lit(1)))
@@ -131,10 +142,12 @@ def _descend(paths: DataFrame, level: int, levels: int, most_kinds: int, rare_sh
         .when((F.col("judged") > 0) & alike, F.lit("+"))
         .otherwise(F.col("segment"))
     )
-    steps = branches.join(nodes, ["host", "node"]).select("host", "node", "segment", step.alias("step"))
-    after = F.when(F.size("segments") > levels, "/**").otherwise("") if level == levels - 1 else F.lit("")
+    alone = (F.col("all_paths") == 1).alias("alone")
+    steps = branches.join(nodes, ["host", "node"]).select("host", "node", "segment", step.alias("step"), alone)
+    rest = F.array_join(F.slice("segments", level + 1, F.size("segments")), "/")
     return (
-        paths.join(steps, ["host", "node", "segment"], "left")
-        .withColumn("node", F.when(F.col("step").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "step", after)))
-        .drop("segment", "step")
+        paths.join(steps, ["host", "node", "segment"])
+        .withColumn("node", F.concat("node", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("step"))))
+        .withColumn("more", ~F.col("alone") & (F.size("segments") > level + 1))
+        .drop("segment", "step", "alone")
     )
