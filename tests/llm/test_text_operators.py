@@ -205,6 +205,18 @@ def test_main_text():
         assert html_text.extract(empty) == ""
 
 
+def test_marked_wrappers_around_the_main_text_are_kept():
+    long = "A paragraph, with commas, which is long enough to be counted as main text of the page."
+    aside = '<div class="sidebar"><p>Aside, aside, aside.</p></div><div class="comments"><article><p>' + 9 * long + "</p></article></div>"
+    for around in ('<div class="layout has-sidebar">', '<div id="page" class="page with-header">', "<form method=post>", "<form><div class=no-footer>"):
+        for inner in (f"<article><p>{long}</p></article>", f"<main><p>{long}</p></main>", f"<div><p>{long}</p><p>{long}</p></div>"):
+            page = f"<body>{around}<nav><a href=1>Menu</a></nav>{inner}{aside}</body>"
+            assert set(html_text.extract(page).split("\n")) == {long}
+    teaser = f"<aside class=related><article><p>{long[:40]}</p></article></aside>"
+    assert html_text.extract(f"<body><article><p>{long}</p></article>{teaser}</body>") == long
+    assert html_text.extract(f"<body><div><p>{long}</p></div>{teaser}<div hidden><main><p>{long}x</p></main></div></body>") == long
+
+
 def test_template_language_and_round_trip(spark):
     template = chat.Template("{% if 1 == 2 %}no{% else %}{{ 'a' + 'b' }}{% endif %}{% for m in messages %}{% if loop.first %}^{% endif %}{{ m['text']|trim|upper }}{% if not loop.last %},{% endif %}{% endfor %}")
     assert template.render([{"text": " x "}, {"text": "y"}])[0] == "ab^X,Y"

@@ -4,7 +4,11 @@ Each paragraph gives points (one, one a comma, up to three for length) to its an
 grandparent, less to those above. A container's points are cut by the share of its text that stands in links; article
 and main elements start ahead. The best container is kept, with those of its siblings that score a fifth as much or are
 long paragraphs with few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out wherever they stand, known by element or by a word of their class, id or role.
+comments are left out wherever they stand, known by element or by a word of their class, id or role. Such a word may
+also describe the whole page (``has-sidebar``), and a form may go around it: an element so marked is kept, its marked
+parts aside, when it holds the main element or more than half of the page's unlinked text, and a form or a ``has-`` class
+also when it holds the only articles. Hidden
+elements never are, nor menus, controls, comments, dialogs and consent boxes unless they hold the main element.
 
 White space inside a block becomes one space; blocks follow in page order, one a line. Null, empty and textless pages
 give the empty text. Unclosed and truncated markup is read as browsers do: a block ends an open paragraph.
@@ -43,6 +47,15 @@ BOILERPLATE = re.compile(
     r"|login|signup|search)(?=$|[\s_-])",
     re.I,
 )
+# these are whole in themselves, however much text they hold
+SEPARATE = re.compile(
+    r"(?:^|\s)(?:comments?|commentlist|disqus|respond|cookies?|consent|gdpr|popup|modal|overlay|newsletter)(?=$|[\s_-])", re.I
+)
+SEPARATE_TAGS = {"nav", "button", "select", "menu", "dialog", "option", "object", "canvas"}
+SEPARATE_ROLES = {"navigation", "search", "dialog", "alert", "menu", "menubar"}
+# class words that say what a page has, not what the element is
+DESCRIBING = re.compile(r"(?:^|\s)(?:has|with|no|without)[_-]", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])")
 NEVER_DROPPED = {"html", "body", "article", "main"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
 HEAD_STARTS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "body": 0.0}
@@ -52,10 +65,10 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "attributes", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, attributes: str = "") -> None:
+        self.tag, self.parent, self.dropped, self.attributes = tag, parent, dropped, attributes
         self.children: list[Node | str] = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
@@ -74,7 +87,71 @@ def _boilerplate(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.strip().lower() in DROPPED_ROLES:
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", attributes))
+    return bool(HIDDEN.search(attributes))
+
+
+def _separate(node: Node) -> bool:
+    """Whether a dropped element is a menu, a control, a dialog, reader comments or a box over the page."""
+    if node.tag in SEPARATE_TAGS:
+        return True
+    for name, *values in ATTRIBUTE.findall(node.attributes):
+        value, name = "".join(values), name.lower()
+        if name in ("class", "id") and SEPARATE.search(value):
+            return True
+        if name == "role" and value.strip().lower() in SEPARATE_ROLES:
+            return True
+    return False
+
+
+def _describes(node: Node) -> bool:
+    """Whether a dropped element is a form, or its class or id tells of other parts of the page."""
+    return node.tag == "form" or any(
+        name.lower() in ("class", "id") and DESCRIBING.search("".join(values)) for name, *values in ATTRIBUTE.findall(node.attributes)
+    )
+
+
+def _keep_wrappers(root: Node) -> None:
+    """Keep the dropped elements that go around the page's main text."""
+    order, stack, marked = [], [(root, False, False)], []
+    while stack:
+        node, inside, apart = stack.pop()
+        if node.dropped:
+            if HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", node.attributes)):
+                continue
+            inside, separate = True, _separate(node)
+            apart = apart or separate
+            marked.append((node, separate))
+        order.append((node, inside, apart))
+        stack += [(c, inside, apart) for c in node.children if isinstance(c, Node)]
+    if not marked:
+        return
+    chars: dict[int, int] = {}
+    mains: set[int] = set()
+    articles: set[int] = set()
+    outside = False
+    for node, inside, apart in reversed(order):
+        own = id(node)
+        if node.tag == "main":
+            mains.add(own)
+        if node.tag == "article" and not apart:
+            articles.add(own)
+        outside |= node.tag in ("article", "main") and not inside
+        # text of separate parts isn't counted, nor is linked text
+        count = 0
+        if not apart and node.tag != "a":
+            count = chars.get(own, 0) + sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        chars[own] = count
+        if node.parent is not None:
+            above = id(node.parent)
+            chars[above] = chars.get(above, 0) + count
+            if own in mains:
+                mains.add(above)
+            if own in articles:
+                articles.add(above)
+    for node, separate in marked:
+        own = id(node)
+        if own in mains or not separate and (own in articles and not outside and _describes(node) or 2 * chars[own] > chars[id(root)]):
+            node.dropped = False
 
 
 def parse(page: str) -> Node:
@@ -122,7 +199,7 @@ def parse(page: str) -> Node:
                     above = above.parent
                 if above.tag in ends:
                     node = above.parent
-        child = Node(tag, node, _boilerplate(tag, attributes))
+        child = Node(tag, node, dropped := _boilerplate(tag, attributes), attributes if dropped else "")
         node.children.append(child)
         node = child
     return root
@@ -231,7 +308,9 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    nodes = _walk(parse(page))
+    root = parse(page)
+    _keep_wrappers(root)
+    nodes = _walk(root)
     _measure(nodes)
     candidates = _score(nodes)
     if not candidates:
