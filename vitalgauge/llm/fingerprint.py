@@ -6,7 +6,8 @@ equal fingerprints; a text without words has fingerprint 0. A fingerprint is wri
 
 Near search: a fingerprint is cut into radius + 1 blocks; two within the radius agree on one block entirely, and
 within the other bits on one of radius + 1 sub-blocks. One table for each (block, sub-block) brings together those that
-agree, equal fingerprints counting as one, and every met pair is verified by its Hamming distance.
+agree, equal fingerprints counting as one, and every met pair is verified by its Hamming distance. All pairs within the
+radius are found, but three bits reach hardly beyond exact copies: texts of Jaccard similarity 0.8 differ in more (README).
 """
 
 from __future__ import annotations
