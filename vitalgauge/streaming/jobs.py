@@ -59,7 +59,10 @@ def conflict_table(folder: str) -> EpochTable:
 def stream_ingest(
     events: DataFrame, folder: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Validated, normalized events into the inbox; conflicting batches into a side table.
+    """Events into the inbox, without replays; conflicting batches into a side table.
+
+    The rows must come validated, pseudonymized, scrubbed, hashed and normalized: nothing of that is done here, so
+    invalid events and plaintext ids would be stored as they are. Each micro-batch reads the identities of all earlier ones.
 
     Replays are recognised against the identity table, which holds a few short columns per event
     and is joined by key; the wide inbox is never read back. The inbox rows of a micro-batch go to
