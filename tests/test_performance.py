@@ -7,7 +7,7 @@ import json
 
 import numpy as np
 import pytest
-from conftest import event
+from builders import event
 from pyspark.sql import functions as F
 
 from vitalgauge import catalog

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import NOW, SDK_OK, event
+from builders import NOW, SDK_OK, event
 
 from vitalgauge.operators import issues, quality
 from vitalgauge.operators import release as R

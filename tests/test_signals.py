@@ -8,7 +8,7 @@ import hmac
 import random
 
 import pytest
-from conftest import NOW, event
+from builders import NOW, event
 
 from vitalgauge.operators import alerts as A
 from vitalgauge.operators import identity as ID
