@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgauge.llm import (
+    byte_pair,
     chat,
     decontaminate,
     fingerprint,
     html_text,
     language,
+    lexical,
     near_join,
     pieces,
     quality,
+    spelling,
     token_files,
     url_filter,
 )
@@ -124,6 +127,60 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_pair.encode(named(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), out="ids")
+    decoded = byte_pair.decode(encoded.drop("text"), ids="ids", out="decoded")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP12_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), sized AS (
+    SELECT doc, doc_id, len(terms) AS n, terms FROM docs WHERE len(terms) > 0
+), held AS (
+    SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sized
+), counted AS (
+    SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM sized) GROUP BY doc, term
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), weighted AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(all_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+    FROM counted, held GROUP BY term
+), scored AS (
+    SELECT item_id, doc, doc_id,
+        CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+    FROM wanted JOIN weighted USING (term) JOIN counted USING (term) JOIN sized USING (doc), held
+    GROUP BY item_id, doc, doc_id
+), ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank,
+        doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spelling.spelling_variants(documents, noise=spelling.NOISE, min_length=6, min_count=5, ratio=5)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_formatting": op2_chat_formatting,
@@ -135,5 +192,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_files": op10_token_files,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op12_ranked_search": OP12_SQL}
