@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,9 @@ class BytePairModel:
         self.length = [len(token or b"") for token in self.bytes_of]
         # halves and birth of the tokens that merging reaches; single bytes are born before all merges
         self.left, self.right, self.birth = [-1] * size, [-1] * size, [-1] * size
-        self.joined: dict[tuple[int, int], int] = {}
-        self.seams: dict[tuple[int, int], bool] = {}
+        # both by left * size + right: whole numbers as keys spare the garbage collector
+        self.joined: dict[int, int] = {}
+        self.seams: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 self._learn(token, rank)
@@ -104,7 +106,7 @@ class BytePairModel:
             known = all(x >= 0 and (self.birth[x] >= 0 or self.length[x] == 1) for x in (a, b))
             if known and self.birth[a] < rank and self.birth[b] < rank and self._stay_apart(a, b):
                 self.left[rank], self.right[rank], self.birth[rank] = a, b, rank
-                self.joined[a, b] = rank
+                self.joined[a * len(self.birth) + b] = rank
                 return
         if len(merged(token, self.ranks)) == 1:
             raise ValueError(f"{token!r} ranks before a token that it is merged from")
@@ -114,9 +116,10 @@ class BytePairModel:
 
         Of equal merges the left one comes first: on the right side a merge of the same rank across the seam precedes.
         """
-        birth, limit = self.birth, len(self.birth)
+        birth, size = self.birth, len(self.birth)
+        limit = size
         while True:
-            across = self.joined.get((left, right))
+            across = self.joined.get(left * size + right)
             if across is not None and across < limit:
                 return False
             if birth[left] > birth[right]:
@@ -128,30 +131,27 @@ class BytePairModel:
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one piece of at least one byte."""
-        size = len(raw)
-        longest = array("i", [-1]) * size
+        size, tokens = len(raw), len(self.birth)
         length, seams, shorter = self.length, self.seams, self.shorter
-        for end, token in self.automaton.iter(raw[::-1].decode("latin-1")):
-            start = size - 1 - end
-            if longest[start] < 0 or length[longest[start]] < length[token]:
-                longest[start] = token
+        # Matches that end at one place come longest first, so from the back the longest is written last.
+        longest = dict(reversed([*self.automaton.iter(raw[::-1].decode("latin-1"))]))
         hopeful = bytearray(b"\1") * (size + 1)
         ids: list[int] = []
-        place, token = 0, longest[0]
+        place, token = 0, longest[size - 1]
         while place < size:
             end = place + length[token]
             fits = hopeful[end]
             if fits and ids:
-                seam = (ids[-1], token)
+                seam = ids[-1] * tokens + token
                 fits = seams.get(seam)
                 if fits is None:
                     if len(seams) >= KNOWN_SEAMS:
                         seams.clear()
-                    fits = seams[seam] = self._stay_apart(*seam)
+                    fits = seams[seam] = self._stay_apart(ids[-1], token)
             if fits:
                 ids.append(token)
                 place = end
-                token = longest[place] if place < size else -1
+                token = longest.get(size - 1 - place, -1)
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
@@ -194,12 +194,30 @@ class BytePairModel:
         packed = self._packed
         return b"".join([b"".join(map(packed, pieces)) for pieces in self.cut(text)])
 
-    def decode(self, ids: list[int]) -> bytes | None:
-        of, size = self.bytes_of, len(self.bytes_of)
-        try:
-            return b"".join([of[i] for i in ids]) if not ids or min(ids) >= 0 and max(ids) < size else None
-        except TypeError:  # a null id, or a gap in the ranks
-            return None
+
+class Decoder:
+    """Bytes by id; an id that the ranks don't have stands behind the last one."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.unknown = max(ranks.values()) + 1
+        self.bytes_of = [b""] * (self.unknown + 1)
+        self.length = np.full(self.unknown + 1, -1, np.int64)
+        for token, rank in ranks.items():
+            self.bytes_of[rank], self.length[rank] = token, len(token)
+
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of each list; null for a list with an unknown id."""
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        ids = lists.flatten().fill_null(-1).to_numpy()
+        ids = np.where((ids < 0) | (ids > self.unknown), self.unknown, ids)
+        length = self.length[ids]
+        wrong = np.concatenate([[0], np.cumsum(length < 0)])[offsets]
+        ends = np.concatenate([[0], np.cumsum(np.maximum(length, 0))])[offsets].astype(np.int32)
+        whole = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        known = pa.array(np.diff(wrong) == 0)
+        found = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+        return pc.if_else(known, found, pa.scalar(None, pa.binary())) if wrong[-1] else found
 
 
 _MODELS: dict[tuple[str, str], BytePairModel] = {}
@@ -232,15 +250,14 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", ranks: str | Non
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str | None = None) -> DataFrame:
     """Add ``out``, binary: the bytes of the ids."""
-    path, cutting = ranks or default_ranks(), default_pattern()
+    path = ranks or default_ranks()
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = model_for(path, cutting)
+        decoder = Decoder(read_ranks(path))
         for lists in batches:
-            raw: list[bytes | None] = []
-            for at in range(0, len(lists), ROWS):
-                raw += [model.decode(found or []) for found in lists.slice(at, ROWS).to_pylist()]
-            yield pa.array(raw, pa.binary())
+            chunks = [decoder.decode_all(lists.slice(at, ROWS)) for at in range(0, len(lists), ROWS)]
+            yield pa.concat_arrays(chunks) if chunks else pa.array([], pa.binary())
 
-    return df.withColumn(out, bytes_of(F.col(f"`{ids}`").cast("array<int>")))
+    given = F.col(f"`{ids}`").cast("array<int>")
+    return df.withColumn(out, bytes_of(F.coalesce(given, F.array().cast("array<int>"))))
