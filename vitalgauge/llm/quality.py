@@ -4,7 +4,8 @@ P(grade <= k) = sigmoid(threshold_k - w.x). All grades share the weights w of th
 thresholds differ. Features of a text (each counts once): its distinct lower-cased words, their first four letters, and
 ten-step bins of a few ratios (capitals, punctuation, digits, distinct words), all hashed to ``bits`` bits.
 
-The model is fitted on a bounded sample of the rated rows (``max_rated``, drawn by the hash of their id); every document is scored over its whole text. Null, empty and wordless texts get grade 0 and tail
+The model is fitted on a bounded sample of the rated rows: those with the ``max_rated`` smallest hashes of their id, as far
+as their slots, added up in that order, stay within ``max_slots``. Every document is scored over its whole text. Null, empty and wordless texts get grade 0 and tail
 probabilities 0. With no ratings, or ratings of one grade only, the thresholds alone decide.
 """
 
@@ -18,17 +19,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vitalgauge.llm.common import named, text_of
 
 BITS = 19
 MAX_RATED = 12_000
+MAX_SLOTS = 16_000_000
 PREFIX = 4
 CACHED_WORDS = 400_000
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 EPOCHS, RATE, RIDGE = 120, 0.15, 1e-6
+TOGETHER = 1 << 21  # slots whose scores or gradients are worked out at a time
 
 
 def word_slots(word: str, bits: int) -> tuple[int, int]:
@@ -89,47 +93,83 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS) -> OrdinalModel:
-    """Maximum likelihood with a small ridge by full-batch Adam; thresholds stay ordered by positive steps."""
+    """Maximum likelihood with a small ridge by full-batch Adam; thresholds stay ordered by positive steps.
+
+    Holds one 32-bit number for each slot of the rows and works on TOGETHER of them (or one row) at a time.
+    """
     counts = np.bincount(grades, minlength=n_grades).astype(float) if len(grades) else np.zeros(n_grades)
     below = np.cumsum(counts + 0.5)[:-1] / (counts.sum() + 0.5 * n_grades)
     start = np.log(below / (1 - below))
     weights = np.zeros(1 << bits)
     if not len(rows) or (counts > 0).sum() < 2:
         return OrdinalModel(weights.astype(np.float32), start, bits)
-    used, columns = np.unique(np.concatenate(rows), return_inverse=True)
     lengths = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    ends = np.cumsum(lengths)
+    columns = np.empty(ends[-1], np.int32)
+    for row, end in zip(rows, ends, strict=True):
+        columns[end - len(row) : end] = row
+    present = np.zeros(1 << bits, bool)
+    present[columns] = True
+    used = np.flatnonzero(present)
+    numbers = np.cumsum(present, dtype=np.int32) - 1
+    cuts_at = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], TOGETHER), side="right"))
+    spans = [(a, b, a and ends[a - 1], ends[b - 1]) for a, b in zip(cuts_at, [*cuts_at[1:], len(rows)], strict=True) if a < b]
+    for *_, i, j in spans:
+        columns[i:j] = numbers[columns[i:j]]
     # theta: weights of the used slots, the first threshold, logs of the steps between thresholds
     theta = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
     n, k = len(rows), n_grades - 1
-    upper_open, lower_open = grades == k, grades == 0
     for step in range(1, EPOCHS + 1):
-        w, first, logs = theta[: len(used)], theta[len(used)], theta[len(used) + 1 :]
-        steps = np.exp(logs)
-        cuts = first + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.bincount(owner, weights=w[columns], minlength=n)
-        # P(grade) = F(cut_g - s) - F(cut_{g-1} - s)
-        hi = np.where(upper_open, 1.0, _sigmoid(cuts[np.minimum(grades, k - 1)] - score))
-        lo = np.where(lower_open, 0.0, _sigmoid(cuts[np.maximum(grades - 1, 0)] - score))
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        d_score = (d_hi - d_lo) / n  # of the negative log likelihood
-        d_cut = np.bincount(np.minimum(grades, k - 1), weights=np.where(upper_open, 0, -d_hi), minlength=k) / n
-        d_cut += np.bincount(np.maximum(grades - 1, 0), weights=np.where(lower_open, 0, d_lo), minlength=k) / n
-        grad = np.concatenate(
-            [
-                np.bincount(columns, weights=d_score[owner], minlength=len(used)) + RIDGE * w,
-                [d_cut.sum()],
-                steps * np.cumsum(d_cut[::-1])[::-1][1:],
-            ]
-        )
+        grad = gradient(theta, columns, lengths, spans, grades, k) / n
+        grad[: len(used)] += RIDGE * theta[: len(used)]
         mean = 0.9 * mean + 0.1 * grad
         var = 0.99 * var + 0.01 * grad**2
         theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-7)
     weights[used] = theta[: len(used)]
-    cuts = theta[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(theta[len(used) + 1 :]))])
-    return OrdinalModel(weights.astype(np.float32), cuts, bits)
+    return OrdinalModel(weights.astype(np.float32), _cuts(theta[len(used) :]), bits)
+
+
+def _cuts(tail: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logs of the steps."""
+    return tail[0] + np.concatenate([[0.0], np.cumsum(np.exp(tail[1:]))])
+
+
+def _scores(weights: np.ndarray, columns: np.ndarray, lengths: np.ndarray, spans: list[tuple]) -> np.ndarray:
+    score = np.zeros(len(lengths))
+    for a, b, i, j in spans:
+        owner = np.repeat(np.arange(b - a), lengths[a:b])
+        score[a:b] = np.bincount(owner, weights=weights[columns[i:j]], minlength=b - a)
+    return score
+
+
+def loss(theta: np.ndarray, columns: np.ndarray, lengths: np.ndarray, spans: list[tuple], grades: np.ndarray, k: int) -> float:
+    """Negative log likelihood of the grades; ``k`` thresholds, the weights in front of them in ``theta``."""
+    cuts = _cuts(theta[len(theta) - k :])
+    score = _scores(theta[: len(theta) - k], columns, lengths, spans)
+    hi = np.where(grades == k, 1.0, _sigmoid(cuts[np.minimum(grades, k - 1)] - score))
+    lo = np.where(grades == 0, 0.0, _sigmoid(cuts[np.maximum(grades - 1, 0)] - score))
+    return float(-np.log(np.maximum(hi - lo, 1e-9)).sum())
+
+
+def gradient(theta: np.ndarray, columns: np.ndarray, lengths: np.ndarray, spans: list[tuple], grades: np.ndarray, k: int) -> np.ndarray:
+    """Gradient of ``loss`` by theta; spans: (first row, row behind the last, first slot, slot behind the last)."""
+    weights, tail = theta[: len(theta) - k], theta[len(theta) - k :]
+    cuts, steps = _cuts(tail), np.exp(tail[1:])
+    score = _scores(weights, columns, lengths, spans)
+    top, bottom = grades == k, grades == 0
+    # P(grade) = F(cut_g - s) - F(cut_{g-1} - s)
+    hi = np.where(top, 1.0, _sigmoid(cuts[np.minimum(grades, k - 1)] - score))
+    lo = np.where(bottom, 0.0, _sigmoid(cuts[np.maximum(grades - 1, 0)] - score))
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    d_score = d_hi - d_lo
+    d_cut = np.bincount(np.minimum(grades, k - 1), weights=np.where(top, 0, -d_hi), minlength=k)
+    d_cut += np.bincount(np.maximum(grades - 1, 0), weights=np.where(bottom, 0, d_lo), minlength=k)
+    d_weights = np.zeros(len(weights))
+    for a, b, i, j in spans:
+        d_weights += np.bincount(columns[i:j], weights=np.repeat(d_score[a:b], lengths[a:b]), minlength=len(weights))
+    return np.concatenate([d_weights, [d_cut.sum()], steps * np.cumsum(d_cut[::-1])[::-1][1:]])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -161,22 +201,23 @@ def train(
     grade: str = "grade",
     max_rated: int = MAX_RATED,
     bits: int = BITS,
+    max_slots: int = MAX_SLOTS,
 ) -> OrdinalModel:
-    """Fit on at most ``max_rated`` rated documents.
+    """Fit on at most ``max_rated`` rated documents with at most ``max_slots`` slots together.
 
-    Ratings are drawn by the hash of their key, so the draw doesn't depend on partitions or order, and only the drawn
-    ones (bounded, so broadcast) meet the texts. Null keys and texts and grades outside 0..n_grades-1 are left out; of
-    rows with equal keys one counts.
+    Rated documents are taken by ascending hash of their key (equal hashes: by key), so the sample is the same for all
+    partitionings and on every run. Only the drawn keys (bounded, so broadcast) meet the texts. The driver holds four
+    bytes a slot, twice while they arrive. Null keys and texts and grades outside 0..n_grades-1 are left out; of rows
+    with equal keys one counts.
     """
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: slots(t, bits))
+        return texts.map(lambda t: slots(t, bits).tobytes())
 
+    order = [F.xxhash64("id"), "id"]
     valid = named(ratings, id=key, grade=grade).where(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    valid = valid.groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
-    share = min(1.0, max_rated / max(1, valid.count()))
-    drawn = valid.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(max_rated)
+    drawn = valid.groupBy("id").agg(F.min("grade").cast("int").alias("grade")).orderBy(*order).limit(max_rated)
     sample = (
         named(documents, id=key, body=text)
         .where(F.col("body").isNotNull())
@@ -184,12 +225,12 @@ def train(
         .select("id", "grade", features(F.col("body").cast("string")).alias("slots"))
         .groupBy("id")
         .agg(F.min(F.struct("slots", "grade")).alias("row"))
-        .select("id", "row.*")
-        .toPandas()
-        .sort_values("id", kind="stable")
     )
-    rows = [np.asarray(r, np.int32) for r in sample["slots"]]
-    return fit_ordinal(rows, sample["grade"].to_numpy(int), n_grades, bits)
+    # at most max_rated rows, so one window over all of them is small
+    so_far = F.sum(F.length("row.slots")).over(Window.orderBy(*order))
+    taken = sample.withColumn("so_far", so_far).where(F.col("so_far") <= 4 * max_slots).orderBy("id").select("row.*").toPandas()
+    rows = [np.frombuffer(raw, np.int32) for raw in taken.pop("slots")]
+    return fit_ordinal(rows, taken["grade"].to_numpy(int), n_grades, bits)
 
 
 def score(df: DataFrame, model: OrdinalModel, text: str = "text", out: str = "quality") -> DataFrame:
