@@ -41,13 +41,13 @@ def key_ring(spark: SparkSession, keys: dict[str, str]) -> DataFrame:
     return small_table(spark, rows, "key_version string, ipad binary, opad binary")
 
 
-def hmac_sql(domain: str, tenant: str, identity: str) -> str:
-    """SQL of the keyed digest; needs ``ipad`` and ``opad`` in scope."""
+def hmac_sql(domain: str, tenant: str, identity: str, ipad: str = "ipad", opad: str = "opad") -> str:
+    """SQL of the keyed digest; ``ipad`` and ``opad`` name the key's pads."""
     message = (
         f"concat(encode('{domain}', 'UTF-8'), unhex('00'), encode({tenant}, 'UTF-8'),"
         f" unhex('00'), encode({identity}, 'UTF-8'))"
     )
-    return f"sha2(concat(opad, unhex(sha2(concat(ipad, {message}), 256))), 256)"
+    return f"sha2(concat({opad}, unhex(sha2(concat({ipad}, {message}), 256))), 256)"
 
 
 def resolve_identity(events: DataFrame) -> DataFrame:

@@ -132,8 +132,11 @@ def _map_error(column: str) -> str:
     )
 
 
-def validate_events(events: DataFrame, now_ms: int) -> DataFrame:
-    """Add ``error_code``: the first contract violation of the event, or null."""
+def validate_events(events: DataFrame, now_ms: int | str) -> DataFrame:
+    """Add ``error_code``: the first contract violation of the event, or null.
+
+    ``now_ms``: the instant of receipt, or the name of the column that holds it.
+    """
     o = "occurrence"
     labels = [
         f"({o}.{c} IS NULL OR ({_trimmed(f'{o}.{c}')} AND NOT {o}.{c} rlike {_CONTROL}))"
@@ -184,7 +187,7 @@ def validate_events(events: DataFrame, now_ms: int) -> DataFrame:
             f" OR exists({o}.native_frames, f -> NOT coalesce({frame_ok}, false)), false)",
             "INVALID_NATIVE_FRAMES",
         ),
-        (f"timestamp > {now_ms + C.MAX_FUTURE_SKEW_MS}", "TIMESTAMP_IN_FUTURE"),
+        (f"timestamp > {now_ms} + {C.MAX_FUTURE_SKEW_MS}", "TIMESTAMP_IN_FUTURE"),
     ]
     return events.withColumn(
         "error_code", F.expr(ladder(*[(condition, lit(code)) for condition, code in rules]))

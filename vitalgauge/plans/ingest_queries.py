@@ -697,22 +697,31 @@ def _(spark, sf):
     )
 
 
+INBOX_COLUMNS = (
+    "tenant_id", "event_id", "app_id", "environment", "app_version", "release_identity_quality", "installation_hmac",
+    "session_hmac", "device_model", "os_version", "occurrence_timestamp_ms", "module", "name", "kind", "severity", "scene",
+    "received_ms", "inbox_status",
+)
+
+
 @query(
     "write_inbox",
-    T.duck_cte() + " SELECT tenant_id, app_version, cast(count(*) AS bigint) AS event_count FROM t"
-    " GROUP BY ALL",
+    T.duck_cte() + f" SELECT {', '.join(INBOX_COLUMNS)}, cast(to_timestamp(occurrence_timestamp_ms / 1000) AT TIME ZONE"
+    " 'UTC' AS date) AS occurrence_date FROM t",
 )
 def _(spark, sf):
-    """Write the mapped rows to a fresh table and count them back through partition pruning."""
+    """The mapped rows in four commits, one of them tried twice, read back behind a compaction."""
     import uuid
 
     from vitalgauge.session import ensure_checkpoint_dir
-    from vitalgauge.sources.inbox import read_inbox, write_inbox
-
-    path = f"{ensure_checkpoint_dir(spark)}/inbox-{uuid.uuid4().hex}"
-    rows = T.telemetry(spark, sf).drop("fields", "field_types", "k", "user_id", "v100")
-    write_inbox(rows, path)
-    stored = read_inbox(spark, path)
-    return stored.groupBy("tenant_id", "app_version").agg(F.count("*").alias("event_count"))
-
-
+    from vitalgauge.sources.commit_log import CommitLog
+    from vitalgauge.sources.inbox import INBOX, PARTITIONS, with_partition_date
+
+    schema = ", ".join(f"{c} {'bigint' if c.endswith('_ms') else 'string'}" for c in INBOX_COLUMNS)
+    layout = type(INBOX)(f"{schema}, occurrence_date date", PARTITIONS, INBOX.order)
+    log = CommitLog(f"{ensure_checkpoint_dir(spark)}/inbox-{uuid.uuid4().hex}", {"inbox": layout})
+    rows = with_partition_date(T.telemetry(spark, sf).select("id", *INBOX_COLUMNS))
+    for epoch in (0, 1, 1, 2, 3):
+        log.append(spark, {"inbox": rows.where(F.col("id") % 4 == epoch)}, epoch)
+    log.compact(spark, "inbox")
+    return log.read(spark, "inbox")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from vitalgauge.operators.admission import IdentityLayout
 from vitalgauge.plans import telemetry as T
 from vitalgauge.plans.registry import query
 from vitalgauge.plans.scan_queries import FAMILY_SQL
@@ -128,30 +129,154 @@ def quota_limits(batches):
     )
 
 
-COPIES = "if(id % 7 = 0, array(0, 1), array(0))"
+# Requests of 25 events as line text. Every seventh request comes again 40 requests later, some with another scene;
+# some carry one id twice with two contents; a few lines break a rule.
+WIRE_BATCH = {
+    "b": "cast(floor(id / 25e0) AS bigint)",
+    "inst": "CASE WHEN cast(floor(id / 25e0) AS bigint) % 5 <> 0 THEN 'inst-' ||"
+    " cast(cast(floor(id / 25e0) AS bigint) % 7 AS string) || '-device' END",
+    "field": "CASE WHEN name = 'java_crash' THEN 'stackTrace' WHEN module = 'network' THEN 'statusCode' ELSE 'note' END",
+    "field_value": "CASE WHEN name = 'java_crash' THEN 'at com.example.A.m' || cast(k % 10 AS string) || '(A.java:' ||"
+    " cast(k AS string) || ')' WHEN module = 'network' THEN cast(200 + k AS string) ELSE 'n' || cast(k AS string) END",
+}
+WIRE_SCENE = (
+    "CASE WHEN copy = 'z' AND b % 3 = 0 AND id % 25 = 0 THEN 'changed' WHEN copy = 'd' THEN 'twice' ELSE scene END"
+)
+WIRE_LINE = (
+    "'ts=' || cast(occurrence_timestamp_ms AS string) || '|eventId=' || event_id || '|module=' || module || '|name=' ||"
+    " name || '|kind=' || kind || '|severity=' || CASE WHEN id % 400 = 7 THEN 'LOUD' ELSE severity END || '|priority=' ||"
+    " priority || '|process=' || process_name || '|thread=' || thread_name || CASE WHEN wire_scene IS NULL THEN '' ELSE"
+    " '|scene=' || wire_scene END || '|fields=' || field || '=' || field_value || '|context=screen=home,user=' ||"
+    " coalesce(inst, 'none') || CASE WHEN id % 400 = 133 THEN '|ts=1' ELSE '' END"
+)
+REQUEST = {
+    "request_id": "CASE WHEN copy = 'z' THEN 'z' ELSE 'r' END || lpad(cast(b AS string), 9, '0')",
+    "tenant_id": "CASE WHEN b % 2 = 0 THEN 'tenant-a' ELSE 'tenant-b' END",
+    "declared_app_version": "CASE WHEN b % 4 <> 0 THEN '1.' || cast(b % 3 AS string) END",
+    "ord": "CASE WHEN copy = 'z' THEN b + 40 ELSE b END",
+}
+STORED_JSON = (
+    "'{\"event_id\":\"' || event_id || '\",\"extras\":{},\"field_types\":{},\"fields\":{\"' || field || '\":\"' ||"
+    " field_value || '\"},\"foreground\":null,\"global_context\":{\"screen\":\"home\"' || CASE WHEN inst IS NULL THEN"
+    " ',\"user\":\"none\"' ELSE '' END || '},\"kind\":\"' || kind || '\",\"module\":\"' || module || '\",\"name\":\"' ||"
+    " name || '\",\"occurrence\":null,\"priority\":\"' || priority || '\",\"process_name\":\"' || process_name ||"
+    " '\",\"scene\":' || CASE WHEN wire_scene IS NULL THEN 'null' ELSE '\"' || wire_scene || '\"' END ||"
+    " ',\"severity\":\"' || severity || '\",\"thread_name\":\"' || thread_name || '\",\"timestamp\":' ||"
+    " cast(occurrence_timestamp_ms AS string) || ',\"unknown\":{}}'"
+)
 
 
-@query(
-    "stream_ingest",
-    T.duck_cte() + ", bad AS (SELECT DISTINCT id // 25 AS b FROM t WHERE id % 7 = 0 AND k % 25 = 3)"
-    " SELECT tenant_id, app_version, count(*) AS event_count, sum(k) AS k_sum FROM t WHERE id // 25"
-    " NOT IN (SELECT b FROM bad) GROUP BY ALL",
-)
-def _(spark, sf):
+def wire_batches(spark, sf):
+    """The requests with their bytes, one row each; ``ord`` is the order of arrival."""
+    copies = (
+        "explode(concat(array('r'), if(b % 7 = 0, array('z'), array()), if(b % 11 = 5 AND id % 25 = 1, array('d'),"
+        " array()))) AS copy"
+    )
+    rows = (
+        T.telemetry(spark, sf)
+        .drop("fields", "tenant_id")
+        .selectExpr("*", *[f"{sql} AS {name}" for name, sql in WIRE_BATCH.items()])
+        .selectExpr("*", copies)
+        .selectExpr("*", f"{WIRE_SCENE} AS wire_scene", *[f"{sql} AS {name}" for name, sql in REQUEST.items()])
+        .selectExpr("*", f"{WIRE_LINE} AS line", "if(copy = 'd', 1, 0) AS late")
+    )
+    body = "encode(array_join(transform(array_sort(collect_list(struct(late, id, line))), x -> x.line), '\n'), 'UTF-8') AS body"
+    return (
+        rows.groupBy("request_id", "tenant_id", "ord", "declared_app_version", "inst")
+        .agg(F.expr(body.replace("\n", "\\n")))
+        .selectExpr(
+            "request_id", "tenant_id", "'com.example' AS app_id", "'production' AS environment", "'1' AS schema_version",
+            "'1.0' AS sdk_version", "'line' AS protocol", "declared_app_version", "cast(NULL AS string) AS declared_app_build",
+            "'77' AS declared_version_code", "cast(NULL AS string) AS declared_variant", "inst AS declared_installation_id",
+            f"{T.NOW_MS} + ord AS received_ms", "body", "ord",
+        )
+    )
+
+
+def ingested(spark, sf, compact_every: int = 2):
+    """The log after three micro-batches; the third runs under a new key version."""
+    from vitalgauge.plans.ingest_queries import keys
+
     folder = workspace(spark)
+    versions = iter(("v1", "v1", "v2"))
 
-    def launch(events):
-        copies = T.map_events(events).selectExpr("*", f"explode({COPIES}) AS copy")
-        rows = copies.selectExpr(
-            "* EXCEPT (copy, fields, field_types)",
-            "concat('b', lpad(cast(floor(id / 25e0) AS bigint), 9, '0')) AS batch_id",
-            "cast(id % 25 + 25 * copy AS int) AS event_index",
-            "concat('sha-', id, if(copy = 1 AND k % 25 = 3, '-changed', '')) AS payload_sha256",
+    def launch(batches):
+        return J.stream_ingest(
+            batches, f"{folder}/set", f"{folder}/checkpoint", keys(spark), next(versions), True, compact_every,
+            IdentityLayout(buckets=2),  # each micro-batch here spans many days
         )
-        return J.stream_ingest(rows, folder, f"{folder}/log", True)
 
-    in_slices(spark, sliced_events(spark, sf), "slice", folder, launch)
-    stored = spark.read.parquet(f"{folder}/inbox")
-    return stored.groupBy("tenant_id", "app_version").agg(
-        F.count("*").alias("event_count"), F.sum("k").alias("k_sum")
+    in_slices(spark, wire_batches(spark, sf), "ord", folder, launch)
+    return J.ingest_log(f"{folder}/set")
+
+
+def _ingest_sql() -> str:
+    from vitalgauge.operators import identity as ID
+    from vitalgauge.plans.ingest_queries import hmac_duck
+
+    digests = " ".join(
+        f"WHEN key_version = '{v}' THEN {hmac_duck(v, ID.INSTALLATION_DOMAIN, 'tenant_id', 'inst')}" for v in ("v1", "v2")
+    )
+    columns = ", ".join(f"{sql} AS {name}" for name, sql in WIRE_BATCH.items())
+    request = ", ".join(f"{sql} AS {name}" for name, sql in REQUEST.items())
+    return (
+        T.duck_cte(
+            extra=f"w AS (SELECT * EXCLUDE (tenant_id), {columns}, cast(row_number() OVER (PARTITION BY floor(id / 25e0)"
+            " ORDER BY id) - 1 AS int) AS event_index FROM t), bad AS (SELECT DISTINCT b FROM w WHERE id % 400 IN (7, 133)),"
+            " o AS (SELECT b AS ord FROM w UNION SELECT b + 40 FROM w WHERE b % 7 = 0), span AS (SELECT min(ord) AS lo,"
+            " (max(ord) - min(ord)) // 3 + 1 AS width FROM o), taken AS (SELECT *, 'r' AS copy FROM w WHERE b % 11 <> 5 UNION"
+            " ALL SELECT *, 'z' FROM w WHERE b % 11 = 5 AND b % 7 = 0), q AS (SELECT *,"
+            f" {WIRE_SCENE} AS wire_scene, {request} FROM taken WHERE b NOT IN (SELECT b FROM bad)), h AS (SELECT q.*, CASE"
+            " WHEN inst IS NOT NULL THEN CASE WHEN (ord - lo) // width < 2 THEN 'v1' ELSE 'v2' END END AS key_version FROM q,"
+            f" span), p AS (SELECT *, {STORED_JSON} AS payload FROM h)"
+        )
+        + " SELECT tenant_id, event_id, app_id, environment, request_id, event_index, declared_app_version AS app_version,"
+        " cast(NULL AS varchar) AS app_build, '77' AS version_code, 'line' AS protocol, 'AUTHENTICATED' AS"
+        " scope_identity_quality, CASE WHEN declared_app_version IS NULL THEN 'ABSENT' ELSE 'REQUEST_DECLARED' END AS"
+        " release_identity_quality, CASE WHEN inst IS NULL THEN 'ABSENT' ELSE 'REQUEST_DECLARED' END AS"
+        f" installation_identity_quality, CASE {digests} END AS installation_hmac, key_version AS"
+        " installation_hmac_key_version, 'ABSENT' AS session_identity_quality, cast(NULL AS varchar) AS session_hmac,"
+        " occurrence_timestamp_ms AS event_timestamp_ms, occurrence_timestamp_ms, occurrence_timestamp_ms AS"
+        " collection_timestamp_ms, 'EVENT_DECLARED' AS timestamp_quality, module, name, kind, severity, priority,"
+        " process_name, thread_name, wire_scene AS scene, field || '=' || field_value AS field, CASE WHEN inst IS NULL THEN 2"
+        " ELSE 1 END AS context_count, sha256(payload) AS payload_sha256, octet_length(encode(payload)) AS"
+        " payload_size_bytes, 4 AS normalization_version, CASE WHEN module = 'network' THEN 200 + k END AS status_code, CASE"
+        " WHEN name = 'java_crash' THEN sha256('[\"at com.example.A.m' || cast(k % 10 AS varchar) ||"
+        f" '(A.java:<line>)\"]') END AS stack_fingerprint, {T.NOW_MS} + ord AS received_ms, 'pending' AS inbox_status FROM p"
     )
+
+
+@query("stream_ingest", _ingest_sql())
+def _(spark, sf):
+    """The stored rows, from bytes: validation, conflicts, replays, key rotation, compaction."""
+    stored = ingested(spark, sf).read(spark, "inbox")
+    return stored.selectExpr(
+        "tenant_id", "event_id", "app_id", "environment", "request_id", "event_index", "app_version", "app_build",
+        "version_code", "protocol", "scope_identity_quality", "release_identity_quality", "installation_identity_quality",
+        "installation_hmac", "installation_hmac_key_version", "session_identity_quality", "session_hmac",
+        "event_timestamp_ms", "occurrence_timestamp_ms", "collection_timestamp_ms", "timestamp_quality", "module", "name",
+        "kind", "severity", "priority", "process_name", "thread_name", "scene",
+        "array_join(transform(map_entries(fields), e -> concat(e.key, '=', e.value)), ',') AS field",
+        "size(global_context) AS context_count", "payload_sha256", "payload_size_bytes", "normalization_version",
+        "try_element_at(ints, 'statusCode') AS status_code",
+        # native families hash their backtrace, which line text doesn't carry
+        "if(name = 'java_crash', incident_fingerprint, NULL) AS stack_fingerprint", "received_ms", "inbox_status",
+    )
+
+
+@query(
+    "ingest_requests",
+    T.duck_cte(
+        extra="w AS (SELECT id, k, cast(floor(id / 25e0) AS bigint) AS b FROM t), n AS (SELECT b, count(*) AS n,"
+        " bool_or(id % 400 IN (7, 133)) AS bad FROM w GROUP BY b), x AS (SELECT *, 'r' AS copy FROM n UNION ALL SELECT *, 'z'"
+        " FROM n WHERE b % 7 = 0), y AS (SELECT *, CASE WHEN bad THEN 'QUARANTINED' WHEN copy = 'r' AND b % 11 = 5 THEN"
+        " 'CONFLICT' WHEN copy = 'z' AND b % 11 <> 5 AND b % 3 = 0 THEN 'CONFLICT' ELSE 'ACCEPTED' END AS outcome, CASE WHEN"
+        " copy = 'r' AND b % 11 = 5 THEN n + 1 ELSE n END AS received, copy = 'r' OR b % 11 = 5 AS first FROM x)"
+    )
+    + " SELECT copy || lpad(cast(b AS varchar), 9, '0') AS request_id, outcome, received, CASE WHEN outcome = 'ACCEPTED' AND"
+    " first THEN received ELSE 0 END AS inserted, CASE WHEN outcome = 'ACCEPTED' AND NOT first THEN received ELSE 0 END AS"
+    " duplicates FROM y",
+)
+def _(spark, sf):
+    """What came of each request of ``stream_ingest``."""
+    return ingested(spark, sf, 3).read(spark, "requests").select("request_id", "outcome", "received", "inserted", "duplicates")

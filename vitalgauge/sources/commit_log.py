@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,13 +134,19 @@ class CommitLog:
         self.publish(spark, adds, epoch=epoch)
         return True
 
-    def compact(self, spark: SparkSession, name: str, more_than: int = 1) -> bool:
-        """Swap a table's folders for one, if there are more than so many. Readers see the same rows before and after."""
+    def compact(
+        self, spark: SparkSession, name: str, more_than: int = 1, rewrite: Callable[[DataFrame], DataFrame] | None = None
+    ) -> bool:
+        """Swap a table's folders for one, if there are more than so many.
+
+        Readers see the same rows before and after, or what ``rewrite`` makes of them (as of partial aggregates).
+        """
         base = self.snapshot(spark)
         old = base.folders.get(name, ())
         if len(old) <= more_than:
             return False
-        folder = self.stage(spark, name, self.read(spark, name, base), base)
+        rows = self.read(spark, name, base)
+        folder = self.stage(spark, name, rewrite(rows) if rewrite else rows, base)
         self.publish(spark, {name: folder}, drops={name: old})
         return True
 

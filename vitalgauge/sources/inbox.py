@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgauge.operators.admission import STORED_SCHEMA
+from vitalgauge.sources.commit_log import Table
+
 PARTITIONS = ("tenant_id", "app_id", "environment", "occurrence_date")
+# The inbox behind a commit log: the whole stored row, laid out as ``write_inbox`` lays it out.
+INBOX = Table(f"{STORED_SCHEMA}, occurrence_date date", PARTITIONS, ("app_version", "occurrence_timestamp_ms"))
 
 
 def with_partition_date(rows: DataFrame) -> DataFrame:

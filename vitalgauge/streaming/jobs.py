@@ -6,25 +6,21 @@ because lateness is a reported fact.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalgauge.functions import events as E
+from vitalgauge.operators import admission as A
 from vitalgauge.operators.alerts import alert_transitions, rolling_incident_alert
-from vitalgauge.operators.ingest import (
-    SIGNATURE,
-    admit_quota,
-    dedup_events,
-    detect_event_conflicts,
-)
-from vitalgauge.sources.inbox import write_inbox
+from vitalgauge.operators.ingest import admit_quota
+from vitalgauge.sources.commit_log import CommitLog, Table
+from vitalgauge.sources.files import Files
+from vitalgauge.sources.inbox import INBOX, with_partition_date
 from vitalgauge.streaming.tables import EpochTable
 
-IDENTITY_BUCKETS = 64
-
-
 def _start(df: DataFrame, each_batch, checkpoint: str, available_now: bool, mode: str = "append"):
     writer = (
         df.writeStream.outputMode(mode)
@@ -36,64 +32,94 @@ def _start(df: DataFrame, each_batch, checkpoint: str, available_now: bool, mode
     return writer.start()
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    bucket = F.pmod(F.xxhash64("tenant_id", "event_id"), F.lit(IDENTITY_BUCKETS)).cast("int")
-    return rows.withColumn("id_bucket", bucket)
-
+def ingest_log(folder: str) -> CommitLog:
+    """The tables that ingest commits together: stored rows, the identity index with its bitmaps, and side tables."""
+    return CommitLog(
+        folder,
+        {
+            "inbox": INBOX,
+            "identities": Table(A.IDENTITY_SCHEMA, ("id_date", "id_bucket"), ("tenant_id", "event_id")),
+            "identity_filters": Table(A.FILTER_SCHEMA),
+            "quarantine": Table(
+                "tenant_id string, request_id string, batch_id string, received_ms bigint, event_count bigint,"
+                " first_bad_index int, batch_error string"
+            ),
+            "conflicts": Table("tenant_id string, request_id string, batch_id string, event_id string, conflict string"),
+            "requests": Table(
+                "tenant_id string, request_id string, received_ms bigint, outcome string, received bigint,"
+                " inserted bigint, duplicates bigint"
+            ),
+        },
+    )
 
-def identity_table(folder: str) -> EpochTable:
-    """Stored event identities: the key, the conflict signature and its scope."""
-    columns = ("tenant_id", "event_id", *SIGNATURE, "app_id", "environment")
-    schema = ", ".join(f"{c} string" for c in columns) + ", id_bucket int"
-    return EpochTable(f"{folder}/identities", schema)
 
+def ingest_batch(
+    batches: DataFrame, epoch: int, log: CommitLog, keys: DataFrame, active_version: str,
+    layout: A.IdentityLayout = A.IdentityLayout(),
+) -> bool:
+    """Take one set of wire batches in; False if this epoch is committed already.
 
-def conflict_table(folder: str) -> EpochTable:
-    """Rejected batches."""
-    return EpochTable(
-        f"{folder}/conflicts",
-        "tenant_id string, batch_id string, event_id string, conflict string",
+    Two passes over the bytes: the first finds the dates and buckets of the identity index whose bitmaps may hold one of
+    the ids, the second runs the whole chain against the identities of just those partitions. What must be read several
+    times in between is kept in a staging folder (pseudonymized, without plaintext ids), which goes after the commit.
+    """
+    spark = batches.sparkSession
+    base = log.snapshot(spark)
+    if epoch <= base.epoch:
+        return False
+    staging = f"{log.path}/staging/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path = f"{staging}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    ids = A.decode_batches(batches).select("tenant_id", "event_id")
+    partitions = A.partitions_to_open(ids, log.read(spark, "identity_filters", base), layout)
+    known = A.opened(log.read(spark, "identities", base), partitions)
+    prepared = keep(A.prepare(batches, keys, active_version, known), "prepared")
+    taken, conflicts = A.settle(prepared, keep)
+    fresh = keep(A.fresh_events(taken), "fresh")
+    conflicts = keep(conflicts, "conflicts")
+    identities = A.identities_of(fresh, layout)
+    log.append(
+        spark,
+        {
+            "inbox": with_partition_date(fresh),
+            "identities": identities,
+            "identity_filters": A.filters_of(identities, layout),
+            "quarantine": A.quarantined(prepared),
+            "conflicts": conflicts,
+            "requests": A.acknowledgements(prepared, fresh, conflicts),
+        },
+        epoch,
     )
+    Files(spark, log.path).delete(staging)
+    return True
 
 
 def stream_ingest(
-    events: DataFrame, folder: str, checkpoint: str, available_now: bool = False
+    batches: DataFrame, folder: str, checkpoint: str, keys: DataFrame, active_version: str,
+    available_now: bool = False, compact_every: int = 20, layout: A.IdentityLayout = A.IdentityLayout(),
 ) -> StreamingQuery:
-    """Events into the inbox, without replays; conflicting batches into a side table.
+    """Wire batches (``admission.BATCH_SCHEMA``) into the inbox: the whole ingest chain, from bytes to stored rows.
 
-    The rows must come validated, pseudonymized, scrubbed, hashed and normalized: nothing of that is done here, so
-    invalid events and plaintext ids would be stored as they are. Each micro-batch reads the identities of all earlier ones.
-
-    Replays are recognised against the identity table, which holds a few short columns per event
-    and is joined by key; the wide inbox is never read back. The inbox rows of a micro-batch go to
-    its own epoch folder, so a replayed micro-batch replaces them.
+    Every micro-batch is one commit of all tables (``ingest_log``): readers see it whole or not at all, and one that
+    runs again after a failure finds its epoch committed or starts over. Broken batches go to ``quarantine``, batches
+    that reuse an event id for other content to ``conflicts``, and ``requests`` tells what came of each. Every
+    ``compact_every`` epochs the folders of each table become one, and files that no kept snapshot names are removed.
     """
-    identities, conflicts = identity_table(folder), conflict_table(folder)
-    names = [part.split()[0] for part in identities.schema.split(", ")]
+    log = ingest_log(folder)
 
     def each_batch(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
-        known = identities.before(spark, epoch)
-        if known is None:
-            known = spark.createDataFrame([], identities.schema)
-        # Read by conflict detection and by the insert; spills to disk, recomputed when lost.
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        found = detect_event_conflicts(rows, known)
-        conflicts.write(found, epoch)
-        # Read the written conflicts back so that detection runs once per micro-batch.
-        rejected = conflicts.read(spark).filter(F.col("epoch") == epoch).select("batch_id")
-        sound = rows.join(rejected.distinct(), "batch_id", "left_anti")
-        fresh = dedup_events(sound, known)
-        write_inbox(fresh, f"{folder}/inbox/epoch={epoch}", mode="overwrite")
-        identities.write(
-            _bucketed(fresh).select(*names).repartition("id_bucket").sortWithinPartitions(
-                "tenant_id", "event_id"
-            ),
-            epoch,
-        )
-        rows.unpersist()
+        ingest_batch(rows, epoch, log, keys, active_version, layout)
+        if (epoch + 1) % compact_every == 0:
+            spark = rows.sparkSession
+            for name in log.tables:
+                log.compact(spark, name, rewrite=A.merged_filters if name == "identity_filters" else None)
+            log.vacuum(spark, keep=compact_every)
 
-    return _start(events, each_batch, checkpoint, available_now)
+    return _start(batches, each_batch, checkpoint, available_now)
 
 
 RELEASE_COUNTS = (
