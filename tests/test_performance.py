@@ -210,6 +210,31 @@ def test_spread_percentiles_match_numpy(spark):
                 assert rows[key][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+def test_percentiles_of_weighted_odd_values(spark):
+    values = [0.0, -0.0, -3.5, -1e-320, 1e-320, 1e300, -1e300, 2.0, 2.0000001, 7.0, float("inf")]
+    rows = [("a", v, i + 1, i % 2) for i, v in enumerate(values)] + [("a", None, 4, 1), ("empty", None, 2, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, times bigint, odd int")
+    got = percentile_aggregates(
+        df, ["k"], "v", {"p30": 0.3, "p50": 0.5, "p75": 0.75}, {"n": "true", "odd_rows": "odd = 1"}, moments=True, weight="times"
+    )
+    by_key = {r["k"]: r for r in got.collect()}
+    full = [v for v, n in zip(values, range(1, 12)) for _ in range(n)]
+    for name, p in (("p30", 0.3), ("p50", 0.5), ("p75", 0.75)):
+        assert by_key["a"][name] == pytest.approx(np.quantile(full, p), rel=1e-12)
+    assert (by_key["a"]["n"], by_key["a"]["odd_rows"]) == (70, 34)
+    assert by_key["a"]["minimum"] == -1e300 and by_key["a"]["maximum"] == float("inf")
+    assert by_key["empty"]["p50"] is None and by_key["empty"]["n"] == 2 and by_key["empty"]["mean"] is None
+
+
+def test_percentiles_read_their_input_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS k", "cast(id AS double) AS v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = percentile_aggregates(df, ["k"], "v", {"p95": 0.95}, {"n": "true"}, moments=True)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") - plan.count("ReusedExchange") <= 1
+
+
 def test_normalize_ignores_unknown_events(inbox):
     row = inbox(event("custom", "thing", fields={"a": "1"})).first()
     assert row["field_states"] == {} and row["unknown_field_count"] == 1

@@ -259,3 +259,28 @@ def test_expired_fields_after_pruning(inbox):
     assert (rows[0]["retained_scene_state"], rows[0]["scene"]) == ("EXPIRED", None)
     assert rows[1]["ints"] == {"emitCount": 5}
     assert rows[1]["field_states"]["emitCount"] == "AVAILABLE"
+
+
+def test_rules_meet_counted_events_only(spark, inbox):
+    rows = [event("crash", "java_crash", occurrence_timestamp_ms=NOW - i * 1000, app_version="1.0" if i % 3 else "2.0",
+                  release_identity_quality="OCCURRENCE_BOUND" if i % 4 else "ABSENT") for i in range(1, 61)]
+    events = inbox(*rows).persist()
+    lengths = (1, 10, 30, 60, 3600)
+    rules = spark.createDataFrame(
+        [(i * 10 + j, "t", "a", "e", "crash.count", w, release) for i, w in enumerate(lengths) for j, release in enumerate((None, "2.0", "9.9"))],
+        "rule_id bigint, tenant_id string, app_id string, environment string, metric string, window_seconds bigint,"
+        " release_version string",
+    )
+    got = {r.rule_id: (r.value, r.sample_count) for r in A.evaluate_count_rules(events, rules, NOW).collect()}
+    for i, w in enumerate(lengths):
+        inside = [k for k in range(1, 61) if k <= w]
+        bound = [k for k in inside if k % 3 == 0 and k % 4]
+        assert got[i * 10] == (float(len(inside)), len(inside))
+        assert got[i * 10 + 1] == ((float(len(bound)), len(bound)) if bound else (None, 0))
+        assert got[i * 10 + 2] == (None, 0)
+    out = A.evaluate_count_rules(events, rules, NOW)
+    out.collect()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("InMemoryRelation")]
+    # the join with the rules stands above an aggregate of the events
+    assert above.count("Join ") == 2 and "Aggregate" in above[above.rindex("Join ") :]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalgauge import catalog
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
@@ -24,61 +25,77 @@ def active_rules(rules: DataFrame, per_scope: int | None = None) -> DataFrame:
     return enabled.withColumn("_rank", rank).filter(F.col("_rank") <= per_scope).drop("_rank")
 
 
-def rule_events(events: DataFrame, rules: DataFrame, now_ms: int) -> DataFrame:
-    """Events inside the window of each rule of their scope.
+def _windows(rules: DataFrame) -> list[int]:
+    """The distinct window lengths of the rules in seconds, ascending: a handful of settings, at most one a rule."""
+    return sorted(r[0] for r in rules.select("window_seconds").distinct().collect())
 
-    The scope columns stay equality keys, so this is a hash join with the window as residual. A
-    release rule only sees occurrence-bound events of its release. Events older than the longest
-    window are left out before the join.
+
+def _panes(events: DataFrame, windows: list[int], now_ms: int) -> DataFrame:
+    """Events inside the longest window with ``pane``, the shortest window that holds them, and ``release``.
+
+    Whatever the number of rules, an event falls into one pane; a rule adds up the panes within its window. The release is
+    null where the event isn't bound to one.
     """
-    wanted = rules.select(
-        *_SCOPE, "rule_id", "metric", "window_seconds", "release_version"
-    )
-    span = "window_seconds * 1000L"
-    longest = wanted.agg(F.max(F.expr(span))).scalar()
-    return (
-        events.filter(
-            (F.col("occurrence_timestamp_ms") >= F.lit(now_ms) - longest)
-            & (F.col("occurrence_timestamp_ms") < now_ms)
-        )
-        .join(broadcast_checked(wanted), _SCOPE)
-        .filter(
-            F.expr(
-                f"occurrence_timestamp_ms >= {now_ms} - {span} AND (release_version IS NULL"
-                f" OR (app_version = release_version AND {E.BOUND}))"
-            )
-        )
-    )
+    age = f"({now_ms}L - occurrence_timestamp_ms)"
+    ladder_sql = " ".join(f"WHEN {age} <= {w} * 1000L THEN {w}" for w in windows)
+    return events.filter(
+        (F.col("occurrence_timestamp_ms") >= now_ms - max(windows, default=0) * 1000) & (F.col("occurrence_timestamp_ms") < now_ms)
+    ).selectExpr("*", f"CASE {ladder_sql} END AS pane" if windows else "0 AS pane", f"if({E.BOUND}, app_version, NULL) AS release")
+
+
+# A release rule only sees occurrence-bound events of its release.
+_IN_RULE = "pane <= window_seconds AND (release_version IS NULL OR release <=> release_version)"
 
 
 def evaluate_count_rules(events: DataFrame, rules: DataFrame, now_ms: int) -> DataFrame:
-    """Counted events per rule; null when the window holds no telemetry at all."""
-    metrics = E.quoted(C.ALERT_COUNT_EVENTS)
-    mine = rules.filter(f"metric IN {metrics}")
-    hit = " OR ".join(
-        f"(metric = '{metric}' AND module = '{module}' AND name = '{name}')"
-        for metric, (module, name) in C.ALERT_COUNT_EVENTS.items()
+    """Counted events per rule; null when the window holds no telemetry at all.
+
+    Events are counted once by (scope, release, pane); only these counts meet the rules of their scope.
+    """
+    mine = rules.filter(f"metric IN {E.quoted(C.ALERT_COUNT_EVENTS)}")
+    counted = {metric: f"_hits_{i}" for i, metric in enumerate(C.ALERT_COUNT_EVENTS)}
+    panes = (
+        _panes(events, _windows(mine), now_ms)
+        .groupBy(*_SCOPE, "release", "pane")
+        .agg(
+            F.count("*").alias("n"),
+            *[
+                F.expr(f"count_if(module = '{module}' AND name = '{name}') AS {counted[metric]}")
+                for metric, (module, name) in C.ALERT_COUNT_EVENTS.items()
+            ],
+        )
     )
-    counts = (
-        rule_events(events, mine, now_ms)
+    hits = " ".join(f"WHEN '{metric}' THEN {column}" for metric, column in counted.items())
+    totals = (
+        panes.join(broadcast_checked(mine.select(*_SCOPE, "rule_id", "metric", "window_seconds", "release_version")), _SCOPE)
+        .filter(_IN_RULE)
         .groupBy("rule_id")
-        .agg(F.count("*").alias("n"), F.expr(f"count_if({hit}) AS hits"))
+        .agg(F.sum("n").alias("n"), F.expr(f"sum(CASE metric {hits} END) AS hits"))
     )
-    return mine.join(counts, "rule_id", "left").selectExpr(
+    return mine.join(totals, "rule_id", "left").selectExpr(
         *mine.columns, "cast(hits AS double) AS value", "coalesce(n, 0) AS sample_count"
     )
 
 
 def evaluate_p95_rules(events: DataFrame, rules: DataFrame, now_ms: int) -> DataFrame:
-    """p95 of a registered observation; only a fully covered window has a value."""
-    mine = rules.filter("metric LIKE '%.p95'")
-    observed = observe_value(
-        rule_events(events, mine, now_ms), "rule_id", "metric"
-    ).filter("metric = concat(metric_id, '.p95')")
-    counts = (F.count("value").alias("samples"), F.count("*").alias("n"))
-    measured = percentile_aggregates(observed, ["rule_id"], "value", {"p95": 0.95}, counts)
+    """p95 of a registered observation; only a fully covered window has a value.
+
+    Observations are counted once by (scope, release, pane, metric, value); the counts meet the rules on scope and metric,
+    and a percentile over counted values does the rest.
+    """
+    mine = rules.filter("metric LIKE '%.p95'").withColumn("metric_id", F.expr("left(metric, length(metric) - 4)"))
+    # Not more metrics than the registry has.
+    registered = {f.id for f in catalog.performance_fields()}
+    named = {r[0] for r in mine.select("metric_id").distinct().filter(F.col("metric_id").isin(*registered)).collect()}
+    keys = [*_SCOPE, "release", "pane"]
+    observed = observe_value(_panes(events, _windows(mine), now_ms), *keys, metrics=named)
+    cells = observed.groupBy(*keys, "metric_id", "value").agg(F.count("*").alias("c"))
+    wanted = mine.select(*_SCOPE, "metric_id", "rule_id", "window_seconds", "release_version")
+    in_rules = cells.join(broadcast_checked(wanted), [*_SCOPE, "metric_id"]).filter(_IN_RULE)
+    counts = {"samples": "value IS NOT NULL", "n": "true"}
+    measured = percentile_aggregates(in_rules, ["rule_id"], "value", {"p95": 0.95}, counts, weight="c")
     return mine.join(measured, "rule_id", "left").selectExpr(
-        *mine.columns,
+        *rules.columns,
         "if(samples = n, p95, NULL) AS value",
         "coalesce(samples, 0) AS sample_count",
     )
@@ -259,13 +276,19 @@ DROP_RATE_KEYS = ("app_id", "release_version")
 
 def drop_rate_windows(rows: DataFrame, *window_args: str) -> DataFrame:
     """Reported drop rates with their time windows; the release only when bound."""
-    rates = rows.filter(E.is_event("core", "sdk_health")).selectExpr(
+    return _in_windows(_drop_rates(rows), *window_args)
+
+
+def _drop_rates(rows: DataFrame) -> DataFrame:
+    return rows.filter(E.is_event("core", "sdk_health")).selectExpr(
         "app_id", f"if({E.BOUND}, app_version, NULL) AS release_version",
         f"{E.BOUND} AS bound", f"{E.RATE} AS rate", "occurrence_timestamp_ms",
-    )
+    ).filter("rate IS NOT NULL")
+
+
+def _in_windows(rates: DataFrame, *window_args: str) -> DataFrame:
     return (
         _event_time(rates)
-        .filter("rate IS NOT NULL")
         .withColumn("window", F.window("event_time", *window_args))
         .withColumn("window_start_ms", F.unix_millis("window.start"))
         .drop("window", "event_time", "occurrence_timestamp_ms")
@@ -273,10 +296,19 @@ def drop_rate_windows(rows: DataFrame, *window_args: str) -> DataFrame:
 
 
 def rolling_drop_rate_alert(rows: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """p95 drop rate of 15-minute windows sliding by one minute, above the threshold."""
-    windows = drop_rate_windows(rows, "15 minutes", "1 minute").filter("bound")
-    keys = [*DROP_RATE_KEYS, "window_start_ms"]
-    counts = (F.count("*").alias("sample_count"),)
-    return percentile_aggregates(windows, keys, "rate", {"p95": 0.95}, counts).filter(
-        F.col("p95") > threshold
+    """p95 drop rate of 15-minute windows sliding by one minute, above the threshold.
+
+    Rates are counted by (key, minute, rate) first; the slide is a minute, so a minute's rates are in the same windows and
+    only the counted rows are expanded.
+    """
+    minutes = (
+        _drop_rates(rows)
+        .filter("bound")
+        .withColumn("occurrence_timestamp_ms", F.expr("occurrence_timestamp_ms - pmod(occurrence_timestamp_ms, 60000L)"))
+        .groupBy(*DROP_RATE_KEYS, "occurrence_timestamp_ms", "rate")
+        .agg(F.count("*").alias("c"))
     )
+    windows = _in_windows(minutes, "15 minutes", "1 minute")
+    keys = [*DROP_RATE_KEYS, "window_start_ms"]
+    alerts = percentile_aggregates(windows, keys, "rate", {"p95": 0.95}, {"sample_count": "true"}, weight="c")
+    return alerts.filter(F.col("p95") > threshold)

@@ -1,121 +1,113 @@
 """Exact linear-interpolated percentiles, whatever the size of a group.
 
-Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here the values are
-first counted by (group, value), which spreads any group over all partitions. Approximate splitters
-then cut each group into bins; exact bin totals tell which bins hold the wanted ranks, and only
-those bins are sorted. The splitters affect balance only: any splitters give the exact result. One
-lazy plan serves groups of every size.
+Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here one aggregate turns the input into
+cells, one for each (group, value), with the number of rows; that spreads any group over all partitions, and nothing reads
+the input again. Counts, mean and range of a group follow from its cells. A value's bin is its binary logarithm in steps
+of 1/1024, a fixed rising function, so a bin's values lie within 0.07 percent of each other and the number of bins follows
+the spread of the data. Exact bin totals tell which bins hold the wanted ranks, and only those bins are sorted. One lazy
+plan serves groups of every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 64
-_STEP = 8
+# Rises with the value; the smallest double has the logarithm -1074.
+_BIN = (
+    "CASE WHEN _v = 0 THEN 0L WHEN isnan(_v) THEN 9000000L WHEN abs(_v) = double('Infinity') THEN"
+    " cast(signum(_v) * 8000000 AS bigint) ELSE cast(signum(_v) AS bigint) * (floor(log2(abs(_v)) * 1024) + 1100000L) END"
+)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi join in which a null key matches a null key; the right keys are dropped."""
-    if not keys:
-        return left.join(F.broadcast(right), how=how)  # the right side is one row
     renamed = right.withColumnsRenamed({k: f"r_{k}" for k in keys})
     condition = F.expr(" AND ".join(f"{k} <=> r_{k}" for k in keys))
     return left.join(renamed, condition, how).drop(*[f"r_{k}" for k in keys])
 
 
+def value_cells(
+    df: DataFrame, keys: list[str], value: str, counts: dict[str, str] | None = None, weight: str | None = None
+) -> DataFrame:
+    """One row for each (group, value ``_v``): rows ``_c``, and rows that meet each condition of ``counts``.
+
+    ``weight`` names a column that says for how many rows a row stands.
+    """
+    stands_for = weight or "1L"
+    return df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        F.expr(f"sum({stands_for}) AS _c"),
+        *[F.expr(f"sum(if({condition}, {stands_for}, 0L)) AS {name}") for name, condition in (counts or {}).items()],
+    )
+
+
 def percentile_aggregates(
     df: DataFrame,
     keys: list[str],
     value: str,
     probabilities: dict[str, float],
-    aggregates: tuple[Column, ...] = (),
+    counts: dict[str, str] | None = None,
+    moments: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Group by ``keys`` with the given aggregates and one column per named probability.
+    """One row per group: the counts, with ``moments`` mean, minimum and maximum, and the named percentiles.
 
-    Null values are ignored by the percentiles, which are computed spread out and joined on.
+    Null values are left out of percentiles and moments, and count where a condition says so. Null keys are a group.
     """
     if not keys:
         # Always 0, but not a literal, so that the joins keep an equality key.
         one = df.withColumn("_all", F.pmod(F.hash(value), F.lit(1)))
-        return percentile_aggregates(one, ["_all"], value, probabilities, aggregates).drop("_all")
-    spread = spread_percentiles(df, keys, value, probabilities)
-    base = df.groupBy(*keys).agg(*(aggregates or (F.count(value).alias("_n"),)))
-    return null_safe_join(base, spread, keys, "left").drop("_n")
-
-
-def spread_percentiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
-) -> DataFrame:
-    """Percentiles alone: one row per group with values.
-
-    Counted values meet the splitters of their group; where these are too many to broadcast, the
-    adaptive skew join divides a hot group.
-    """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
-    cuts = ", ".join(f"{i / BINS}D" for i in range(1, BINS))
-    splits = counted.groupBy(*keys).agg(
-        F.expr(f"percentile_approx(v, array({cuts}), 1000) AS splits")
-    ).withColumn("coarse", F.expr(f"filter(splits, (s, i) -> i % {_STEP} = {_STEP - 1})"))
-    # Two-step search: every eighth splitter first, then the eight after it.
-    binned = (
-        null_safe_join(counted, splits, keys, "inner")
-        .withColumn("jump", F.expr("size(filter(coarse, s -> s < v))"))
-        .select(
-            *keys,
-            "v",
-            "c",
-            F.expr(
-                f"jump * {_STEP} + size(filter(slice(splits, jump * {_STEP} + 1, {_STEP}),"
-                " s -> s < v)) AS bin"
-            ),
-        )
+        return percentile_aggregates(one, ["_all"], value, probabilities, counts, moments, weight).drop("_all")
+    cells = value_cells(df, keys, value, counts, weight)
+    totals = [F.expr(f"sum({name}) AS {name}") for name in counts or {}]
+    if moments:
+        totals += [
+            F.expr("sum(_v * _c) / sum(_c) FILTER (WHERE _v IS NOT NULL) AS mean"),
+            F.expr("max(_v) AS maximum"),
+            F.expr("min(_v) AS minimum"),
+        ]
+    groups = cells.groupBy(*keys).agg(
+        *(totals or [F.count("*").alias("_cells")])
     )
-    # At most one row per bin and group from here to the rank lookup.
+    binned = cells.filter("_v IS NOT NULL").select(*keys, "_v", "_c", F.expr(f"{_BIN} AS _bin"))
+    # One row a bin from here to the rank lookup.
     group = Window.partitionBy(*keys)
-    totals = (
-        binned.groupBy(*keys, "bin")
-        .agg(F.sum("c").alias("bin_rows"))
-        .withColumn("n", F.sum("bin_rows").over(group))
-        .withColumn(
-            "before",
-            F.sum("bin_rows").over(group.orderBy("bin")) - F.col("bin_rows"),
-        )
+    bins = (
+        binned.groupBy(*keys, "_bin")
+        .agg(F.sum("_c").alias("bin_rows"))
+        .withColumn("_n", F.sum("bin_rows").over(group))
+        .withColumn("before", F.sum("bin_rows").over(group.orderBy("_bin")) - F.col("bin_rows"))
     )
     ranks = ", ".join(
         f"named_struct('p', '{name}', 'edge', '{edge}', 'r',"
-        f" cast({fn}((n - 1) * {p}D) AS bigint), 'w', (n - 1) * {p}D - floor((n - 1) * {p}D))"
+        f" cast({fn}((_n - 1) * {p}D) AS bigint), 'w', (_n - 1) * {p}D - floor((_n - 1) * {p}D))"
         for name, p in probabilities.items()
         for edge, fn in (("low", "floor"), ("high", "ceil"))
     )
-    wanted = totals.select(
+    wanted = bins.select(
         *keys,
-        "bin",
+        "_bin",
         F.expr(
             f"transform(filter(array({ranks}), x -> x.r >= before AND x.r < before + bin_rows),"
             " x -> named_struct('p', x.p, 'edge', x.edge, 'r', x.r - before, 'w', x.w)) AS ranks"
         ),
     ).filter(F.size("ranks") > 0)
-    inside = null_safe_join(binned, wanted, [*keys, "bin"], "inner")
-    running = F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))
-    found = (
-        inside.withColumn("upto", running)
-        .select(
-            *keys,
-            "v",
-            F.expr("inline(filter(ranks, x -> x.r < upto AND x.r >= upto - c))"),
-        )
+    inside = null_safe_join(binned, wanted, [*keys, "_bin"], "inner")
+    running = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    found = inside.withColumn("upto", running).select(
+        *keys, "_v", F.expr("inline(filter(ranks, x -> x.r < upto AND x.r >= upto - _c))")
     )
     columns = []
     for name in probabilities:
-        low = f"max(v) FILTER (WHERE p = '{name}' AND edge = 'low')"
-        high = f"max(v) FILTER (WHERE p = '{name}' AND edge = 'high')"
-        weight = f"max(w) FILTER (WHERE p = '{name}')"
-        columns.append(F.expr(f"{low} + ({high} - {low}) * {weight} AS {name}"))
-    return found.groupBy(*keys).agg(*columns)
+        low = f"max(_v) FILTER (WHERE p = '{name}' AND edge = 'low')"
+        high = f"max(_v) FILTER (WHERE p = '{name}' AND edge = 'high')"
+        share = f"max(w) FILTER (WHERE p = '{name}')"
+        columns.append(F.expr(f"{low} + ({high} - {low}) * {share} AS {name}"))
+    return null_safe_join(groups.drop("_cells"), found.groupBy(*keys).agg(*columns), keys, "left")
 
+
+def spread_percentiles(
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """Percentiles alone: one row per group with values."""
+    return percentile_aggregates(df.filter(F.col(value).isNotNull()), keys, value, probabilities)

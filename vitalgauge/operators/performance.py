@@ -53,9 +53,11 @@ _GATED = (
 )
 
 
-def _observations(spark) -> DataFrame:
+def _observations(spark, metrics: set[str] | None = None) -> DataFrame:
     grouped = defaultdict(list)
     for f in catalog.performance_fields():
+        if metrics is not None and f.id not in metrics:
+            continue
         grouped[(f.module, f.name)].append(
             {
                 "metric_id": f.id,
@@ -74,8 +76,8 @@ def _observations(spark) -> DataFrame:
     )
 
 
-def observe_value(rows: DataFrame, *keep: str) -> DataFrame:
-    """Long form ``(keep..., metric_id, unit, state, value)`` of every registered observation.
+def observe_value(rows: DataFrame, *keep: str, metrics: set[str] | None = None) -> DataFrame:
+    """Long form ``(keep..., metric_id, unit, state, value)`` of every registered observation, or of ``metrics`` alone.
 
     A closed availability flag or an empty sample count makes the value UNAVAILABLE whatever was
     sent; otherwise the normalized value or its stored state applies.
@@ -86,7 +88,7 @@ def observe_value(rows: DataFrame, *keep: str) -> DataFrame:
         (f"{_number('f.field')} IS NOT NULL", lit(C.AVAILABLE)),
         otherwise=f"coalesce(try_element_at(field_states, f.field), '{C.UNAVAILABLE}')",
     )
-    defs = F.broadcast(_observations(rows.sparkSession))
+    defs = F.broadcast(_observations(rows.sparkSession, metrics))
     return rows.join(defs, ["module", "name"]).selectExpr(
         *keep,
         "inline(transform(observed, f -> named_struct('metric_id', f.metric_id, 'unit', f.unit,"
@@ -116,26 +118,20 @@ def summary_state(values: str, total: str, nonzero: str) -> str:
     )
 
 
-_SUMMARY = (
-    "count(value) AS sample_count",
-    "count(*) AS event_count",
-    f"count_if(value IS NULL AND state = '{C.MISSING}') AS missing_count",
-    f"count_if(value IS NULL AND state = '{C.INVALID}') AS invalid_count",
-    f"count_if(value IS NULL AND state NOT IN ('{C.MISSING}', '{C.INVALID}'))"
-    " AS unavailable_count",
-    "count_if(value <> 0) AS nonzero",
-    "avg(value) AS mean",
-    "max(value) AS maximum",
-    "min(value) AS minimum",
-)
+_SUMMARY = {
+    "sample_count": "value IS NOT NULL",
+    "event_count": "true",
+    "missing_count": f"value IS NULL AND state = '{C.MISSING}'",
+    "invalid_count": f"value IS NULL AND state = '{C.INVALID}'",
+    "unavailable_count": f"value IS NULL AND state NOT IN ('{C.MISSING}', '{C.INVALID}')",
+    "nonzero": "coalesce(value <> 0, false)",
+}
 
 
 def summarize_metric(observations: DataFrame, *keys: str) -> DataFrame:
     """State, counts, coverage, mean, exact percentiles and range per key and metric."""
     names = [*keys, "metric_id"]
-    full = percentile_aggregates(
-        observations, names, "value", PERCENTILES, tuple(F.expr(a) for a in _SUMMARY)
-    )
+    full = percentile_aggregates(observations, names, "value", PERCENTILES, _SUMMARY, moments=True)
     return full.selectExpr(
         *names,
         summary_state("sample_count", "event_count", "nonzero") + " AS state",
@@ -203,8 +199,8 @@ def metric_trend(
     field = next(f for f in catalog.performance_fields() if f.id == metric_id)
     mine = bound_rows(rows, releases).filter(E.is_event(field.module, field.name))
     observed = observe_value(
-        mine.withColumn("bucket", bucket_index(from_ms, to_ms)), "app_version", "bucket"
-    ).filter(F.col("metric_id") == metric_id)
+        mine.withColumn("bucket", bucket_index(from_ms, to_ms)), "app_version", "bucket", metrics={metric_id}
+    )
     summary = summarize_metric(observed, "app_version", "bucket").drop("metric_id")
     spine = bucket_spine(spark, from_ms, to_ms).withColumn(
         "app_version", F.explode(F.array(*[F.lit(r) for r in releases]))
