@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitalgauge.operators import identity as ID
@@ -327,20 +328,24 @@ def _(spark, sf):
 
 @query(
     "match_rotated_identity",
-    f"{WIRE_CTE}, p AS (SELECT *, {PLAIN_SQL} AS plain FROM wire WHERE length(event_id) > 0 AND k"
-    " NOT IN (91, 93)), s AS (SELECT *, CASE WHEN plain IS NULL THEN NULL WHEN k % 10 = 0 THEN 'v9'"
-    " WHEN k % 2 = 0 THEN 'v1' ELSE 'v2' END AS v FROM p) SELECT tenant_id, event_id, v AS"
-    " key_version, CASE WHEN plain IS NULL THEN TRUE WHEN v = 'v9' THEN FALSE ELSE k % 5 <> 1 END"
-    " AS matches FROM s",
+    f"{WIRE_CTE}, p AS (SELECT *, {PLAIN_SQL} AS plain FROM wire), s AS (SELECT *, CASE WHEN plain IS NULL THEN NULL WHEN"
+    " k % 10 = 0 THEN 'v9' WHEN k % 2 = 0 THEN 'v1' ELSE 'v2' END AS v FROM p QUALIFY row_number() OVER (PARTITION BY"
+    " tenant_id, event_id ORDER BY id) = 1) SELECT p.tenant_id, p.event_id, s.v AS key_version, CASE WHEN p.plain IS NULL"
+    " THEN s.plain IS NULL WHEN s.plain IS NULL OR s.v = 'v9' THEN FALSE ELSE s.k % 5 <> 1 AND s.plain = p.plain END AS"
+    " matches FROM p JOIN s ON s.tenant_id = p.tenant_id AND s.event_id = p.event_id",
 )
 def _(spark, sf):
-    rows = identified(spark, sf).filter("event_id <> '' AND k NOT IN (91, 93)")
+    """Replays of every wire event against the first stored row of its id; a few ids carry many events."""
+    rows = identified(spark, sf)
     old = ID.pseudonymize_ids(rows, keys(spark), "v1").select("id", "installation_hmac")
     new = ID.pseudonymize_ids(rows, keys(spark), "v2").select(
         "id", F.col("installation_hmac").alias("other_hmac")
     )
+    first = Window.partitionBy("tenant_id", "event_id").orderBy("id")
     stored = (
         rows.select("id", "k", "tenant_id", "event_id")
+        .withColumn("copy", F.row_number().over(first))
+        .filter("copy = 1")
         .join(old, "id")
         .join(new, "id")
         .selectExpr(
@@ -467,10 +472,10 @@ def arrivals(spark, sf):
     rows = T.telemetry(spark, sf).withColumn(
         "session_hmac", F.expr("if(id % 3 = 1, NULL, session_hmac)")
     )
-    once = rows.filter("id % 10 >= 5").selectExpr(
+    once = rows.selectExpr(
         *_columns(ARRIVAL.format(s="string")), *_columns(SIGN.format(s="string"))
     )
-    again = rows.filter("id % 10 >= 5 AND id % 7 = 0").selectExpr(
+    again = rows.filter("id % 7 = 0").selectExpr(
         *_columns(ARRIVAL.format(s="string")), *_columns(SIGN.format(s="string")), "k", "id"
     )
     changed = F.expr("if(k % 25 = 3 AND id % 3 <> 1, 'other', payload_sha256)")
@@ -484,7 +489,7 @@ def arrivals(spark, sf):
 def stored_rows(spark, sf):
     rows = T.telemetry(spark, sf).withColumn(
         "session_hmac", F.expr("if(id % 3 = 1, NULL, session_hmac)")
-    ).filter("id % 10 BETWEEN 4 AND 6 AND id % 3 <> 1")
+    ).filter("inbox_status = 'delivered'")
     mine = rows.selectExpr(
         "tenant_id", "event_id", *_columns(SIGN.format(s="string")), "k"
     )
@@ -502,12 +507,12 @@ def _columns(text: str) -> list[str]:
 ARRIVAL_CTE = T.duck_cte(
     extra="t2 AS (SELECT * REPLACE (CASE WHEN id % 3 = 1 THEN NULL ELSE session_hmac END AS"
     f" session_hmac) FROM t), once AS (SELECT {ARRIVAL.format(s='varchar')},"
-    f" {SIGN.format(s='varchar')} FROM t2 WHERE id % 10 >= 5), again AS (SELECT"
-    f" {ARRIVAL.format(s='varchar')}, {SIGN.format(s='varchar')}, k, id FROM t2 WHERE id % 10 >= 5"
-    " AND id % 7 = 0), a AS (SELECT * FROM once UNION ALL BY NAME SELECT * EXCLUDE (k, id) REPLACE"
+    f" {SIGN.format(s='varchar')} FROM t2), again AS (SELECT"
+    f" {ARRIVAL.format(s='varchar')}, {SIGN.format(s='varchar')}, k, id FROM t2 WHERE"
+    " id % 7 = 0), a AS (SELECT * FROM once UNION ALL BY NAME SELECT * EXCLUDE (k, id) REPLACE"
     " (CASE WHEN k % 25 = 3 AND id % 3 <> 1 THEN 'other' ELSE payload_sha256 END AS payload_sha256,"
     " event_index + 25 AS event_index) FROM again), st AS (SELECT tenant_id, event_id,"
-    f" {SIGN.format(s='varchar')}, k FROM t2 WHERE id % 10 BETWEEN 4 AND 6 AND id % 3 <> 1), s AS"
+    f" {SIGN.format(s='varchar')}, k FROM t2 WHERE inbox_status = 'delivered'), s AS"
     " (SELECT * EXCLUDE (k) REPLACE (CASE WHEN k % 20 = 9 THEN '0.0' ELSE app_version END AS"
     " app_version) FROM st)"
 )

@@ -49,7 +49,6 @@ def _(spark, sf):
             "id", "raw_pruned_ms", "retained_scene_state", "ints", "nums",
             F.explode("field_states").alias("field", "state"),
         )
-        .filter("state <> 'MISSING'")
         .selectExpr(
             "id", "raw_pruned_ms", "retained_scene_state", "field", "state",
             "coalesce(cast(try_element_at(ints, field) AS double), try_element_at(nums, field))"

@@ -74,7 +74,30 @@ def _field_rows() -> str:
     return " UNION ALL ".join(parts)
 
 
-FIELDS_CTE = T.duck_cte(*T.FIELD_TEXT) + f", v AS ({_field_rows()})"
+# The mapped events; the registry's rows for them enter the SQL as a table of literals.
+MAPPED = (
+    ("crash", "java_crash"), ("crash", "native_crash"), ("crash", "tombstone_crash"), ("anr", "anr_detected"),
+    ("network", "network_request"), ("launch", "cold_start"), ("launch", "warm_start"), ("launch", "hot_start"),
+    ("fps", "fps_stats"), ("core", "session_start"), ("core", "sdk_health"),
+)
+
+
+def literal_rows(name: str, columns: str, rows: list[tuple]) -> str:
+    """``name AS (...)`` with the rows as SQL literals."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    return f"{name} AS (SELECT * FROM (VALUES {values}) r({columns}))"
+
+
+REGISTERED = literal_rows(
+    "reg", "module, name, field, type",
+    [(f.module, f.name, f.field, f.type) for f in catalog.registry() if (f.module, f.name) in MAPPED],
+)
+FIELDS_CTE = (
+    T.duck_cte(*T.FIELD_TEXT)
+    + f", sent AS ({_field_rows()}), {REGISTERED}, v AS (SELECT t.id, t.module, t.name, t.raw_pruned_ms, reg.field, reg.type,"
+    " sent.raw, coalesce(sent.state, 'MISSING') AS state FROM t JOIN reg ON reg.module = t.module AND reg.name = t.name LEFT"
+    " JOIN sent ON sent.id = t.id AND sent.field = reg.field)"
+)
 
 
 @query(
@@ -84,7 +107,7 @@ FIELDS_CTE = T.duck_cte(*T.FIELD_TEXT) + f", v AS ({_field_rows()})"
     " cast(raw AS double) END AS number_value FROM v",
 )
 def _(spark, sf):
-    return N.field_values(T.inbox(spark, sf), "id").filter("state <> 'MISSING'")
+    return N.field_values(T.inbox(spark, sf), "id")
 
 
 @query(
@@ -93,10 +116,9 @@ def _(spark, sf):
     " GROUP BY 1, 2, 3) SELECT * FROM n",
 )
 def _(spark, sf):
-    """Registered field states per event, missing ones aside."""
+    """Registered field states per event."""
     return (
         N.field_values(T.inbox(spark, sf), "module", "name")
-        .filter("state <> 'MISSING'")
         .groupBy("module", "name", "state")
         .agg(F.count("*").alias("event_count"))
     )
@@ -254,11 +276,7 @@ def _(spark, sf):
 
     pruned = F.col("raw_pruned_ms").isNotNull()
     states = N.field_availability(F.col("field_states"), pruned, *retained_values(pruned))
-    return (
-        T.inbox(spark, sf)
-        .select("id", F.explode(states).alias("field", "state"))
-        .filter("state <> 'MISSING'")
-    )
+    return T.inbox(spark, sf).select("id", F.explode(states).alias("field", "state"))
 
 
 @query(
@@ -364,7 +382,26 @@ OBSERVED = [
     ("core.sdk_health.dispatcherStage.resolve.avgMicros", "name = 'sdk_health'",
      "dispatcherStage.resolve.avgMicros", "-1", "cast(f_dispatcherStage_resolve_count AS int) > 0"),
 ]
-METRICS = [metric for metric, *_ in OBSERVED]
+
+
+def _unsent() -> list[tuple]:
+    """Registered observations of the mapped events that are never sent, and what their gate says then.
+
+    A gate on a field that isn't sent is closed; the one on ``resolve.count`` is open where that is above 0.
+    """
+    sent = {metric for metric, *_ in OBSERVED}
+    rows = []
+    for f in catalog.performance_fields():
+        if f.id in sent or (f.module, f.name) not in MAPPED:
+            continue
+        gate = "closed" if f.availability_field else "none"
+        if f.sample_count_field:
+            gate = "resolve" if f.sample_count_field == "dispatcherStage.resolve.count" else "closed"
+        rows.append((f.module, f.name, f.id, gate))
+    return rows
+
+
+UNSENT = literal_rows("unsent", "module, name, metric_id, gate", _unsent())
 
 
 def observed_sql(where: str, columns: str = "id") -> str:
@@ -380,21 +417,23 @@ def observed_sql(where: str, columns: str = "id") -> str:
             f" ELSE 'AVAILABLE' END AS state, CASE WHEN {ok} THEN try_cast({f} AS double) END"
             f" AS value FROM t WHERE {event} AND {where}"
         )
+    parts.append(
+        f"SELECT {columns}, metric_id, CASE WHEN gate = 'closed' OR (gate = 'resolve' AND NOT"
+        " coalesce(cast(f_dispatcherStage_resolve_count AS int) > 0, FALSE)) THEN 'UNAVAILABLE' ELSE 'MISSING' END AS state,"
+        " cast(NULL AS double) AS value FROM (SELECT t.*, unsent.metric_id, unsent.gate FROM t JOIN unsent ON unsent.module ="
+        f" t.module AND unsent.name = t.name) t WHERE {where}"
+    )
     return " UNION ALL ".join(parts)
 
 
 @query(
     "observe_value",
-    T.duck_cte(*T.FIELD_TEXT) + f", o AS ({observed_sql(T.WINDOW_SQL)})"
+    T.duck_cte(*T.FIELD_TEXT) + f", {UNSENT}, o AS ({observed_sql(T.WINDOW_SQL)})"
     " SELECT id, metric_id, state, value FROM o",
 )
 def _(spark, sf):
     rows = window(T.inbox(spark, sf))
-    return (
-        P.observe_value(rows, "id")
-        .filter(F.col("metric_id").isin(*METRICS))
-        .select("id", "metric_id", "state", "value")
-    )
+    return P.observe_value(rows, "id").select("id", "metric_id", "state", "value")
 
 
 PERCENTILE_SQL = (
@@ -436,7 +475,7 @@ SUMMARY_SQL = (
     " round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS maximum, min(value) AS minimum"
 )
 SUMMARY_CTE = (
-    T.duck_cte(*T.FIELD_TEXT) + f", o AS ({observed_sql(BOUND_SQL, 'app_version')}),"
+    T.duck_cte(*T.FIELD_TEXT) + f", {UNSENT}, o AS ({observed_sql(BOUND_SQL, 'app_version')}),"
     f" s AS (SELECT app_version, metric_id, {SUMMARY_SQL} FROM o GROUP BY ALL)"
 )
 
@@ -444,7 +483,7 @@ SUMMARY_CTE = (
 @query("summarize_metric", f"{SUMMARY_CTE} SELECT * FROM s")
 def _(spark, sf):
     rows = P.bound_rows(window(T.inbox(spark, sf)), RELEASES)
-    observed = P.observe_value(rows, "app_version").filter(F.col("metric_id").isin(*METRICS))
+    observed = P.observe_value(rows, "app_version")
     return rounded(P.summarize_metric(observed, "app_version"))
 
 
@@ -457,7 +496,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = P.bound_rows(window(T.inbox(spark, sf)), RELEASES)
-    observed = P.observe_value(rows, "app_version").filter(F.col("metric_id").isin(*METRICS))
+    observed = P.observe_value(rows, "app_version")
     summary = P.summarize_metric(observed, "app_version")
     return rounded(P.compare_metrics(summary, T.NEW, T.BASE))
 
@@ -467,7 +506,7 @@ TREND_METRIC = "network.network_request.durationMs"
 
 @query(
     "metric_trend",
-    T.duck_cte(*T.FIELD_TEXT, extra=SPINE_SQL)
+    T.duck_cte(*T.FIELD_TEXT, extra=f"{SPINE_SQL}, {UNSENT}")
     + f", o AS ({observed_sql(BOUND_SQL, 'app_version, (occurrence_timestamp_ms - ' + str(T.FROM_MS) + ') // ' + str(BUCKET) + ' AS bucket')}),"
     f" o2 AS (SELECT * FROM o WHERE metric_id = '{TREND_METRIC}'), s AS (SELECT app_version,"
     f" bucket, {SUMMARY_SQL} FROM o2 GROUP BY ALL), r AS (SELECT unnest(['2.0.0', '1.0.0']) AS"
@@ -518,28 +557,36 @@ CATEGORY_CTE = T.duck_cte("dropSeverity", "isColdStart") + (
 )
 
 
+LABELS = literal_rows(
+    "lab", "app_version, metric_id, label",
+    [(r, f.id, label) for r in RELEASES for f in catalog.category_fields() for label in f.allowed],
+)
+
+
 @query(
     "category_distribution",
-    f"{CATEGORY_CTE} SELECT app_version, metric_id, raw AS label, count(*) AS event_count FROM c"
-    " WHERE known GROUP BY ALL",
+    f"{CATEGORY_CTE}, {LABELS}, g AS (SELECT app_version, metric_id, raw AS label, count(*) AS event_count FROM c"
+    " WHERE known GROUP BY ALL) SELECT app_version, metric_id, label, coalesce(event_count, 0) AS event_count FROM lab LEFT"
+    " JOIN g USING (app_version, metric_id, label)",
 )
 def _(spark, sf):
-    rows = window(T.inbox(spark, sf))
-    return P.category_distribution(rows, RELEASES).filter("event_count > 0")
+    return P.category_distribution(window(T.inbox(spark, sf)), RELEASES)
 
 
 @query(
     "category_summary",
-    f"{CATEGORY_CTE} SELECT app_version, metric_id, count(*) AS event_count, count(*) FILTER"
+    f"{CATEGORY_CTE}, {LABELS}, g AS (SELECT app_version, metric_id, count(*) AS event_count, count(*) FILTER"
     " (known) AS available_count, count(*) FILTER (raw IS NULL) AS missing_count, count(*) FILTER"
     " (NOT known AND other = 'INVALID') AS invalid_count, count(*) FILTER (NOT known AND other ="
-    " 'UNKNOWN') AS unknown_count, 0 AS expired_count, CASE WHEN count(*) FILTER (known) = 0 THEN"
-    " 'UNAVAILABLE' WHEN count(*) FILTER (known) = count(*) THEN 'PRESENT' ELSE 'DEGRADED' END AS"
-    " state FROM c GROUP BY ALL",
+    " 'UNKNOWN') AS unknown_count FROM c GROUP BY ALL), m AS (SELECT DISTINCT app_version, metric_id FROM lab) SELECT"
+    " app_version, metric_id, coalesce(event_count, 0) AS event_count, coalesce(available_count, 0) AS available_count,"
+    " coalesce(missing_count, 0) AS missing_count, coalesce(invalid_count, 0) AS invalid_count, coalesce(unknown_count, 0)"
+    " AS unknown_count, 0 AS expired_count, CASE WHEN event_count IS NULL THEN 'NO_DATA' WHEN available_count = 0 THEN"
+    " 'UNAVAILABLE' WHEN available_count = event_count THEN 'PRESENT' ELSE 'DEGRADED' END AS state FROM m LEFT JOIN g USING"
+    " (app_version, metric_id)",
 )
 def _(spark, sf):
-    rows = window(T.inbox(spark, sf))
-    return P.category_summary(rows, RELEASES).filter("event_count > 0")
+    return P.category_summary(window(T.inbox(spark, sf)), RELEASES)
 
 
 @query(
@@ -590,14 +637,22 @@ def _(spark, sf):
     )
 
 
+METRIC_SPINE = literal_rows(
+    "spine", "app_version, metric_id", [(r, f.id) for r in RELEASES for f in catalog.performance_fields()]
+)
+
+
 @query(
     "performance_report",
-    f"{SUMMARY_CTE}, d AS (SELECT metric_id, round(max(p95) FILTER (app_version = '2.0.0') -"
+    f"{SUMMARY_CTE}, {METRIC_SPINE}, d AS (SELECT metric_id, round(max(p95) FILTER (app_version = '2.0.0') -"
     " max(p95) FILTER (app_version = '1.0.0'), 6) AS p95_delta FROM s GROUP BY metric_id)"
-    " SELECT s.*, p95_delta FROM s JOIN d USING (metric_id) WHERE sample_count > 0",
+    " SELECT app_version, metric_id, coalesce(state, 'NO_DATA') AS state, coalesce(sample_count, 0) AS sample_count,"
+    " coalesce(event_count, 0) AS event_count, coalesce(missing_count, 0) AS missing_count, coalesce(invalid_count, 0) AS"
+    " invalid_count, coalesce(unavailable_count, 0) AS unavailable_count, coverage, mean, p50, p75, p95, maximum, minimum,"
+    " p95_delta FROM spine LEFT JOIN s USING (app_version, metric_id) LEFT JOIN d USING (metric_id)",
 )
 def _(spark, sf):
     report = P.performance_report(
         T.inbox(spark, sf), T.SCOPE, T.FROM_MS, T.TO_MS, T.NEW, T.BASE
     )
-    return rounded(report.filter("sample_count > 0"))
+    return rounded(report)
