@@ -4,14 +4,15 @@ Each paragraph gives points (one, one a comma, up to three for length) to its an
 grandparent, less to those above. A container's points are cut by the share of its text that stands in links; article
 and main elements start ahead. The best container is kept, with those of its siblings that score a fifth as much or are
 long paragraphs with few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out wherever they stand, known by element or by a word of their class, id or role. Such a word may
+comments are left out wherever they stand, known by element or by a word of their class, id or role. A header inside an article and lists of
+links in it belong to the article; an inline element is left out only if its whole class is such a word. Such a word may
 also describe the whole page (``has-sidebar``), and a form may go around it: an element so marked is kept, its marked
 parts aside, when it holds the main element or more than half of the page's unlinked text, and a form or a ``has-`` class
 also when it holds the only articles. Hidden
 elements never are, nor menus, controls, comments, dialogs and consent boxes unless they hold the main element.
 
 White space inside a block becomes one space; blocks follow in page order, one a line. Null, empty and textless pages
-give the empty text. Unclosed and truncated markup is read as browsers do: a block ends an open paragraph.
+give the empty text; of containers that score the same the first in page order is kept. Unclosed and truncated markup is read as browsers do: a block ends an open paragraph.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "template", "iframe", "svg", "math"}
+ATTRIBUTE = re.compile(r"(?<![^\s=/\"'])([^\s=/\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "template", "iframe", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -61,31 +62,51 @@ PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
 HEAD_STARTS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "body": 0.0}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LISTS = {"ul", "ol", "dl", "table", "li", "tr", "div", "section", "body"}
+SCOPES = {"ul", "ol", "dl", "table", "#root"}  # an item ends an open one only inside the same of these
+ARTICLES = {"article", "main"}
 SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "attributes", "score", "chars", "linked")
+    """An element; ``block`` is the nearest block around it, ``scope`` the nearest list or table, itself included."""
+
+    __slots__ = ("tag", "parent", "children", "dropped", "attributes", "score", "chars", "linked", "links", "block", "scope", "opened", "article")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, attributes: str = "") -> None:
         self.tag, self.parent, self.dropped, self.attributes = tag, parent, dropped, attributes
         self.children: list[Node | str] = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.links = 0.0, 0, 0, 0
+        self.block = parent if parent is None or parent.tag in BLOCKS or parent.tag == "#root" else parent.block
+        self.scope = self if parent is None or tag in SCOPES else parent.scope
+        self.opened: dict[str, int] | None = {} if self.scope is self else None  # open elements of the scope by tag
+        self.article = tag in ARTICLES or parent is not None and parent.article
+
 
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is none of the main text by its name, its class, id or role, or because it is hidden.
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+    A header inside an article is the article's own. An inline element's class must be such a word as a whole.
+    """
     if tag in NEVER_DROPPED:
         return False
-    if tag in DROPPED:
+    own_header = in_article and tag in ("header", "div", "section", "hgroup")
+    if tag in DROPPED and not (own_header and tag == "header"):
         return True
     if "=" not in attributes and "hidden" not in attributes:
         return False
+    inline = tag not in BLOCKS
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
-        if name in ("class", "id") and BOILERPLATE.search(value):
-            return True
-        if name == "role" and value.strip().lower() in DROPPED_ROLES:
+        if name in ("class", "id"):
+            if inline:
+                if any(found[0] == word for word in value.split() if (found := BOILERPLATE.search(word))):
+                    return True
+            else:
+                words = {found.strip(" \t\r\n\f_-").lower() for found in BOILERPLATE.findall(value)}
+                if words - ({"header", "masthead"} if own_header else set()):
+                    return True
+        if name == "role" and value.strip().lower() in DROPPED_ROLES and not (own_header and tag == "header"):
             return True
     return bool(HIDDEN.search(attributes))
 
@@ -155,9 +176,24 @@ def _keep_wrappers(root: Node) -> None:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; text stays as written, references undecoded."""
+    """The tree of a page; text stays as written, references undecoded.
+
+    Open elements are counted by name, in all and in each list or table, so the way up is only taken where it ends at an
+    open element, and every step of it closes one: the whole takes time linear in the page.
+    """
     root = node = Node("#root", None, False)
+    opened: dict[str, int] = {}
     at, size = 0, len(page)
+
+    def up_to(node: Node, target: Node) -> Node:
+        """Close everything from ``node`` to ``target``, which closes too."""
+        while True:
+            opened[node.tag] -= 1
+            node.parent.scope.opened[node.tag] -= 1
+            if node is target:
+                return node.parent
+            node = node.parent
+
     while at < size:
         found = TOKEN.search(page, at)
         if found is None:
@@ -171,11 +207,11 @@ def parse(page: str) -> Node:
             continue
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         if closing:
-            above = node
-            while above.tag not in (tag, "#root"):
-                above = above.parent
-            if above.tag == tag and tag not in ("html", "body"):
-                node = above.parent
+            if opened.get(tag) and tag not in ("html", "body"):
+                above = node
+                while above.tag != tag:
+                    above = above.parent
+                node = up_to(node, above)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -187,20 +223,24 @@ def parse(page: str) -> Node:
             continue
         if tag in BLOCKS:
             # a block ends the paragraph that is open, whatever inline elements it left open
-            above = node
-            while above.tag != "#root" and above.tag not in LISTS and above.tag not in ("p", "article", "main", "blockquote"):
-                above = above.parent
-            if above.tag == "p":
-                node = above.parent
+            if opened.get("p"):
+                above = node if node.tag in BLOCKS else node.block
+                while above.tag != "#root" and above.tag not in LISTS and above.tag not in ("p", "article", "main", "blockquote"):
+                    above = above.block
+                if above.tag == "p":
+                    node = up_to(node, above)
             ends = CLOSES.get(tag)
-            if ends:
+            if ends and any(node.scope.opened.get(e) for e in ends):
                 above = node
-                while above.tag not in ends and above.tag not in ("ul", "ol", "dl", "table", "#root"):
+                while above.tag not in ends and above is not node.scope:
                     above = above.parent
                 if above.tag in ends:
-                    node = above.parent
-        child = Node(tag, node, dropped := _boilerplate(tag, attributes), attributes if dropped else "")
+                    node = up_to(node, above)
+        child = Node(tag, node, dropped := _boilerplate(tag, attributes, node.article), attributes if dropped else "")
         node.children.append(child)
+        opened[tag] = opened.get(tag, 0) + 1
+        of_scope = node.scope.opened
+        of_scope[tag] = of_scope.get(tag, 0) + 1
         node = child
     return root
 
@@ -221,9 +261,11 @@ def _measure(nodes: list[Node]) -> None:
         node.chars += sum(len(c.strip()) for c in node.children if isinstance(c, str))
         if node.tag == "a":
             node.linked = node.chars
+            node.links += 1
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.links += node.links
 
 
 def _density(node: Node) -> float:
@@ -255,31 +297,29 @@ def _score(nodes: list[Node]) -> dict[int, Node]:
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - _density(node))
         above, level = (node.parent if node.tag in PARAGRAPHS else node), 0
+        if above is not None and above.tag not in BLOCKS and above.tag != "#root":
+            above = above.block
         while above is not None and level < 5:
-            if above.tag in BLOCKS or above.tag == "#root":
-                if id(above) not in candidates:
-                    candidates[id(above)] = above
-                    above.score = HEAD_STARTS.get(above.tag, 0.0)
-                above.score += points / (1, 2, 6, 9, 12)[level]
-                level += 1
-            above = above.parent
+            if id(above) not in candidates:
+                candidates[id(above)] = above
+                above.score = HEAD_STARTS.get(above.tag, 0.0)
+            above.score += points / (1, 2, 6, 9, 12)[level]
+            level += 1
+            above = above.block
     for node in candidates.values():
         node.score *= 1 - _density(node)
     return candidates
 
 
 def _menu(node: Node) -> bool:
-    """A list or box of links inside the container."""
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.chars > 0 and _density(node) > 0.6 and _links(node) >= 3
-
-
-def _links(node: Node) -> int:
-    count, stack = 0, [node]
-    while stack:
-        item = stack.pop()
-        count += item.tag == "a"
-        stack += [c for c in item.children if isinstance(c, Node) and not c.dropped]
-    return count
+    """A list or box of links beside the text; inside an article it is part of the text."""
+    return (
+        not node.article
+        and node.tag in ("ul", "ol", "div", "section", "table", "dl")
+        and node.chars > 0
+        and _density(node) > 0.6
+        and node.links >= 3
+    )
 
 
 def _blocks(node: Node) -> list[str]:
