@@ -86,3 +86,43 @@ def test_folders_and_manifests_stay_bounded(spark, log):
     assert len(files.names(f"{log.path}/data/a")) <= 5  # one compacted, three behind it in an older manifest, one now
     assert len([n for n in files.names(f"{log.path}/log") if n.endswith(".json")]) <= 2
     assert keys(log.read(spark, "a")) == list(range(12))
+
+
+def test_rewriting_some_partitions(spark, log):
+    for epoch in range(2):
+        log.append(spark, {"a": rows(spark, *range(epoch * 9, epoch * 9 + 9))}, epoch)
+    files = Files(spark, log.path)
+
+    def listed():
+        found = {}
+        for entry in log.snapshot(spark).folders["a"]:
+            for leaf in log._leaves(files, "a", entry, 1):
+                found[leaf] = [n for n in files.names(f"{log.path}/data/a/{leaf}") if n.endswith(".parquet")]
+        return found
+
+    before, old = listed(), log.snapshot(spark)
+    changed = log.rewrite_partitions(spark, "a", "k = 10", lambda df: df.selectExpr("k", "day", "concat(v, '!') AS v"))
+    after = listed()
+    assert changed == 1
+    untouched = {leaf for leaf in before if "day=2024-01-02" not in leaf}
+    assert {leaf: before[leaf] for leaf in untouched} == {leaf: after[leaf] for leaf in after if leaf in before}
+    assert {r.k: r.v for r in log.read(spark, "a").collect()} == {k: f"v{k}" + ("!" if k % 3 == 1 else "") for k in range(18)}
+    assert {r.v for r in log.read(spark, "a", old).collect()} == {f"v{k}" for k in range(18)}
+    assert log.rewrite_partitions(spark, "a", "k = 99", lambda df: df) == 0
+    with pytest.raises(ValueError, match="counts"):
+        log.rewrite_partitions(spark, "a", "k = 1", lambda df: df.where("k <> 1"))
+    assert log.read(spark, "a").count() == 18
+    # again, on entries that are partition folders by now
+    assert log.rewrite_partitions(spark, "a", "k IN (0, 1)", lambda df: df.selectExpr("k", "day", "upper(v) AS v")) == 2
+    log.compact(spark, "a")
+    log.vacuum(spark, keep=1)
+    assert keys(log.read(spark, "a")) == list(range(18)) and len(files.names(f"{log.path}/data/a")) == 1
+
+
+def test_odd_partition_values(spark, tmp_path):
+    log = CommitLog(str(tmp_path / "odd"), {"t": Table("k bigint, who string", ("who",))})
+    names = ["a/b", "c=d", "e f", None, "it's", "100%", "x:y", "é", "back\\slash", "[q]"]
+    log.append(spark, {"t": spark.createDataFrame(list(enumerate(names)), "k bigint, who string")})
+    for k, _ in enumerate(names):
+        assert log.rewrite_partitions(spark, "t", f"k = {k}", lambda df: df.selectExpr("k + 100 AS k", "who")) == 1
+    assert {(r.k, r.who) for r in log.read(spark, "t").collect()} == {(k + 100, n) for k, n in enumerate(names)}

@@ -10,6 +10,7 @@ import pytest
 
 from vitalgauge.operators import admission as A
 from vitalgauge.operators.identity import key_ring
+from vitalgauge.sources.inbox import backfill_inbox, prune_inbox
 from vitalgauge.streaming import jobs as J
 
 NOW = 1_704_700_000_000
@@ -166,3 +167,23 @@ def test_hot_event_id(spark, ring, tmp_path):
     J.ingest_batch(requests(spark, *batches), 0, log, ring, "v1", LAYOUT)
     assert log.read(spark, "inbox").count() == 301
     assert sum(o[3] for o in outcomes(log, spark).values()) == 299
+
+
+def test_backfill_and_pruning_rewrite_their_partitions(spark, ring, tmp_path):
+    log = J.ingest_log(str(tmp_path / "set"))
+    lines = [line(f"e{d}", day=d, module="network", name="network_request", fields="statusCode=200", context="a=b") for d in range(3)]
+    J.ingest_batch(requests(spark, ("r", 0, lines)), 0, log, ring, "v1", LAYOUT)
+    aged = log.read(spark, "inbox").selectExpr(
+        "* EXCEPT (normalization_version, ints)",
+        "if(event_id = 'e1', 3, normalization_version) AS normalization_version",
+        "if(event_id = 'e1', cast(map() AS map<string,bigint>), ints) AS ints",
+    )
+    log.append(spark, {"inbox": aged}, 1, replaced=("inbox",))
+    assert backfill_inbox(spark, log) == 1 and backfill_inbox(spark, log) == 0
+    rows = {r.event_id: r for r in log.read(spark, "inbox").collect()}
+    assert len(rows) == 3 and all(r.normalization_version == 4 and r.ints["statusCode"] == 200 for r in rows.values())
+    assert prune_inbox(spark, log, "event_id IN ('e0', 'e2')", NOW) == 2
+    rows = {r.event_id: r for r in log.read(spark, "inbox").collect()}
+    assert rows["e0"].raw_pruned_ms == NOW and rows["e0"].fields == {} and rows["e0"].global_context == {}
+    assert rows["e0"].retained_scene_state == "EXPIRED" and rows["e0"].payload_sha256 is not None
+    assert rows["e1"].raw_pruned_ms is None and rows["e1"].fields == {"statusCode": "200"}

@@ -226,6 +226,24 @@ def test_percentiles_of_weighted_odd_values(spark):
     assert by_key["empty"]["p50"] is None and by_key["empty"]["n"] == 2 and by_key["empty"]["mean"] is None
 
 
+def test_weighted_sums_of_any_magnitude(spark):
+    rows = (
+        [("big", 1.5e308, 1.7e308), ("big", 1.7e308, 1.2e308), ("small", 5e-324, 5e-324), ("small", 1e-323, 5e-324)]
+        + [("mixed", 60.0, 1e300), ("mixed", 1e-300, 1e-300), ("zero", 0.0, 3.0), (None, 30.0, 2.0), (None, 60.0, 1.0)]
+    )
+    pairs = spark.createDataFrame(rows, "k string, fps double, span double").selectExpr("*", "'AVAILABLE' AS state")
+    pairs = pairs.unionByName(spark.createDataFrame([("none", None, None, "MISSING")], "k string, fps double, span double, state string"))
+    got = {r["k"]: r for r in P.weighted_fps(pairs, "k").collect()}
+    assert got["big"]["value"] == pytest.approx(1.5e308 + (1.7e308 - 1.5e308) * (1.2 / 2.9), rel=1e-12)
+    assert got["big"]["total_window_ms"] is None
+    assert got["small"]["value"] in (5e-324, 1e-323) and got["mixed"]["value"] == pytest.approx(60.0)
+    assert (got["zero"]["value"], got["zero"]["state"]) == (0.0, "ZERO")
+    assert got[None]["value"] == pytest.approx(40.0) and got[None]["total_window_ms"] == pytest.approx(3.0)
+    assert (got["none"]["value"], got["none"]["state"], got["none"]["missing_count"]) == (None, "UNAVAILABLE", 1)
+    plan = P.weighted_fps(pairs, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_percentiles_read_their_input_once(spark, tmp_path):
     spark.range(100).selectExpr("id % 3 AS k", "cast(id AS double) AS v").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))

@@ -43,7 +43,7 @@ STORED_SCHEMA = (
     " payload_size_bytes bigint, normalization_version int, ints map<string,bigint>, nums map<string,double>,"
     " bools map<string,boolean>, strs map<string,string>, field_states map<string,string>, indexed_fields array<string>,"
     " unknown_field_count int, incident_fingerprint string, raw_incident_fingerprint string, request_id string,"
-    " batch_id string, event_index int, received_ms bigint, inbox_status string, raw_pruned_ms bigint, attempt_count int"
+    " batch_id string, event_index int, received_ms bigint, inbox_status string, raw_pruned_ms bigint, retained_scene_state string, attempt_count int"
 )
 STORED = tuple(part.split()[0] for part in STORED_SCHEMA.split(", "))
 # What stored rows must agree in, apart from the pseudonyms, which are compared under the stored key version.
@@ -184,6 +184,7 @@ def prepare(
         "computed_fingerprint AS raw_incident_fingerprint",
         "'pending' AS inbox_status",
         "cast(NULL AS bigint) AS raw_pruned_ms",
+        "cast(NULL AS string) AS retained_scene_state",
         "0 AS attempt_count",
     )
     always = ("request_id", "batch_id", "event_index", "tenant_id", "received_ms")

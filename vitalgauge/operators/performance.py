@@ -15,7 +15,7 @@ from vitalgauge import catalog
 from vitalgauge import constants as C
 from vitalgauge.functions import events as E
 from vitalgauge.functions.metrics import ladder, lit
-from vitalgauge.operators.percentiles import null_safe_join, percentile_aggregates
+from vitalgauge.operators.percentiles import percentile_aggregates
 from vitalgauge.operators.scope import Scope, bucket_index, bucket_spine, scope_window_filter
 from vitalgauge.session import small_table
 
@@ -343,33 +343,57 @@ def fps_pairs(rows: DataFrame, *keys: str) -> DataFrame:
     return pair.selectExpr(*keys, "fps", "span", f"{state} AS state")
 
 
+# Sums are kept by chunks of this many binary exponents, scaled into the chunk, so none can overflow.
+_CHUNK = 200
+
+
+def _chunk(value: str) -> str:
+    """SQL of the chunk of a number >= 0; the lowest chunk has everything below 2^-800, zero included."""
+    return f"if({value} = 0, -5, greatest(-5, cast(floor(log2({value}) / {_CHUNK}) AS int)))"
+
+
+def _scaled(value: str, chunk: str) -> str:
+    return f"({value} * pow(2D, -{_CHUNK}D * {chunk}))"
+
+
+def _combined(cells: str, part: str, shift: str) -> str:
+    """SQL of the sum over chunks (at most a few dozen), scaled to the highest chunk."""
+    return f"aggregate(array_sort({cells}), 0D, (acc, x) -> acc + x.{part} * pow(2D, {_CHUNK}D * ({shift})))"
+
+
 def weighted_fps(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Duration-weighted FPS; both factors are scaled by their maxima so sums cannot overflow."""
+    """Duration-weighted FPS, whatever the size of the numbers: partial sums by exponent chunk, combined at the end."""
     usable = f"state = '{C.AVAILABLE}'"
-    scales = pairs.groupBy(*keys).agg(
-        F.expr(f"max(span) FILTER (WHERE {usable}) AS span_scale"),
-        F.expr(f"max(fps) FILTER (WHERE {usable}) AS fps_scale"),
-    )
-    joined = null_safe_join(pairs, scales, list(keys), "inner")
-    totals = joined.groupBy(*keys).agg(
-        F.expr(f"count_if({usable}) AS sample_count"),
-        F.expr("count(*) AS event_count"),
-        F.expr(f"count_if(state = '{C.MISSING}') AS missing_count"),
-        F.expr(f"count_if(state = '{C.INVALID}') AS invalid_count"),
-        F.expr(f"count_if(state = '{C.UNAVAILABLE}') AS unavailable_count"),
-        F.expr(f"sum(span / span_scale) FILTER (WHERE {usable}) AS scaled_total"),
-        F.expr(
-            f"sum(try_divide(fps, fps_scale) * (span / span_scale)) FILTER (WHERE {usable})"
-            " AS scaled_fps"
-        ),
-        F.expr("max(span_scale) AS span_scale"),
-        F.expr("max(fps_scale) AS fps_scale"),
-    )
-    value = (
-        "CASE WHEN sample_count = 0 THEN NULL WHEN fps_scale = 0 THEN 0.0D"
-        " ELSE scaled_fps / scaled_total * fps_scale END"
+    parts = (
+        pairs.selectExpr(
+            *keys, "state", "fps", "span",
+            f"if({usable}, {_chunk('span')}, NULL) AS es", f"if({usable}, {_chunk('fps')}, NULL) AS ef",
+        )
+        .groupBy(*keys, "es", "ef")
+        .agg(
+            F.expr(f"count_if({usable}) AS sample_count"),
+            F.expr("count(*) AS event_count"),
+            F.expr(f"count_if(state = '{C.MISSING}') AS missing_count"),
+            F.expr(f"count_if(state = '{C.INVALID}') AS invalid_count"),
+            F.expr(f"count_if(state = '{C.UNAVAILABLE}') AS unavailable_count"),
+            F.expr(f"sum({_scaled('span', 'es')}) AS s"),
+            F.expr(f"sum({_scaled('fps', 'ef')} * {_scaled('span', 'es')}) AS p"),
+        )
     )
-    total = "span_scale * scaled_total"
+    counts = ("sample_count", "event_count", "missing_count", "invalid_count", "unavailable_count")
+    totals = parts.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.max("es").alias("top_es"),
+        F.max("ef").alias("top_ef"),
+        F.expr("collect_list(struct(es, ef, s, p)) FILTER (WHERE es IS NOT NULL) AS cells"),
+    ).withColumns(
+        {
+            "scaled_total": F.expr(_combined("cells", "s", "x.es - top_es")),
+            "scaled_fps": F.expr(_combined("cells", "p", "x.es - top_es + x.ef - top_ef")),
+        }
+    )
+    value = f"if(sample_count = 0, NULL, scaled_fps / scaled_total * pow(2D, {_CHUNK}D * top_ef))"
+    total = f"(scaled_total * pow(2D, {_CHUNK}D * top_es))"
     state = ladder(
         ("sample_count = 0", lit(C.UNAVAILABLE)),
         ("sample_count < event_count", lit(C.DEGRADED)),
@@ -394,19 +418,21 @@ def paired_ratio(
     rows: DataFrame, module: str, name: str, numerator: str, denominator: str, *keys: str
 ) -> DataFrame:
     """Sum of numerators over sum of denominators for rows with 0 <= a <= b and b > 0."""
-    pairs = (
+    parts = (
         rows.filter(E.is_event(module, name))
         .selectExpr(
             *keys, f"{_number(lit(numerator))} AS a", f"{_number(lit(denominator))} AS b"
         )
         .filter("a >= 0 AND a <= b AND b > 0")
+        .withColumn("eb", F.expr(_chunk("b")))
+        .groupBy(*keys, "eb")
+        .agg(F.expr(f"sum({_scaled('a', 'eb')}) AS sa"), F.expr(f"sum({_scaled('b', 'eb')}) AS sb"), F.count("*").alias("n"))
     )
-    scales = pairs.groupBy(*keys).agg(F.max("b").alias("scale"))
-    return (
-        null_safe_join(pairs, scales, list(keys), "inner")
-        .groupBy(*keys)
-        .agg(F.expr("sum(a / scale) / sum(b / scale) AS ratio"), F.expr("count(*) AS pair_count"))
+    totals = parts.groupBy(*keys).agg(
+        F.sum("n").alias("pair_count"), F.max("eb").alias("top"), F.collect_list(F.struct("eb", "sa", "sb")).alias("cells")
     )
+    ratio = f"{_combined('cells', 'sa', 'x.eb - top')} / {_combined('cells', 'sb', 'x.eb - top')}"
+    return totals.selectExpr(*keys, f"{ratio} AS ratio", "pair_count")
 
 
 def window_event_counts(

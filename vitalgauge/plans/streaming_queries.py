@@ -13,11 +13,8 @@ from vitalgauge.plans.scan_queries import FAMILY_SQL
 from vitalgauge.plans.signal_queries import EPISODE_SQL, SLIDE_SQL, ticks
 from vitalgauge.session import ensure_checkpoint_dir
 from vitalgauge.streaming import jobs as J
-from vitalgauge.streaming.tables import EpochTable
 
 SLICES = 3
-# Longer than the data, so that the streamed windows can be compared with the batch result.
-KEEP_ALL = "31 days"
 
 
 def workspace(spark) -> str:
@@ -51,15 +48,13 @@ def sliced_events(spark, sf):
 )
 def _(spark, sf):
     folder = workspace(spark)
-    table = EpochTable(f"{folder}/counts", J.RELEASE_COUNTS)
+    log = J.release_count_log(f"{folder}/set")
 
     def launch(events):
-        rows = T.map_events(events)
-        return J.stream_release_counts(rows, table, f"{folder}/log", True, watermark=KEEP_ALL)
+        return J.stream_release_counts(T.map_events(events), log, f"{folder}/checkpoint", True, compact_every=2)
 
     in_slices(spark, sliced_events(spark, sf), "slice", folder, launch)
-    keys = ["app_id", "environment", "app_version", "family", "window_start_ms"]
-    return J.latest(table.read(spark), keys, "event_count")
+    return J.summed(log.read(spark, "counts"))
 
 
 @query(
@@ -70,15 +65,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = workspace(spark)
-    table = EpochTable(f"{folder}/alerts", J.ROLLING_ALERTS)
+    log = J.rolling_alert_log(f"{folder}/set")
 
     def launch(events):
-        rows = T.map_events(events)
-        return J.stream_rolling_alerts(rows, table, f"{folder}/log", True, watermark=KEEP_ALL)
+        return J.stream_rolling_alerts(T.map_events(events), log, f"{folder}/checkpoint", True, compact_every=2)
 
     in_slices(spark, sliced_events(spark, sf), "slice", folder, launch)
-    keys = ["app_id", "environment", "family", "window_start_ms"]
-    return J.latest(table.read(spark), keys, "incident_count")
+    return J.rolling_alerts(log.read(spark, "counts"))
 
 
 @query(
@@ -91,13 +84,13 @@ def _(spark, sf):
     source = ticks(spark, sf).selectExpr(
         "cast(rule_id AS bigint) AS rule_id", "evaluated_ms", "value", "sample_count", "state"
     )
-    table = EpochTable(f"{folder}/transitions", J.TRANSITIONS)
+    log = J.episode_log(f"{folder}/set")
 
     def launch(stream):
-        return J.stream_alert_episodes(stream, table, f"{folder}/log", True)
+        return J.stream_alert_episodes(stream, log, f"{folder}/checkpoint", True, compact_every=2)
 
     in_slices(spark, source, "evaluated_ms", folder, launch)
-    return table.read(spark).select("rule_id", "evaluated_ms", "transition")
+    return log.read(spark, "transitions").select("rule_id", "evaluated_ms", "transition")
 
 
 @query("stream_quota")
@@ -105,13 +98,13 @@ def _(spark, sf):
     """The same batches as ``admit_quota`` in three micro-batches; the test compares both."""
     folder = workspace(spark)
     source = quota_batches(spark, sf)
-    table = EpochTable(f"{folder}/admissions", J.ADMISSIONS)
+    log = J.quota_log(f"{folder}/set")
 
     def launch(stream):
-        return J.stream_quota(stream, quota_limits(source), table, f"{folder}/log", True)
+        return J.stream_quota(stream, quota_limits(source), log, f"{folder}/checkpoint", True, compact_every=2)
 
     in_slices(spark, source, "received_ms", folder, launch)
-    return table.read(spark).drop("epoch")
+    return log.read(spark, "admissions")
 
 
 def quota_batches(spark, sf):

@@ -16,6 +16,7 @@ One stream writes epochs; compaction may run beside it.
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 from collections.abc import Callable
@@ -28,6 +29,8 @@ from pyspark.sql.types import StructType
 from vitalgauge.sources.files import Files
 
 RETRIES = 20
+# Characters that Spark escapes in the names of partition folders (fixed values).
+ESCAPED = set('"#%\'*/:=?\\{[]^')
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,28 @@ class LostCommit(RuntimeError):
     """A commit that can't be made any more: other writers changed what it builds on."""
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, datetime.date):
+        return f"DATE'{value}'"
+    return f"'{value}'" if isinstance(value, str) and "'" not in value and "\\" not in value else repr(value)
+
+
+def _folder_of(pairs) -> str:
+    """The folder name that Spark gives a partition."""
+    parts = []
+    for key, value in pairs:
+        text = "__HIVE_DEFAULT_PARTITION__" if value is None or value == "" else str(value)
+        parts.append(f"{key}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED or ord(c) < 32 or ord(c) == 127 else c for c in text))
+    return "/".join(parts)
+
+
+def _same_counts(one: DataFrame, other: DataFrame, keys: list[str]) -> bool:
+    counts = [df.groupBy(*keys).agg(F.count("*").alias("n")) for df in (one, other)]
+    return counts[0].exceptAll(counts[1]).isEmpty() and counts[1].exceptAll(counts[0]).isEmpty()
+
+
 @dataclass(frozen=True)
 class CommitLog:
     path: str
@@ -102,9 +127,10 @@ class CommitLog:
 
     def publish(
         self, spark: SparkSession, adds: dict[str, str], drops: dict[str, tuple[str, ...]] | None = None,
-        epoch: int | None = None,
+        epoch: int | None = None, kept: dict[str, tuple[str, ...]] | None = None,
     ) -> Snapshot:
-        """Make staged folders visible and dropped ones invisible in one step."""
+        """Make staged folders visible and dropped ones invisible in one step; ``kept`` names parts of the dropped ones
+        that stay."""
         files = Files(spark, self.path)
         for _ in range(RETRIES):
             now = self.snapshot(spark)
@@ -118,22 +144,63 @@ class CommitLog:
                 live, gone = folders.get(name, ()), set((drops or {}).get(name, ()))
                 if not gone <= set(live):
                     raise LostCommit(f"{name} was rewritten meanwhile")
-                folders[name] = tuple(f for f in live if f not in gone) + ((adds[name],) if name in adds else ())
+                stays = tuple(f for f in live if f not in gone) + (kept or {}).get(name, ())
+                folders[name] = stays + ((adds[name],) if name in adds else ())
             after = Snapshot(now.version + 1, now.epoch if epoch is None else epoch, folders)
             scratch = f"{self.path}/scratch/{uuid.uuid4().hex}"
             if files.publish_text(self._manifest(after.version), scratch, after.text()):
                 return after
         raise LostCommit(f"no free version after {RETRIES} tries")
 
-    def append(self, spark: SparkSession, rows: dict[str, DataFrame], epoch: int | None = None) -> bool:
-        """Add rows to several tables in one commit; False if the epoch is in already."""
+    def append(
+        self, spark: SparkSession, rows: dict[str, DataFrame], epoch: int | None = None, replaced: tuple[str, ...] = ()
+    ) -> bool:
+        """Add rows to several tables in one commit; False if the epoch is in already. Tables in ``replaced`` then hold
+        the new rows only."""
         base = self.snapshot(spark)
         if epoch is not None and epoch <= base.epoch:
             return False
         adds = {name: self.stage(spark, name, df, base) for name, df in rows.items()}
-        self.publish(spark, adds, epoch=epoch)
+        self.publish(spark, adds, {name: base.folders.get(name, ()) for name in replaced}, epoch)
         return True
 
+    def rewrite_partitions(
+        self, spark: SparkSession, name: str, stale: str, change: Callable[[DataFrame], DataFrame]
+    ) -> int:
+        """Rewrite the partitions that hold a row for which ``stale`` (SQL) is true; gives how many there were.
+
+        The rows of these partitions are staged whole behind ``change``, which must keep their number and partitions;
+        counts are compared, then one commit swaps them. All other partitions keep their files.
+        """
+        base, files = self.snapshot(spark), Files(spark, self.path)
+        keys = list(self.tables[name].partitions)
+        rows = self.read(spark, name, base)
+        hit = rows.where(stale).select(*keys).distinct()
+        found = [tuple(r) for r in hit.collect()]  # as many as the table's partitions at most
+        if not found:
+            return 0
+        inside = " OR ".join("(" + " AND ".join(f"{k} <=> {_literal(v)}" for k, v in zip(keys, values)) + ")" for values in found)
+        part = rows.where(inside)
+        folder = self.stage(spark, name, change(part), base)
+        alone = Snapshot(base.version, base.epoch, {name: (folder,)})
+        if not _same_counts(part, self.read(spark, name, alone), keys):
+            raise ValueError(f"{name}: the rewritten partitions have other counts")
+        gone = {_folder_of(zip(keys, values)) for values in found}
+        live: list[str] = []
+        for entry in base.folders[name]:
+            for leaf in self._leaves(files, name, entry, len(keys)):
+                if leaf.split("/", 1)[1] not in gone:
+                    live.append(leaf)
+        self.publish(spark, {name: folder}, {name: base.folders[name]}, kept={name: tuple(live)})
+        return len(found)
+
+    def _leaves(self, files: Files, name: str, entry: str, depth: int) -> list[str]:
+        """Partition folders of an entry; an entry may be one itself."""
+        found = [entry]
+        while found and found[0].count("/") < depth:
+            found = [f"{f}/{child}" for f in found for child in files.names(f"{self.path}/data/{name}/{f}") if "=" in child]
+        return found
+
     def compact(
         self, spark: SparkSession, name: str, more_than: int = 1, rewrite: Callable[[DataFrame], DataFrame] | None = None
     ) -> bool:
@@ -164,7 +231,7 @@ class CommitLog:
             if version < kept[0]:
                 files.delete(self._manifest(version))
         for name in self.tables:
-            live = {folder for folders in named for folder in folders.get(name, ())}
+            live = {folder.split("/")[0] for folders in named for folder in folders.get(name, ())}
             for folder in files.names(f"{self.path}/data/{name}"):
                 if folder.startswith("commit=") and folder not in live and int(folder[7:27]) < kept[0]:
                     files.delete(f"{self.path}/data/{name}/{folder}")

@@ -1,7 +1,8 @@
 """The five streaming jobs. Each returns a started query; pass ``available_now`` to drain and stop.
 
-Event time is the occurrence. Watermarks only bound aggregation state: ingest keeps late rows,
-because lateness is a reported fact.
+Event time is the occurrence. No job drops late rows, because lateness is a reported fact: counts of micro-batches are
+added up over commits instead of waiting in state for a watermark. Every micro-batch is one commit of a log, so the cost of
+one doesn't depend on how many came before.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from vitalgauge.functions import events as E
 from vitalgauge.operators import admission as A
 from vitalgauge.operators.alerts import alert_transitions, rolling_incident_alert
 from vitalgauge.operators.ingest import admit_quota
-from vitalgauge.sources.commit_log import CommitLog, Table
+from vitalgauge.sources.commit_log import CommitLog, Snapshot, Table
 from vitalgauge.sources.files import Files
 from vitalgauge.sources.inbox import INBOX, with_partition_date
-from vitalgauge.streaming.tables import EpochTable
 
 def _start(df: DataFrame, each_batch, checkpoint: str, available_now: bool, mode: str = "append"):
     writer = (
@@ -122,36 +122,61 @@ def stream_ingest(
     return _start(batches, each_batch, checkpoint, available_now)
 
 
+def _counting(events: DataFrame, count, log: CommitLog, checkpoint: str, available_now: bool, compact_every: int):
+    """Each micro-batch commits its own counts; a group's count is the sum over commits.
+
+    Nothing waits for a watermark, so a row counts however late it comes, and no state grows. Compaction adds the counts of
+    a group up, which bounds folders and rows.
+    """
+
+    def each_batch(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        log.append(spark, {"counts": count(rows)}, epoch)
+        if (epoch + 1) % compact_every == 0:
+            log.compact(spark, "counts", rewrite=summed)
+            log.vacuum(spark, keep=compact_every)
+
+    return _start(events, each_batch, checkpoint, available_now)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Counts of all commits by group: the last column is the count."""
+    *keys, value = parts.columns
+    return parts.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
 RELEASE_COUNTS = (
     "app_id string, environment string, app_version string, family string,"
     " window_start_ms bigint, event_count bigint"
 )
 
 
+def release_count_log(folder: str) -> CommitLog:
+    return CommitLog(folder, {"counts": Table(RELEASE_COUNTS)})
+
+
 def stream_release_counts(
-    events: DataFrame,
-    table: EpochTable,
-    checkpoint: str,
-    available_now: bool = False,
-    width: str = "1 hour",
-    watermark: str = "1 day",
+    events: DataFrame, log: CommitLog, checkpoint: str, available_now: bool = False, width: str = "1 hour",
+    compact_every: int = 20,
 ) -> StreamingQuery:
-    """Tumbling counts by release and family; each micro-batch writes the updated windows."""
-    counts = (
-        events.filter(F.expr(E.BOUND))
-        .select(
-            "app_id", "environment", "app_version", F.expr(E.FAMILY).alias("family"),
-            F.timestamp_millis("occurrence_timestamp_ms").alias("event_time"),
-        )
-        .withWatermark("event_time", watermark)
-        .groupBy("app_id", "environment", "app_version", "family", F.window("event_time", width))
-        .agg(F.count("*").alias("event_count"))
-        .select(
-            "app_id", "environment", "app_version", "family",
-            F.unix_millis("window.start").alias("window_start_ms"), "event_count",
+    """Tumbling counts by release and family; read them with ``summed(log.read(spark, "counts"))``."""
+
+    def count(rows: DataFrame) -> DataFrame:
+        return (
+            rows.filter(F.expr(E.BOUND))
+            .select(
+                "app_id", "environment", "app_version", F.expr(E.FAMILY).alias("family"),
+                F.timestamp_millis("occurrence_timestamp_ms").alias("event_time"),
+            )
+            .groupBy("app_id", "environment", "app_version", "family", F.window("event_time", width))
+            .agg(F.count("*").alias("event_count"))
+            .select(
+                "app_id", "environment", "app_version", "family",
+                F.unix_millis("window.start").alias("window_start_ms"), "event_count",
+            )
         )
-    )
-    return _start(counts, table.write, checkpoint, available_now, mode="update")
+
+    return _counting(events, count, log, checkpoint, available_now, compact_every)
 
 
 ROLLING_ALERTS = (
@@ -160,25 +185,19 @@ ROLLING_ALERTS = (
 )
 
 
+def rolling_alert_log(folder: str) -> CommitLog:
+    return CommitLog(folder, {"counts": Table(ROLLING_ALERTS)})
+
+
 def stream_rolling_alerts(
-    events: DataFrame,
-    table: EpochTable,
-    checkpoint: str,
-    available_now: bool = False,
-    watermark: str = "1 day",
+    events: DataFrame, log: CommitLog, checkpoint: str, available_now: bool = False, compact_every: int = 20
 ) -> StreamingQuery:
-    """Sliding crash and ANR windows above the threshold, updated per micro-batch."""
-    timed = events.withColumn(
-        "event_time", F.timestamp_millis("occurrence_timestamp_ms")
-    ).withWatermark("event_time", watermark)
-    return _start(
-        rolling_incident_alert(timed), table.write, checkpoint, available_now, mode="update"
-    )
+    """Crash and ANR counts of sliding windows; ``rolling_alerts`` tells which are above a threshold."""
+    return _counting(events, rolling_incident_alert, log, checkpoint, available_now, compact_every)
 
 
-def latest(table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Current value of an update-mode table: the one of the newest micro-batch per key."""
-    return table.groupBy(*keys).agg(F.max_by(value, "epoch").alias(value))
+def rolling_alerts(counts: DataFrame, threshold: int = 0) -> DataFrame:
+    return summed(counts).filter(F.col("incident_count") > threshold)
 
 
 TRANSITIONS = (
@@ -187,54 +206,96 @@ TRANSITIONS = (
 )
 
 
+def episode_log(folder: str) -> CommitLog:
+    """Transitions, and the last one of each rule."""
+    return CommitLog(
+        folder, {"transitions": Table(TRANSITIONS), "last": Table("rule_id bigint, evaluated_ms bigint, transition string")}
+    )
+
+
 def stream_alert_episodes(
-    ticks: DataFrame, table: EpochTable, checkpoint: str, available_now: bool = False
+    ticks: DataFrame, log: CommitLog, checkpoint: str, available_now: bool = False, compact_every: int = 20
 ) -> StreamingQuery:
-    """Open and close episodes as evaluation ticks arrive, seeded with the stored open ones."""
-    names = [part.split()[0] for part in TRANSITIONS.split(", ")]
+    """Open and close episodes as evaluation ticks arrive.
+
+    A micro-batch reads and replaces the last transition of each rule (one row a rule); earlier transitions aren't read.
+    """
 
     def each_batch(rows: DataFrame, epoch: int) -> None:
-        stored = table.before(rows.sparkSession, epoch)
-        still_open = None
-        if stored is not None:
-            last = stored.groupBy("rule_id").agg(
-                F.max_by("transition", "evaluated_ms").alias("last")
-            )
-            still_open = last.filter("last = 'FIRING'")
-        table.write(alert_transitions(rows, still_open).select(*names), epoch)
+        spark = rows.sparkSession
+        last = log.read(spark, "last")
+        still_open = last.filter("transition = 'FIRING'").select("rule_id", F.col("transition").alias("last"))
+        found = alert_transitions(rows, still_open).select(*_names(TRANSITIONS))
+        newest = (
+            last.unionByName(found.select("rule_id", "evaluated_ms", "transition"))
+            .groupBy("rule_id")
+            .agg(F.max_by("transition", "evaluated_ms").alias("transition"), F.max("evaluated_ms").alias("evaluated_ms"))
+        )
+        log.append(spark, {"transitions": found, "last": newest}, epoch, replaced=("last",))
+        if (epoch + 1) % compact_every == 0:
+            log.compact(spark, "transitions")
+            log.vacuum(spark, keep=compact_every)
 
     return _start(ticks, each_batch, checkpoint, available_now)
 
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
 ADMISSIONS = (
     "key_id string, window_ms bigint, received_ms bigint, batch_id string, event_count bigint,"
     " admitted boolean, retry_after bigint"
 )
 
 
+def quota_log(folder: str) -> CommitLog:
+    """Admissions, and what each micro-batch used of a key's minute, by hour."""
+    return CommitLog(
+        folder,
+        {
+            "admissions": Table(ADMISSIONS),
+            "used": Table("key_id string, window_ms bigint, used_requests bigint, used_events bigint, hour bigint", ("hour",)),
+        },
+    )
+
+
+def _hours(rows: DataFrame, column: str) -> DataFrame:
+    return rows.withColumn("hour", F.expr(f"{column} div 3600000L"))
+
+
 def stream_quota(
-    batches: DataFrame,
-    limits: DataFrame,
-    table: EpochTable,
-    checkpoint: str,
-    available_now: bool = False,
+    batches: DataFrame, limits: DataFrame, log: CommitLog, checkpoint: str, available_now: bool = False,
+    compact_every: int = 20,
 ) -> StreamingQuery:
-    """Admit batches per key and minute; counters of earlier micro-batches carry over."""
+    """Admit batches per key and minute; counters of earlier micro-batches carry over.
+
+    A micro-batch reads the counters of the hours it touches, by partition; admissions aren't read again.
+    """
+
+    def add_up(used: DataFrame) -> DataFrame:
+        return used.groupBy("key_id", "window_ms", "hour").agg(
+            F.sum("used_requests").alias("used_requests"), F.sum("used_events").alias("used_events")
+        )
 
     def each_batch(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        stored = table.before(spark, epoch)
-        used = None
-        if stored is not None:
-            minutes = rows.selectExpr("received_ms - received_ms % 60000 AS window_ms")
-            bounds = minutes.agg(F.min("window_ms"), F.max("window_ms")).first()
-            # Only minutes the micro-batch touches can still be open.
-            recent = stored.filter(F.col("admitted")).filter(
-                F.col("window_ms").between(bounds[0] or 0, bounds[1] or 0)
-            )
-            used = recent.groupBy("key_id", "window_ms").agg(
-                F.count("*").alias("used_requests"), F.sum("event_count").alias("used_events")
-            )
-        table.write(admit_quota(rows, limits, used), epoch)
+        base = log.snapshot(spark)
+        if epoch <= base.epoch:
+            return
+        touched = [r[0] for r in _hours(rows, "received_ms").select("hour").distinct().collect()]
+        used = add_up(log.read(spark, "used", base).filter(F.col("hour").isin(touched))).drop("hour")
+        folder = log.stage(spark, "admissions", admit_quota(rows, limits, used), base)
+        # The fold ran once; its stored result gives the counters.
+        admitted = log.read(spark, "admissions", Snapshot(folders={"admissions": (folder,)})).filter("admitted")
+        spent = admitted.groupBy("key_id", "window_ms").agg(
+            F.count("*").alias("used_requests"), F.sum("event_count").alias("used_events")
+        )
+        counters = log.stage(spark, "used", _hours(spent, "window_ms"), base)
+        log.publish(spark, {"admissions": folder, "used": counters}, epoch=epoch)
+        if (epoch + 1) % compact_every == 0:
+            log.compact(spark, "admissions")
+            log.compact(spark, "used", rewrite=add_up)
+            log.vacuum(spark, keep=compact_every)
 
     return _start(batches, each_batch, checkpoint, available_now)
