@@ -35,10 +35,14 @@ def value_cells(
     ``weight`` names a column that says for how many rows a row stands.
     """
     stands_for = weight or "1L"
-    return df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+    wanted = {"_valued": f"{value} IS NOT NULL", **(counts or {})}
+    cells = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.expr(f"sum({stands_for}) AS _c"),
-        *[F.expr(f"sum(if({condition}, {stands_for}, 0L)) AS {name}") for name, condition in (counts or {}).items()],
+        *[F.expr(f"sum(if({condition}, {stands_for}, 0L)) AS {name}") for name, condition in wanted.items()],
     )
+    # True for every row. It names all columns, so none is pruned for one reader of the cells and kept for another: they
+    # then share one exchange, and the input is read once.
+    return cells.filter(" AND ".join(f"{c} >= 0" for c in ("_c", *wanted)))
 
 
 def percentile_aggregates(
@@ -69,7 +73,7 @@ def percentile_aggregates(
     groups = cells.groupBy(*keys).agg(
         *(totals or [F.count("*").alias("_cells")])
     )
-    binned = cells.filter("_v IS NOT NULL").select(*keys, "_v", "_c", F.expr(f"{_BIN} AS _bin"))
+    binned = cells.filter("_valued > 0").select(*keys, "_v", "_c", F.expr(f"{_BIN} AS _bin"))
     # One row a bin from here to the rank lookup.
     group = Window.partitionBy(*keys)
     bins = (
