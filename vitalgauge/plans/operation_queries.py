@@ -11,7 +11,7 @@ from vitalgauge.operators import retention as RT
 from vitalgauge.operators import symbols as SY
 from vitalgauge.plans import telemetry as T
 from vitalgauge.plans.ingest_queries import _columns
-from vitalgauge.plans.performance_queries import FIELDS_CTE, observed_sql, rounded
+from vitalgauge.plans.performance_queries import FIELDS_CTE, UNSENT, observed_sql, rounded
 from vitalgauge.plans.registry import query
 from vitalgauge.plans.scan_queries import JOBS_SQL, symbol_jobs, window
 from vitalgauge.plans.signal_queries import SPAN_CTE, span_events
@@ -399,12 +399,27 @@ RESOURCE_SQL = (
 )
 
 
+LOG_ATTRIBUTES = ", ".join(
+    f"coalesce(try_element_at(r.attributes, 'apm.{key}'), '-')"
+    for key in (
+        "event_id", "module", "name", "kind", "priority", "thread.name", "protocol", "schema_version",
+        "release_identity_quality", "installation_identity_quality", "scene", "installation.hmac",
+        "installation.hmac_key_version", "incident.fingerprint",
+    )
+)
+
+
 @query(
     "otlp_logs",
     T.duck_cte() + f", r AS (SELECT {RESOURCE_SQL}, id, CASE WHEN release_identity_quality ="
     " 'OCCURRENCE_BOUND' THEN app_build ELSE '' END AS build, process_name, event_id, CASE severity"
     " WHEN 'INFO' THEN 9 WHEN 'ERROR' THEN 17 ELSE 21 END AS num, occurrence_timestamp_ms AS ts,"
-    " received_ms, scene, installation_hmac, incident_fingerprint FROM t) SELECT export_batch,"
+    " received_ms, scene, installation_hmac, incident_fingerprint, module || '.' || name AS body, concat_ws('|', severity,"
+    " event_id, module, name, kind, priority, thread_name, protocol, schema_version, release_identity_quality,"
+    " installation_identity_quality, coalesce(scene, '-'), coalesce(installation_hmac, '-'),"
+    " coalesce(installation_hmac_key_version, '-'), coalesce(incident_fingerprint, '-')) AS attribute_text FROM t) SELECT"
+    " export_batch, string_agg(body, ',' ORDER BY id) AS bodies, string_agg(attribute_text, ',' ORDER BY id) AS"
+    " attribute_texts,"
     " tenant_id, app_id, environment, service_version, sdk_version, build, process_name,"
     " string_agg(event_id, ',' ORDER BY id) AS event_ids, cast(sum(num) AS bigint) AS"
     " severity_sum, cast(max(ts) * 1000000 AS bigint) AS last_nano, cast(sum(10 + (scene IS NOT"
@@ -415,6 +430,8 @@ def _(spark, sf):
     return X.otlp_logs(T.inbox(spark, sf)).selectExpr(
         "export_batch", "tenant_id", "app_id", "environment", "service_version", "sdk_version",
         "build", "process_name", "array_join(event_ids, ',') AS event_ids",
+        "array_join(transform(records, r -> r.body), ',') AS bodies",
+        f"array_join(transform(records, r -> concat_ws('|', r.severity_text, {LOG_ATTRIBUTES})), ',') AS attribute_texts",
         "cast(aggregate(records, 0, (a, r) -> a + r.severity_number) AS bigint) AS severity_sum",
         "array_max(transform(records, r -> r.time_unix_nano)) AS last_nano",
         "cast(aggregate(records, 0, (a, r) -> a + size(map_filter(r.attributes, (k, v) -> NOT"
@@ -423,7 +440,7 @@ def _(spark, sf):
 
 
 OBSERVED_CTE = T.duck_cte(*T.FIELD_TEXT) + (
-    f", o AS ({observed_sql('TRUE', RESOURCE_SQL + ', occurrence_timestamp_ms AS ts')})"
+    f", {UNSENT}, o AS ({observed_sql('TRUE', RESOURCE_SQL + ', occurrence_timestamp_ms AS ts')})"
 )
 
 
@@ -473,7 +490,7 @@ def _(spark, sf):
 
 @query(
     "isolate_bad_rows",
-    T.duck_cte(*T.FIELD_TEXT) + f", o AS ({observed_sql('TRUE')}), v AS (SELECT DISTINCT id FROM o"
+    T.duck_cte(*T.FIELD_TEXT) + f", {UNSENT}, o AS ({observed_sql('TRUE')}), v AS (SELECT DISTINCT id FROM o"
     " WHERE value IS NOT NULL) SELECT id, CASE WHEN k % 50 = 0 THEN 'failed' ELSE 'pending' END AS"
     " logs, CASE WHEN id IN (SELECT id FROM v) THEN 'pending' ELSE 'not_applicable' END AS metrics,"
     " 'not_applicable' AS traces FROM t",
