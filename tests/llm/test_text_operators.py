@@ -118,6 +118,29 @@ def test_back_pointers_and_search_give_the_same_ids_scores_and_gaps():
         assert (tuple(np.frombuffer(ids, "<i4")), score, gap) == (first[1], first[0], first[0] - other[0])
 
 
+def test_short_words_come_from_the_backward_search_with_both_segmentations(monkeypatch):
+    vocabulary = pieces.Pieces.load(pieces.default_model())
+    draw = random.Random(8)
+    for chars in ("aabetion=_", "the an.ingeré\n日" + pieces.OWN_MARK, "aa", "日本é😀x"):
+        units = sorted({"▁" * draw.randint(0, 2) + "".join(draw.choice(chars) for _ in range(draw.randint(1, 40))) for _ in range(150)})
+        found = pieces.TwoBest(vocabulary, units)
+        ids = [found.ids(0), found.ids(1)]
+        for k, unit in enumerate(units):
+            got = [(found.totals[r, k], tuple(np.frombuffer(ids[r][k], "<i4"))) for r in (0, 1) if found.paths[r, k] >= 0]
+            assert tuple(got) == vocabulary.n_best(unit, 2)
+    searched = []
+
+    class Watched(pieces.TwoBest):
+        def _backward(self, n):
+            searched.append(n)
+            return super()._backward(n)
+
+    monkeypatch.setattr(pieces, "TwoBest", Watched)
+    encoder = pieces.Encoder(vocabulary, 2)
+    assert encoder.decode(encoder.encode("plain words, and 日本é😀")[0]) == "plain words, and 日本é😀"
+    assert searched == [4]
+
+
 def test_encoding_of_odd_tables(odd_documents, no_documents):
     rows = pieces.digest(odd_documents).collect()
     assert len(rows) == 9 and all(r.restored for r in rows)

@@ -3,8 +3,8 @@
 Spaces become the mark U+2581, with one before the text. The lattice of a text holds every vocabulary piece at every
 place where it matches; a character that no piece has is spelled in byte pieces. The forward pass gives the best score
 up to each place; going backward from the end, these scores are the exact rest cost, so A* yields the segmentations in
-order of score and expands nothing in vain; equal totals go depth first. Of the common short words ids, score and gap
-are read off the back-pointers of the forward pass, which break ties alike. Byte-pair vocabularies rank their pieces instead of weighing them; a
+order of score and expands nothing in vain; equal totals go depth first. New words of up to LONGEST_CACHED characters
+take the steps of both passes together, as rows of arrays; longer ones go one by one. Byte-pair vocabularies rank their pieces instead of weighing them; a
 piece then scores -log(rank + 2) (Zipf's law). Scores are whole numbers (micro-nats), so sums are exact.
 
 No piece spans a place between two characters that stand side by side in no piece, so the lattice falls apart
@@ -110,67 +110,47 @@ class Pieces:
         return tables
 
     def solve(self, units: list[str]) -> dict[str, tuple[bytes, int, int]]:
-        """Best ids, score and distance to the runner-up of many units at once; Viterbi goes through units of one
-        length together. Units with characters that need bytes, and long ones, are cut into segments and searched
-        one by one. Both ways give the same: of equal scores the longer last piece wins."""
+        """Best ids, score and distance to the runner-up of many units at once, from the two best paths that A* finds.
+        Long units are cut into segments and searched one by one; both ways give the same: of equal scores the longer
+        last piece wins."""
         done: dict[str, tuple[bytes, int, int]] = {}
-        sized: dict[int, list[str]] = {}
+        short = [unit for unit in units if len(unit) <= LONGEST_CACHED]
+        if short:
+            found = TwoBest(self, short)
+            gaps = np.where(found.paths[1] < 0, NO_GAP, found.totals[0] - found.totals[1]).tolist()
+            done = dict(zip(short, zip(found.ids(0), found.totals[0].tolist(), gaps, strict=True), strict=True))
         for unit in units:
-            sized.setdefault(len(unit), []).append(unit)
-        for size, same in sized.items():
-            alone = same if size > LONGEST_CACHED else self._solve_same(same, size, done)
-            for unit in alone:
+            if len(unit) > LONGEST_CACHED:
                 best = self.unit_best(unit, 2)
                 gap = best[0][0] - best[1][0] if len(best) > 1 else NO_GAP
                 done[unit] = (np.array(best[0][1], np.int32).tobytes(), best[0][0], gap)
         return done
 
-    def _solve_same(self, units: list[str], size: int, done: dict[str, tuple[bytes, int, int]]) -> list[str]:
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
-        n = len(units)
-        best = np.full((size + 1, n), -NO_GAP)
-        second, came = np.full((size + 1, n), -NO_GAP), np.zeros((size + 1, n), np.int32)
-        step = np.full((size + 1, n), -1, np.int32)
-        best[0] = 0
-        spelled = np.zeros(n, bool)
-        for i in range(size):
-            rows, hashes = np.arange(n), np.zeros(n, np.uint64)
-            for k, (heads, ids, scores) in enumerate(self.by_length[: size - i]):
-                hashes = _rolled(hashes, points[rows, i + k])
-                at = np.searchsorted(heads, hashes)
-                at[at == len(heads)] = 0
-                known = heads[at] == hashes
-                if k == 0:
-                    spelled |= ~known | (ids[at] < 0)
-                rows, hashes, at = rows[known], hashes[known], at[known]
-                if not len(rows):
-                    break
-                whole = ids[at] >= 0
-                r, a, j = rows[whole], at[whole], i + k + 1
-                score = best[i, r] + scores[a]
-                before = best[j, r]
-                better = score > before
-                second[j, r] = np.where(better, before, np.maximum(second[j, r], score))
-                win = r[better]
-                best[j, win], came[j, win], step[j, win] = score[better], i, ids[a[better]]
-        # backward along the best path; the runner-up leaves it at the place where that costs least
-        place, gap = np.full(n, size), np.full(n, NO_GAP)
-        back, every = [], np.arange(n)
-        while place.any():
-            open_ = place > 0
-            back.append(np.where(open_, step[place, every], -1))
-            loss = np.where(open_ & (second[place, every] > -NO_GAP // 2), best[place, every] - second[place, every], NO_GAP)
-            gap = np.minimum(gap, loss)
-            place = np.where(open_, came[place, every], 0)
-        path = np.stack(back[::-1], 1).astype("<i4")
-        scores, starts = best[size].tolist(), (path < 0).sum(1).tolist()
-        raw, width, gaps, alone = path.tobytes(), 4 * path.shape[1], gap.tolist(), []
-        for k, unit in enumerate(units):
-            if spelled[k]:
-                alone.append(unit)
-            else:
-                done[unit] = (raw[k * width + 4 * starts[k] : (k + 1) * width], scores[k], gaps[k])
-        return alone
+    def lattice(self, points: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, id, score) of the edges of many units: ``points`` are their characters one after the other,
+        ``left`` says how many of its unit follow from each on. Byte-spelled characters have the id -2 - character."""
+        edges = []
+        at, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        for k, (heads, ids, scores) in enumerate(self.by_length):
+            inside = left[at] > k
+            at, hashes = at[inside], hashes[inside]
+            hashes = _rolled(hashes, points[at + k])
+            row = np.searchsorted(heads, hashes)
+            row[row == len(heads)] = 0
+            known = heads[row] == hashes
+            whole = known & (ids[row] >= 0)
+            if k == 0:
+                # no piece has this character alone
+                bare = at[~whole]
+                chars, which = np.unique(points[bare], return_inverse=True)
+                costs = np.array([self.byte_score * len(self.spelled(chr(c))) for c in chars.tolist()], np.int64)
+                edges.append((bare, np.ones(len(bare), np.int64), -2 - points[bare].astype(np.int64), costs[which]))
+            row_whole = row[whole]
+            edges.append((at[whole], np.full(len(row_whole), k + 1), ids[row_whole].astype(np.int64), scores[row_whole]))
+            at, hashes = at[known], hashes[known]
+            if not len(at):
+                break
+        return tuple(np.concatenate(column) for column in zip(*edges, strict=True))
 
     def spelled(self, char: str) -> list[int]:
         """Byte pieces of a character."""
@@ -253,6 +233,123 @@ class Pieces:
         return combined([self.segment_best(s, n) for s in self.segments(unit)], n)
 
 
+class TwoBest:
+    """The two best segmentations of each of many units: one forward Viterbi pass and one backward A* for each unit, all
+    units taking their steps together.
+
+    ``totals`` and ``paths`` have a row for the best and one for the runner-up; a path below 0 says there is none. Order
+    and ties are those of ``Pieces.n_best``.
+    """
+
+    def __init__(self, pieces: Pieces, units: list[str]) -> None:
+        self.pieces = pieces
+        sizes = np.array([len(u) for u in units])
+        # a unit's places are its characters and its end
+        self.base = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.end = self.base + sizes
+        points = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.append(points, np.uint32(0))
+        left = np.repeat(self.end, sizes + 1) - np.arange(len(points))
+        inner = np.flatnonzero(left)
+        start, length, ids, scores = pieces.lattice(points[inner], left[inner])
+        start = inner[start]
+        self.best = self._forward(start, length, scores, np.repeat(self.base, sizes + 1))
+        # edges by the place where they end, the longest first
+        order = np.argsort((start + length) * 256 - length)
+        self.start, self.ids_of, self.scores = start[order], ids[order], scores[order]
+        self.first = np.searchsorted((start + length)[order], np.arange(len(points) + 1))
+        self.totals, self.paths = self._backward(len(units))
+
+    @staticmethod
+    def _forward(start: np.ndarray, length: np.ndarray, scores: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Viterbi: the best score up to each place."""
+        best = np.full(len(base), -NO_GAP)
+        best[np.unique(base)] = 0
+        offset = (start - base[start]).astype(np.uint16)
+        order = np.argsort(offset, kind="stable")
+        bounds = np.searchsorted(offset[order], np.arange(int(offset.max()) + 2))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            edges = order[a:b]  # of one length from one place of a unit there is one edge at most: all ends differ
+            ends = start[edges] + length[edges]
+            best[ends] = np.maximum(best[ends], best[start[edges]] + scores[edges])
+        return best
+
+    def _backward(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A* from the ends: of each unit the waiting state of the largest total goes on; as many are kept as can still
+        be among the two best. A state is (total, place, score from there to the end, path)."""
+        totals, paths, found = np.full((2, n), -NO_GAP), np.full((2, n), -1), np.zeros(n, np.int64)
+        self.edge, self.parent, made = [], [], 0
+        active = np.flatnonzero(self.end > self.base)
+        empty = np.flatnonzero(self.end == self.base)
+        totals[0, empty], paths[0, empty] = 0, 0
+        none = np.full(len(active), -1)
+        top = (self.best[self.end[active]], self.end[active], np.zeros(len(active), np.int64), none)
+        other = (np.full(len(active), -NO_GAP), none, none, none)
+        while len(active):
+            at_start = top[1] == self.base[active]
+            if at_start.any():
+                units = active[at_start]
+                totals[found[units], units], paths[found[units], units] = top[2][at_start], top[3][at_start]
+                found[units] += 1
+                top = tuple(np.where(at_start, o, t) for o, t in zip(other, top, strict=True))
+                other = (np.where(at_start, -NO_GAP, other[0]), *other[1:])
+                go = (found[active] < 2) & (top[0] > -NO_GAP)
+                active, top, other = active[go], tuple(c[go] for c in top), tuple(c[go] for c in other)
+                if not len(active):
+                    break
+                if (top[1] == self.base[active]).any():
+                    continue
+            _, place, gone, path = top
+            first = self.first[place]
+            count = self.first[place + 1] - first
+            begin = np.cumsum(count) - count
+            edges = np.repeat(first - begin, count) + np.arange(int(count.sum()))
+            value = self.best[self.start[edges]] + self.scores[edges] + np.repeat(gone, count)
+            children = []
+            for _ in range(2):
+                most = np.maximum.reduceat(value, begin)
+                hits = np.flatnonzero(value == np.repeat(most, count))
+                at = hits[np.searchsorted(hits, begin)]  # the longest edge of equal ones
+                edge = edges[at]
+                children.append((most, self.start[edge], gone + self.scores[edge], np.arange(made, made + len(edge))))
+                self.edge.append(edge)
+                self.parent.append(path)
+                made += len(edge)
+                value[at] = -NO_GAP
+            one, two = children
+            # of equal totals the state nearest to the beginning, then the older one
+            kept_first = (other[0] > one[0]) | ((other[0] == one[0]) & (other[1] <= one[1]))
+            kept_second = (other[0] > two[0]) | ((other[0] == two[0]) & (other[1] <= two[1]))
+            top = tuple(np.where(kept_first, o, a) for o, a in zip(other, one, strict=True))
+            other = tuple(
+                np.where(kept_first, a, np.where(kept_second, o, b)) for o, a, b in zip(other, one, two, strict=True)
+            )
+            other = (np.where(found[active] > 0, -NO_GAP, other[0]), *other[1:])
+        self.edge = np.concatenate(self.edge) if self.edge else np.empty(0, np.int64)
+        self.parent = np.concatenate(self.parent) if self.parent else np.empty(0, np.int64)
+        return totals, paths
+
+    def ids(self, rank: int) -> list[bytes]:
+        """Each unit's ids on its path of this rank (0 or 1), as little-endian 32-bit integers."""
+        at = np.where(self.end > self.base, self.paths[rank], -1)
+        columns = []
+        while (on := at >= 0).any():
+            columns.append(np.where(on, self.ids_of[self.edge[at]], -1))
+            at = np.where(on, self.parent[at], -1)
+        if not columns:
+            return [b""] * len(at)
+        path = np.stack(columns, 1)
+        raw, width = path.astype("<i4").tobytes(), 4 * path.shape[1]
+        ends = (4 * (path != -1).sum(1)).tolist()
+        out = [raw[k * width : k * width + end] for k, end in enumerate(ends)]
+        for k in np.flatnonzero((path < -1).any(1)).tolist():
+            flat: list[int] = []
+            for i in path[k].tolist():
+                flat += [i] if i >= 0 else [] if i == -1 else self.pieces.spelled(chr(-2 - i))
+            out[k] = np.array(flat, "<i4").tobytes()
+        return out
+
+
 def combined(parts: Sequence[Sequence[Segmentation]], n: int) -> list[Segmentation]:
     """The n best of a sequence of independent parts: only the n-1 parts with the nearest runners-up can vary."""
     near = heapq.nsmallest(n - 1, ((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1))
@@ -272,7 +369,6 @@ class Encoder:
     def __init__(self, pieces: Pieces, n_best: int = 2) -> None:
         self.pieces, self.n = pieces, max(1, n_best)
         self.known: dict[str, tuple[bytes, int, int]] = {}
-        self.gaps: dict[str, int] = {}
 
     def units_of(self, text: str) -> list[str]:
         """Words with the mark before them; the text falls apart between them."""
@@ -312,14 +408,8 @@ class Encoder:
         least = min(gaps, default=NO_GAP)
         if least == NO_GAP:
             return ids, score, None
-        # the whole text's runner-up deviates in the one unit that loses least by it: A* over that unit's lattice
-        unit = units[gaps.index(least)]
-        if unit not in self.gaps:
-            if len(self.gaps) >= CACHED:
-                self.gaps.clear()
-            first, other = self.pieces.unit_best(unit, 2)
-            self.gaps[unit] = first[0] - other[0]
-        return ids, score, score - self.gaps[unit]
+        # the whole text's runner-up deviates in the one unit that loses least by it
+        return ids, score, score - least
 
     def encode(self, text: str) -> tuple[np.ndarray, int, int | None]:
         return next(self.encode_all([text]))
