@@ -60,6 +60,51 @@ def test_classes_equal_all_pairs(spark, spec):
     assert got == want
 
 
+def test_sets_that_share_a_passage_only_stand_in_no_list(spark, monkeypatch):
+    """Long texts, each with a passage of the one before: too few of their prefix shingles are met again."""
+    held = {}
+
+    def watched(df, label, save=near_join.saved):
+        out = save(df, label)
+        held.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(near_join, "saved", watched)
+    spec = JoinSpec(3, 90)
+    texts = [[f"d{k}w{i}" for i in range(600)] for k in range(30)]
+    for k in range(1, 30):
+        texts[k][100:130] = texts[k - 1][300:330]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = near_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), spec=spec).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k in range(30)}
+    assert held["near-lists"] == 0
+
+
+def test_long_sets_near_the_bound_equal_all_pairs(spark):
+    draw = random.Random(21)
+    rows = []
+    for spec in (JoinSpec(3, 90), JoinSpec(5, 80)):
+        rows.clear()
+        for base in range(4):
+            text = [f"b{base}w{draw.randrange(5000)}" for _ in range(draw.choice((150, 400, 700)))]
+            for _ in range(12):
+                # each changed word changes about ``width`` shingles; the counts lie about the bound
+                copy = list(text)
+                share = draw.uniform(0.1, 0.9) * (100 - spec.percent) / (100 + spec.percent) / spec.width
+                for at in draw.sample(range(len(copy)), round(share * len(copy))):
+                    copy[at] = f"x{draw.randrange(10**9)}"
+                cut = draw.randint(0, len(copy) // 100)
+                rows.append((len(rows), " ".join(copy[cut:])))
+        sets, tops = brute(rows, spec)
+        smallest = {}
+        for (doc_id, _), top in zip(rows, tops, strict=True):
+            smallest[top] = min(doc_id, smallest.get(top, doc_id))
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.classes(table, spec=spec).collect()}
+        assert got == {d: (len(own), smallest[top]) for (d, _), own, top in zip(rows, sets, tops, strict=True)}
+        assert 4 < len(set(tops)) < len(rows)
+
+
 def test_bitmaps_keep_every_link():
     draw = random.Random(1)
     spec, kept = JoinSpec(1, 80), 0

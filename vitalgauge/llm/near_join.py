@@ -6,14 +6,16 @@ documents link when intersection >= ``percent`` / 100 of union; a class is whate
 
 1. Documents with equal sets make one node, whatever their number.
 2. Shingles are ordered: the common ones (found by counting over all documents, with a bound on the error that lossy
-   counting guarantees) come last, by frequency; the rest by hash. Two linked sets share at least three shingles
-   (fewer if they must share fewer in all) in the first size - ceil(percent * size) + 3 of that order: their prefixes.
-   A set with fewer prefix shingles that any other set of fitting size may share drops out.
-3. Nodes with identical prefix and size make a group; groups, not nodes, stand in the inverted lists.
+   counting guarantees) come last, by frequency; the rest by hash. Two linked sets share at least k shingles in the
+   first size - ceil(percent * size) + k of that order: their prefixes. k is a 32nd of what they must share, at least
+   three (fewer if they must share fewer in all).
+3. Nodes with identical prefix and size make a group; groups, not nodes, stand in the inverted lists. A group with fewer
+   than k prefix shingles that any other set of fitting size may share drops out; the others stand in all but their
+   k - 3 longest lists, in which linked ones still meet three times.
 4. Star rounds: in each inverted list and size band one node is verified against those that aren't connected with it
    yet and share enough lists with it. That is linear in the list, and a family of near copies falls into one class
    without its pairs.
-5. All group pairs that share enough prefix shingles, fit in size and position, and lie in different classes are
+5. All group pairs that share enough lists, fit in size and position, and lie in different classes are
    expanded to members and verified. Only pairs already known to be in one class are left out, so no class is missed.
 
 Verification: a set's parity bitmap has about as many bits as the set has shingles, each bit telling whether an odd
@@ -36,10 +38,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import named, saved, slices
+from vitalgauge.llm import common as shared_folder
+from vitalgauge.llm.common import arrow_rows, named, slices
 
-CACHED_WORDS = 200_000
-PREFIX_SHARED = 3  # shingles that the prefixes of two linked sets share, if the sets are that large
+CACHED_WORDS = 100_000
+BATCH_ROWS = 1000  # texts or sets that pass to Python at a time
+LISTS_SHARED = 3  # inverted lists that two linked sets share, if the sets are that large
+SHARED_PART = 32  # the prefixes share one in so many of the shingles that linked sets must share
 FILTER_BITS = 24
 COMMON_BITS = 22  # shingles with over 1 / 2**(COMMON_BITS + 1) of all occurrences are common: that bounds their number
 COUNT_AT_ONCE = 1 << 21
@@ -56,8 +61,9 @@ class JoinSpec:
         return -(-self.percent * size // 100)
 
     def common(self, size: int) -> int:
-        """How many of them must lie in both prefixes."""
-        return min(PREFIX_SHARED, self.least(size))
+        """How many of them must lie in both prefixes. From one size to the next it grows no more than ``least``; so a
+        set shares its own number also with a smaller one."""
+        return min(max(LISTS_SHARED, self.least(size) // SHARED_PART), self.least(size))
 
     def prefix(self, size: int) -> int:
         return size - self.least(size) + self.common(size)
@@ -77,6 +83,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    with arrow_rows(df.sparkSession, BATCH_ROWS):
+        return shared_folder.saved(df, label)
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text."""
     words = text.encode("utf-8", "replace").lower().split()
@@ -160,11 +171,12 @@ def _rows(ids: pd.Series, keys: pd.Series, signatures: list[bytes], sizes: list[
 
 def _counts(held: list[np.ndarray]) -> pd.DataFrame:
     together = np.concatenate(held)
+    held.clear()
     together.sort()
     starts = np.flatnonzero(np.concatenate([[True], together[1:] != together[:-1]]))
     counts = np.diff(np.append(starts, len(together)))
     kept = counts >= max(2, len(together) >> (COMMON_BITS + 1))
-    hashes, n = together[starts][kept].view(np.int64), counts[kept]
+    hashes, n = together[starts[kept]].view(np.int64), counts[kept]
     every = np.zeros(len(n) + 1, np.int64)
     every[-1] = len(together)
     blank = pd.array([None] * len(every), "Int64")
@@ -367,7 +379,7 @@ def _star(listed: DataFrame, state: DataFrame, spec: JoinSpec, shift: float, dra
         .where("class <> head_class")
         .groupBy(F.col("node").alias("b"), "head_class")
         .agg(F.count("*").alias("lists"), F.min("size").alias("size"), F.collect_set("a").alias("heads"))
-        .where(F.col("lists") >= _needed(spec, F.col("size")))
+        .where(F.col("lists") >= _lists_shared(spec, F.col("size")))
         .select(F.explode("heads").alias("a"), "b")
     )
 
@@ -379,7 +391,44 @@ def _least(spec: JoinSpec, size: Column) -> Column:
 
 def _needed(spec: JoinSpec, size: Column) -> Column:
     """How many of them lie in both prefixes."""
-    return F.least(F.lit(PREFIX_SHARED), _least(spec, size))
+    return F.least(F.greatest(F.lit(LISTS_SHARED), F.floor(_least(spec, size) / SHARED_PART)), _least(spec, size))
+
+
+def _lists_shared(spec: JoinSpec, size: Column) -> Column:
+    """How many inverted lists it is on with any that it links with."""
+    return F.least(F.lit(LISTS_SHARED), _least(spec, size))
+
+
+def _inverted(groups: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The inverted lists (family, size, free, shingle, place) of groups (family, size, members, prefix).
+
+    Prefix shingles of one group alone are in no set that may link: ``free`` is what can be shared at most. Linked sets
+    share at least ``_needed`` of the other ones, so a group with fewer drops out, and of those in order of holders
+    all but the last ``_needed`` - LISTS_SHARED are enough to meet on LISTS_SHARED lists: the long lists stay out.
+    """
+    entries = groups.select("family", "size", "members", F.posexplode("prefix").alias("place", "shingle"))
+    # lists of one node, and of two that can't fit, make no pair
+    several = (
+        entries.groupBy("shingle")
+        .agg(F.sum("members").alias("holders"), F.min("size").alias("small"), F.max("size").alias("large"))
+        .where((F.col("holders") > 2) | ((F.col("holders") == 2) & (100 * F.col("small") >= spec.percent * F.col("large"))))
+        .select("shingle", "holders")
+    )
+    size, needed = F.col("size"), _needed(spec, F.col("size"))
+    return (
+        entries.drop("members")
+        .join(several, "shingle")
+        .groupBy("family", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "place"))).alias("met"))
+        .where(F.size("met") >= needed)
+        .select(
+            "family",
+            "size",
+            (_least(spec, size) - needed + F.size("met")).alias("free"),
+            F.explode(F.slice("met", F.lit(1), (F.size("met") - needed + _lists_shared(spec, size)).cast("int"))).alias("entry"),
+        )
+        .select("family", "size", "free", "entry.shingle", "entry.place")
+    )
 
 
 def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -404,7 +453,7 @@ def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
         )
         .groupBy("fx", "cx", "fy", "cy")
         .agg(F.count("*").alias("lists"), F.min("small").alias("small"))
-        .where(F.col("lists") >= _needed(spec, F.col("small")))
+        .where(F.col("lists") >= _lists_shared(spec, F.col("small")))
     )
     one = state.select(F.col("family").alias("fx"), F.col("class").alias("cx"), F.col("node").alias("a"))
     other = state.select(F.col("family").alias("fy"), F.col("class").alias("cy"), F.col("node").alias("b"))
@@ -440,27 +489,10 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
     groups = prefixes.groupBy("family", "size").agg(
         F.min("node").alias("lead"), F.count("*").alias("members"), F.any_value("prefix").alias("prefix")
     )
-    inverted = groups.select("family", "size", "members", F.posexplode("prefix").alias("place", "shingle"))
-    # lists of one node, and of two that can't fit, make no pair
-    several = (
-        inverted.groupBy("shingle")
-        .agg(F.sum("members").alias("holders"), F.min("size").alias("small"), F.max("size").alias("large"))
-        .where((F.col("holders") > 2) | ((F.col("holders") == 2) & (100 * F.col("small") >= spec.percent * F.col("large"))))
-        .select("shingle")
-    )
-    listed = saved(inverted.join(several, "shingle").select("shingle", "place", "family", "size"), "near-listed")
-    # shingles of a prefix that are on no list are in no set that may link: ``free`` is what can be shared at most
-    met = saved(
-        listed.groupBy("family", "size")
-        .count()
-        .where(F.col("count") >= _needed(spec, F.col("size")))
-        .select("family", (_least(spec, F.col("size")) - _needed(spec, F.col("size")) + F.col("count")).alias("free")),
-        "near-met",
-    )
-    listed = saved(listed.join(met, "family"), "near-lists")
+    listed = saved(_inverted(groups, spec), "near-lists")
     state = saved(
         prefixes.join(groups.select("family", "size", "lead"), ["family", "size"])
-        .join(met, "family", "left_semi")
+        .join(listed.select("family").distinct(), "family", "left_semi")
         .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class"), "bits"),
         "near-state",
     )
