@@ -105,6 +105,54 @@ def test_long_sets_near_the_bound_equal_all_pairs(spark):
         assert 4 < len(set(tops)) < len(rows)
 
 
+def rows_of_joins(df):
+    """Rows that the largest join makes when ``df`` runs."""
+    df.collect()
+    found, left = [0], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif "QueryStageExec" in node.getClass().getSimpleName():
+            left.append(node.plan())
+        elif "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        left += [children.apply(k) for k in range(children.length())]
+    return max(found)
+
+
+def test_many_copies_just_under_the_bound_make_few_rows(spark, monkeypatch):
+    """A text, copied with so many changes that few copies link: nearly all pairs meet on long lists."""
+    length, edits = 300, 6
+    draw = random.Random(length)
+    spec, copies = JoinSpec(3, 90), 150
+    words = [f"w{k}" for k in range(length)]
+    rows = []
+    for k in range(copies):
+        copy = list(words)
+        for at in draw.sample(range(length), edits):
+            copy[at] = f"x{draw.randrange(10**9)}"
+        rows.append((k, " ".join(copy)))
+    made, rest = [], near_join._rest
+
+    def watched(*given):
+        out = rest(*given)
+        made.append(rows_of_joins(out))
+        return out
+
+    monkeypatch.setattr(near_join, "_rest", watched)
+    sets, tops = brute(rows, spec)
+    smallest = {}
+    for (doc_id, _), top in zip(rows, tops, strict=True):
+        smallest[top] = min(doc_id, smallest.get(top, doc_id))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.classes(table, spec=spec).collect()}
+    assert got == {d: (len(own), smallest[top]) for (d, _), own, top in zip(rows, sets, tops, strict=True)}
+    assert len(set(tops)) > copies / 2
+    assert made[0] < 10 * copies
+
+
 def test_bitmaps_keep_every_link():
     draw = random.Random(1)
     spec, kept = JoinSpec(1, 80), 0

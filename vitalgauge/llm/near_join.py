@@ -15,13 +15,15 @@ documents link when intersection >= ``percent`` / 100 of union; a class is whate
 4. Star rounds: in each inverted list and size band one node is verified against those that aren't connected with it
    yet and share enough lists with it. That is linear in the list, and a family of near copies falls into one class
    without its pairs.
-5. All group pairs that share enough lists, fit in size and position, and lie in different classes are
+5. All group pairs that share a list, fit in size, position and sketch, and lie in different classes are
    expanded to members and verified. Only pairs already known to be in one class are left out, so no class is missed.
+   Of each group's lists the two longest stay out here, which leaves linked sets one in common, and a pair that meets
+   on a list just before is passed over.
 
 Verification: a set's parity bitmap has about as many bits as the set has shingles, each bit telling whether an odd
 number of them fall on it. Two bitmaps differ in at most as many bits as the sets do in shingles, so pairs whose
 bitmaps differ too much can't link and their sets aren't fetched; of the others the whole sorted sets are
-intersected. Classes come from label propagation with pointer jumping; each round's
+intersected. A sketch is such a bitmap of fixed length, short enough to stand in the lists. Classes come from label propagation with pointer jumping; each round's
 labels are a table in the shared folder. Classes are of texts: rows with equal doc_ids share one only
 if their texts link. Null texts count as empty.
 """
@@ -31,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,8 @@ CACHED_WORDS = 100_000
 BATCH_ROWS = 1000  # texts or sets that pass to Python at a time
 LISTS_SHARED = 3  # inverted lists that two linked sets share, if the sets are that large
 SHARED_PART = 32  # the prefixes share one in so many of the shingles that linked sets must share
+SKETCH = [f"sketch{k}" for k in range(4)]  # words of 64 bits
+BEFORE = [f"before{k}" for k in range(2)]  # lists that a group is on just before this one
 FILTER_BITS = 24
 COMMON_BITS = 22  # shingles with over 1 / 2**(COMMON_BITS + 1) of all occurrences are common: that bounds their number
 COUNT_AT_ONCE = 1 << 21
@@ -113,9 +118,9 @@ def _signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _parity(shingles: np.ndarray) -> bytes:
-    """The set's parity bitmap: a power of two of bits, at least as many as shingles."""
-    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+def _parity(shingles: np.ndarray, bits: int = 0) -> bytes:
+    """The set's parity bitmap: a power of two of bits, at least as many as shingles unless ``bits`` is given."""
+    bits = bits or max(64, 1 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -223,7 +228,8 @@ def _ordered(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.
 
 
 def _prefixes(texts: DataFrame, spec: JoinSpec, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(set_key, size, family, prefix, bits), one row a set; ``family`` is equal for equal prefix and size."""
+    """(set_key, size, family, prefix, bits, *SKETCH), one row a set; ``family`` is equal for equal prefix and size."""
+    columns = ["set_key", "size", "family", "prefix", "bits", *SKETCH]
     shipped = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,14 +241,19 @@ def _prefixes(texts: DataFrame, spec: JoinSpec, common: tuple[np.ndarray, np.nda
                 if len(own):
                     front = _ordered(own, hashes, ranks)[: spec.prefix(len(own))]
                     family = xxhash.xxh3_64_intdigest(front.tobytes() + len(own).to_bytes(8, "little")) - (1 << 63)
-                    rows.append((_signature(own), len(own), family, front.view(np.int64), _parity(own)))
-            yield pd.DataFrame(rows, columns=["set_key", "size", "family", "prefix", "bits"])
+                    sketch = np.frombuffer(_parity(own, 64 * len(SKETCH)), "<i8")
+                    rows.append((_signature(own), len(own), family, front.view(np.int64), _parity(own), *sketch))
+            yield pd.DataFrame(rows, columns=columns)
 
     return (
         texts.select("body")
-        .mapInPandas(run, "set_key binary, size bigint, family bigint, prefix array<bigint>, bits binary")
+        .mapInPandas(
+            run,
+            "set_key binary, size bigint, family bigint, prefix array<bigint>, bits binary, "
+            + ", ".join(f"{c} bigint" for c in SKETCH),
+        )
         .groupBy("set_key")
-        .agg(*(F.any_value(c).alias(c) for c in ("size", "family", "prefix", "bits")))
+        .agg(*(F.any_value(c).alias(c) for c in columns[1:]))
     )
 
 
@@ -400,11 +411,12 @@ def _lists_shared(spec: JoinSpec, size: Column) -> Column:
 
 
 def _inverted(groups: DataFrame, spec: JoinSpec) -> DataFrame:
-    """The inverted lists (family, size, free, shingle, place) of groups (family, size, members, prefix).
+    """The inverted lists (family, size, free, shingle, place, early, *BEFORE) of groups (family, size, members, prefix).
 
     Prefix shingles of one group alone are in no set that may link: ``free`` is what can be shared at most. Linked sets
     share at least ``_needed`` of the other ones, so a group with fewer drops out, and of those in order of holders
-    all but the last ``_needed`` - LISTS_SHARED are enough to meet on LISTS_SHARED lists: the long lists stay out.
+    all but the last ``_needed`` - LISTS_SHARED are enough to meet on LISTS_SHARED lists: the long lists stay out. The
+    ``early`` ones are enough to meet on one. ``BEFORE`` are the group's lists that precede in that order.
     """
     entries = groups.select("family", "size", "members", F.posexplode("prefix").alias("place", "shingle"))
     # lists of one node, and of two that can't fit, make no pair
@@ -415,45 +427,61 @@ def _inverted(groups: DataFrame, spec: JoinSpec) -> DataFrame:
         .select("shingle", "holders")
     )
     size, needed = F.col("size"), _needed(spec, F.col("size"))
+    before = [f"if(i > {k}, met[i - {k + 1}].shingle, null) as {name}" for k, name in enumerate(BEFORE)]
+    lists = F.expr(f"transform(met, (e, i) -> struct(e.shingle, e.place, i <= last as early, {', '.join(before)}))")
     return (
         entries.drop("members")
         .join(several, "shingle")
         .groupBy("family", "size")
         .agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "place"))).alias("met"))
         .where(F.size("met") >= needed)
-        .select(
-            "family",
-            "size",
-            (_least(spec, size) - needed + F.size("met")).alias("free"),
-            F.explode(F.slice("met", F.lit(1), (F.size("met") - needed + _lists_shared(spec, size)).cast("int"))).alias("entry"),
-        )
-        .select("family", "size", "free", "entry.shingle", "entry.place")
+        .withColumn("last", F.size("met") - needed)
+        .withColumn("free", _least(spec, size) + F.col("last"))
+        .withColumn("met", F.slice("met", F.lit(1), (F.col("last") + _lists_shared(spec, size)).cast("int")))
+        .select("family", "size", "free", F.explode(lists).alias("entry"))
+        .select("family", "size", "free", "entry.*")
     )
 
 
-def _rest(listed: DataFrame, state: DataFrame, spec: JoinSpec) -> DataFrame:
-    """All pairs of members of group pairs that share a shingle, fit in size and position, and differ in class."""
-    sides = listed.join(state.select("family", "class").distinct(), "family")
+def _apart(x: str, y: str) -> Column:
+    """In how many shingles any member of one side differs from any of the other, at least: bits of the sketch that all
+    members of one have and none of the other."""
+    bits = [f"bit_count({a}.all_{c} & ~{b}.any_{c})" for c in SKETCH for a, b in ((x, y), (y, x))]
+    return F.expr(" + ".join(bits))
+
+
+def _rest(listed: DataFrame, state: DataFrame, sketches: DataFrame, spec: JoinSpec) -> DataFrame:
+    """All pairs of members of group pairs that share an early list, fit in size, position and sketch, and differ in class."""
+    sides = state.join(sketches, "node").groupBy("family", "class")
+    sides = sides.agg(*(f(c).alias(f"{name}_{c}") for c in SKETCH for name, f in (("all", F.bit_and), ("any", F.bit_or))))
+    sides = listed.where("early").drop("early").join(sides, "family")
     mixed = sides.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     sides = sides.join(mixed.select("shingle"), "shingle", "left_semi")
     x, y = sides.alias("x"), sides.alias("y")
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    both = F.col("x.size") + F.col("y.size")
     # at most what stands before in both prefixes, this shingle, and what follows in both
     reach = F.least("x.place", "y.place") + 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1
     reach = F.least(reach, "x.free", "y.free")
-    fits = 100 * reach >= spec.percent * (F.col("x.size") + F.col("y.size") - reach)
+    fits = 100 * reach >= spec.percent * (both - reach)
+    # the first list that two groups share has none before it
+    met_before = [F.coalesce(F.col(f"x.{a}") == F.col(f"y.{b}"), F.lit(False)) for a in BEFORE for b in BEFORE]
+    first = ~reduce(Column.__or__, met_before)
+    # the sets share at most half of what is not apart
+    shared = F.floor((both - _apart("x", "y")) / 2)
+    near = 100 * shared >= spec.percent * (both - shared)
     groups = (
-        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (100 * small >= spec.percent * large) & fits)
-        .select(
-            F.col("x.family").alias("fx"),
-            F.col("x.class").alias("cx"),
-            F.col("y.family").alias("fy"),
-            F.col("y.class").alias("cy"),
-            small.alias("small"),
+        x.join(
+            y,
+            (F.col("x.shingle") == F.col("y.shingle"))
+            & (F.col("x.class") < F.col("y.class"))
+            & (100 * small >= spec.percent * large)
+            & fits
+            & first
+            & near,
         )
-        .groupBy("fx", "cx", "fy", "cy")
-        .agg(F.count("*").alias("lists"), F.min("small").alias("small"))
-        .where(F.col("lists") >= _lists_shared(spec, F.col("small")))
+        .select(F.col("x.family").alias("fx"), F.col("x.class").alias("cx"), F.col("y.family").alias("fy"), F.col("y.class").alias("cy"))
+        .distinct()
     )
     one = state.select(F.col("family").alias("fx"), F.col("class").alias("cx"), F.col("node").alias("a"))
     other = state.select(F.col("family").alias("fy"), F.col("class").alias("cy"), F.col("node").alias("b"))
@@ -493,15 +521,16 @@ def classes(df: DataFrame, doc_key: str = "doc_id", text: str = "text", spec: Jo
     state = saved(
         prefixes.join(groups.select("family", "size", "lead"), ["family", "size"])
         .join(listed.select("family").distinct(), "family", "left_semi")
-        .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class"), "bits"),
+        .select("node", "first", "smallest", "set_key", "family", "size", "lead", F.col("node").alias("class"), "bits", *SKETCH),
         "near-state",
     )
-    bitmaps, state = state.select("node", "size", "bits"), state.drop("bits")
+    bitmaps, sketches = state.select("node", "size", "bits"), state.select("node", *SKETCH)
+    state = state.drop("bits", *SKETCH)
     rounds = [
         lambda s: s.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(_star(listed, s, spec, 0.0, 0)).distinct(),
         lambda s: _star(listed, s, spec, 0.5, 1),
         lambda s: _star(listed, s, spec, 0.0, 2),
-        lambda s: _rest(listed, s, spec),
+        lambda s: _rest(listed, s, sketches, spec),
     ]
     for pairs in rounds:
         links = _verified(pairs(state), texts, state, bitmaps, spec)
