@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -125,3 +126,30 @@ def test_unseen_texts_of_three_scripts_and_noise(spark):
     got = language.identify(spark.createDataFrame(unseen + noise, "want string, text string"), model).collect()
     assert all(r.language.lang == r.want and r.language.accepted and r.language.score > 0.5 for r in got if r.want != "und")
     assert not any(r.language.accepted for r in got if r.want == "und")
+
+
+def test_a_task_holds_little_of_many_texts():
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=5000)) for _ in range(60)]
+    reader = language.Reader(language.LanguageModel(["xx"], files=[{}], alphabet=27))
+    tracemalloc.start()
+    try:
+        costs, n = reader.costs(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n.tolist() == [len(t) + 1 for t in texts] and costs[:, 0] == pytest.approx(n * np.log(27))
+    assert peak < 120e6
+
+
+def test_counts_of_a_task_are_added_up(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [(("en", "de")[k % 2], " ".join(draw.choices(["ab", "bc", "cab"], k=300))) for k in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    want = {tuple(r) for r in language.count_grams(df).collect()}
+    monkeypatch.setattr(language, "AT_ONCE", 500)
+    assert {tuple(r) for r in language.count_grams(df).collect()} == want
+    monkeypatch.setattr(language, "GRAMS_HELD", 50)
+    monkeypatch.setattr(language, "ROWS_OUT", 7)
+    assert {tuple(r) for r in language.count_grams(df).collect()} == want

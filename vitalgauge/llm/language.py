@@ -32,14 +32,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import named, saved, shared_path, text_of
+from vitalgauge.llm.common import arrow_rows, named, saved, shared_path, text_of
 from vitalgauge.llm.token_files import _filesystem
 
 UNDETERMINED = "und"
 ORDER = 5
 SYMBOLS = [f"c{k}" for k in range(1, ORDER + 1)]
 CHUNK = 1 << 20
-AT_ONCE = 1 << 21  # symbols that a task looks at together
+AT_ONCE = 1 << 19  # symbols that a task looks at together
+GRAMS_HELD = 1 << 18  # distinct grams whose counts a task adds up before it passes them on
+ROWS_OUT = 1 << 15
+TEXTS = 1000  # texts that pass to Python at a time in training
 SECTION_BITS = 4
 DRAWN = 1 << 15  # unordered letters that are priced to find what they cost
 REMEMBERED = 1 << 22  # prices of grams that a worker keeps; the others are looked up again
@@ -83,6 +86,13 @@ class Grams:
     places: np.ndarray
     counts: np.ndarray
 
+    def added(self, other: Grams) -> Grams:
+        """The distinct grams of both with the sums of their counts, without places."""
+        every, first, rows = np.unique(np.concatenate([self.keys, other.keys]), return_index=True, return_inverse=True)
+        counts = np.zeros(len(every), np.int64)
+        np.add.at(counts, rows, np.concatenate([self.counts, other.counts]))
+        return Grams(every, np.concatenate([self.symbols, other.symbols])[first], self.places[:0], counts)
+
 
 def five_grams(pieces: list[np.ndarray]) -> Grams:
     """Of pieces that are not empty, each after four boundaries of its own."""
@@ -254,17 +264,24 @@ def count_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[np.ndarray]] = {}
+        found: dict[str, Grams] = {}
         size = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def gather() -> None:
             for name, pieces in held.items():
                 grams = five_grams(pieces)
-                own = pd.DataFrame(grams.symbols, columns=SYMBOLS)
-                own.insert(0, "lang", name)
-                own["n"] = grams.counts
-                yield own
+                found[name] = found[name].added(grams) if name in found else grams
             held.clear()
 
+        def flush() -> Iterator[pd.DataFrame]:
+            for name, grams in found.items():
+                for at in range(0, len(grams.keys), ROWS_OUT):
+                    own = pd.DataFrame(grams.symbols[at : at + ROWS_OUT], columns=SYMBOLS)
+                    own.insert(0, "lang", name)
+                    own["n"] = grams.counts[at : at + ROWS_OUT]
+                    yield own
+            found.clear()
+
         for batch in batches:
             for name, body in zip(batch["lang"], batch["body"], strict=True):
                 for piece in map(symbols_of, chunks(body)):
@@ -272,10 +289,12 @@ def count_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
                         held.setdefault(name, []).append(piece)
                         size += len(piece)
                     if size >= AT_ONCE:
-                        yield from flush()
+                        gather()
                         size = 0
-        if held:
-            yield from flush()
+                        if sum(len(grams.keys) for grams in found.values()) >= GRAMS_HELD:
+                            yield from flush()
+        gather()
+        yield from flush()
 
     return (
         named(df, lang=lang, body=text)
@@ -374,7 +393,8 @@ def _hash(symbols: list[str], *marks: Column) -> Column:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 2) -> LanguageModel:
     """Fit on every row with a text and a language. Five-grams with fewer than ``least`` occurrences are pruned."""
     spark = df.sparkSession
-    counts = saved(count_grams(df, text, lang), "language-counts")
+    with arrow_rows(spark, TEXTS):
+        counts = saved(count_grams(df, text, lang), "language-counts")
     tables = _orders(counts)
     discounts = saved(_discounts(tables), "language-discounts")
     alphabet = tables[1].select("c5").distinct().count() + 1
