@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vitalgauge.llm import quality
@@ -54,3 +55,17 @@ def test_same_model_over_all_partitionings(rated, bounds):
     else:
         whole = quality.train(docs, marks, 3)
         assert not np.array_equal(first.weights, whole.weights)
+
+
+def test_slots_come_out_of_arrow_in_one_piece():
+    draw = np.random.default_rng(5)
+    rows = [draw.integers(0, 1 << 10, k).astype(np.int32) for k in (3, 0, 7, 1, 0, 5)]
+    raw = [r.tobytes() for r in rows]
+    for chunks in ([raw], [raw[:2], [], raw[2:]], [[b""]], []):
+        table = pa.chunked_array([pa.array(c, pa.binary()) for c in chunks], pa.binary())
+        columns, lengths = quality._flat(table)
+        flat = [x for c in chunks for x in c]
+        assert columns.dtype == np.int32 and columns.tobytes() == b"".join(flat)
+        assert lengths.tolist() == [len(x) // 4 for x in flat]
+    sliced = pa.chunked_array([pa.array(raw, pa.binary()).slice(1, 4)])
+    assert quality._flat(sliced)[0].tobytes() == b"".join(raw[1:5])

@@ -209,8 +209,8 @@ def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         "near-counts",
     )
     every = totals.agg(F.sum("every")).first()[0] or 0
-    rows = totals.where(F.col("n") >= max(3, every >> (COMMON_BITS + 1))).select("shingle", "n").toPandas()
-    hashes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    rows = totals.where(F.col("n") >= max(3, every >> (COMMON_BITS + 1))).select("shingle", "n").toArrow()
+    hashes = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     ranks = np.empty(len(hashes), np.int64)
     ranks[np.lexsort((hashes, rows["n"].to_numpy()))] = np.arange(len(hashes))
     by_hash = np.argsort(hashes)

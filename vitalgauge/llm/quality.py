@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,33 +94,36 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS) -> OrdinalModel:
+    """``fit_columns`` of rows of slots."""
+    lengths = np.array([len(r) for r in rows], np.int64)
+    return fit_columns(np.concatenate([np.empty(0, np.int32), *rows], dtype=np.int32), lengths, grades, n_grades, bits)
+
+
+def fit_columns(columns: np.ndarray, lengths: np.ndarray, grades: np.ndarray, n_grades: int, bits: int = BITS) -> OrdinalModel:
     """Maximum likelihood with a small ridge by full-batch Adam; thresholds stay ordered by positive steps.
 
-    Holds one 32-bit number for each slot of the rows and works on TOGETHER of them (or one row) at a time.
+    ``columns`` has the 32-bit slots of one row after the other and is written over; the work goes on TOGETHER of them
+    (or one row) at a time.
     """
     counts = np.bincount(grades, minlength=n_grades).astype(float) if len(grades) else np.zeros(n_grades)
     below = np.cumsum(counts + 0.5)[:-1] / (counts.sum() + 0.5 * n_grades)
     start = np.log(below / (1 - below))
     weights = np.zeros(1 << bits)
-    if not len(rows) or (counts > 0).sum() < 2:
+    if not len(lengths) or (counts > 0).sum() < 2:
         return OrdinalModel(weights.astype(np.float32), start, bits)
-    lengths = np.array([len(r) for r in rows])
     ends = np.cumsum(lengths)
-    columns = np.empty(ends[-1], np.int32)
-    for row, end in zip(rows, ends, strict=True):
-        columns[end - len(row) : end] = row
     present = np.zeros(1 << bits, bool)
     present[columns] = True
     used = np.flatnonzero(present)
     numbers = np.cumsum(present, dtype=np.int32) - 1
     cuts_at = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], TOGETHER), side="right"))
-    spans = [(a, b, a and ends[a - 1], ends[b - 1]) for a, b in zip(cuts_at, [*cuts_at[1:], len(rows)], strict=True) if a < b]
+    spans = [(a, b, a and ends[a - 1], ends[b - 1]) for a, b in zip(cuts_at, [*cuts_at[1:], len(lengths)], strict=True) if a < b]
     for *_, i, j in spans:
         columns[i:j] = numbers[columns[i:j]]
     # theta: weights of the used slots, the first threshold, logs of the steps between thresholds
     theta = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    n, k = len(rows), n_grades - 1
+    n, k = len(lengths), n_grades - 1
     for step in range(1, EPOCHS + 1):
         grad = gradient(theta, columns, lengths, spans, grades, k) / n
         grad[: len(used)] += RIDGE * theta[: len(used)]
@@ -228,9 +232,23 @@ def train(
     )
     # at most max_rated rows, so one window over all of them is small
     so_far = F.sum(F.length("row.slots")).over(Window.orderBy(*order))
-    taken = sample.withColumn("so_far", so_far).where(F.col("so_far") <= 4 * max_slots).orderBy("id").select("row.*").toPandas()
-    rows = [np.frombuffer(raw, np.int32) for raw in taken.pop("slots")]
-    return fit_ordinal(rows, taken["grade"].to_numpy(int), n_grades, bits)
+    taken = sample.withColumn("so_far", so_far).where(F.col("so_far") <= 4 * max_slots).orderBy("id").select("row.*").toArrow()
+    grades = taken["grade"].to_numpy().astype(int)
+    columns, lengths = _flat(taken["slots"])
+    del taken
+    return fit_columns(columns, lengths, grades, n_grades, bits)
+
+
+def _flat(binaries: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers in binaries, one after the other, and how many each has; without an object for each."""
+    parts, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for chunk in binaries.cast(pa.large_binary()).chunks:
+        if len(chunk):
+            _, ends, raw = chunk.buffers()
+            ends = np.frombuffer(ends, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(raw or b"", np.int32, (ends[-1] - ends[0]) // 4, ends[0]))
+            lengths.append(np.diff(ends) // 4)
+    return np.concatenate(parts), np.concatenate(lengths)
 
 
 def score(df: DataFrame, model: OrdinalModel, text: str = "text", out: str = "quality") -> DataFrame:
