@@ -8,7 +8,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from vitalgauge.llm import near_join
+from vitalgauge.llm import common, language, near_join, pieces
 from vitalgauge.llm.near_join import JoinSpec
 
 
@@ -204,3 +204,16 @@ def test_each_stage_keeps_the_columns_and_drops_what_it_should(spark, tmp_path):
     assert 1003 not in {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, folder).collect()}
     out = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
     assert out <= good and 1001 not in out and len(out) >= 225
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    monkeypatch.setattr(common, "_WORKER_CACHES", dict(common._WORKER_CACHES))
+    for owner in ("pieces", "language", "near_join"):
+        assert common.worker_cache(owner, {}) is common._WORKER_CACHES[owner]
+    language.LanguageModel(["xx"], "none", files=[{}]).reader()
+    near_join.shingle_set("some words", 3)
+    assert language._READERS and near_join._HASHES
+    common.only("near_join")
+    assert near_join._HASHES and not language._READERS and not pieces._ENCODERS
+    common.only("quality")
+    assert not near_join._HASHES

@@ -42,6 +42,21 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+_WORKER_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, cache: dict) -> dict:
+    """Register what an operator keeps in a Python worker from one task to the next."""
+    return _WORKER_CACHES.setdefault(owner, cache)
+
+
+def only(owner: str) -> None:
+    """Called where a task of an operator begins: what other operators keep in this worker goes."""
+    for name, cache in _WORKER_CACHES.items():
+        if name != owner:
+            cache.clear()
+
+
 def text_of(column: str) -> Column:
     """The column as text; null counts as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

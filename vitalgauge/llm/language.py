@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import arrow_rows, named, saved, shared_path, text_of
+from vitalgauge.llm.common import arrow_rows, named, only, saved, shared_path, text_of, worker_cache
 from vitalgauge.llm.token_files import _filesystem
 
 UNDETERMINED = "und"
@@ -141,6 +141,7 @@ class LanguageModel:
     alphabet: int = 1  # symbols of all languages, and one for all others
 
     def reader(self) -> Reader:
+        only("language")
         if self.folder not in _READERS:
             _READERS.clear()
             _READERS[self.folder] = Reader(self)
@@ -247,7 +248,7 @@ class Reader:
         return total, n
 
 
-_READERS: dict[str, Reader] = {}
+_READERS: dict[str, Reader] = worker_cache("language", {})
 
 
 def _mapped(path: str, kind: str) -> np.ndarray:
@@ -263,6 +264,7 @@ def count_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     """(lang, c1 .. c5, n) over all texts with a language; tasks add up their own before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("language")
         held: dict[str, list[np.ndarray]] = {}
         found: dict[str, Grams] = {}
         size = 0

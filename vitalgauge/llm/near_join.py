@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgauge.llm import common as shared_folder
-from vitalgauge.llm.common import arrow_rows, named, slices
+from vitalgauge.llm.common import arrow_rows, named, only, slices, worker_cache
 
 CACHED_WORDS = 100_000
 BATCH_ROWS = 1000  # texts or sets that pass to Python at a time
@@ -85,7 +85,7 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
+_HASHES = worker_cache("near_join", _Hashes())
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -140,6 +140,7 @@ def _first_pass(texts: DataFrame, spec: JoinSpec) -> DataFrame:
     and (shingle, n, every), counts of shingles that are frequent among the last some millions, of ``every`` seen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("near_join")
         held: list[np.ndarray] = []
         size = 0
         for part in slices(batches):

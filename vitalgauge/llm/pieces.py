@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import named, text_of
+from vitalgauge.llm.common import named, only, text_of, worker_cache
 
 MARK = "▁"
 OWN_MARK = "\ud800"  # stands for a mark in the text while the lattice is built; no text and no piece has it
@@ -424,11 +424,12 @@ class Encoder:
         return out[1:] if out.startswith(" ") else out
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = worker_cache("pieces", {})
 
 
 def encoder_for(model: str, n_best: int) -> Encoder:
     """One encoder for each Python worker, so that later tasks find the words of earlier ones."""
+    only("pieces")
     key = (model, n_best)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(Pieces.load(model), n_best)

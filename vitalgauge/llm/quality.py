@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalgauge.llm.common import named, text_of
+from vitalgauge.llm.common import named, only, text_of
 
 BITS = 19
 MAX_RATED = 12_000
@@ -217,6 +217,7 @@ def train(
 
     @F.pandas_udf("binary")
     def features(texts: pd.Series) -> pd.Series:
+        only("quality")
         return texts.map(lambda t: slots(t, bits).tobytes())
 
     order = [F.xxhash64("id"), "id"]
@@ -260,6 +261,7 @@ def score(df: DataFrame, model: OrdinalModel, text: str = "text", out: str = "qu
 
     @F.pandas_udf("expected double, tails array<double>")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only("quality")
         model = shipped.value
         weights, bits = model.weights.astype(float), model.bits
         whole, heads = _Weights(lambda w: weights[word_slots(w, bits)[0]]), _Weights(lambda w: weights[word_slots(w, bits)[1]])
