@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -217,3 +219,38 @@ def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
     assert near_join._HASHES and not language._READERS and not pieces._ENCODERS
     common.only("quality")
     assert not near_join._HASHES
+
+
+def test_free_memory_goes_back_to_the_system():
+    def anonymous():
+        rows = dict(line.split(":") for line in Path("/proc/self/smaps_rollup").read_text().splitlines()[1:])
+        return int(rows["Anonymous"].split()[0]) // 1024
+
+    words = [f"{k:050d}" for k in range(1_000_000)]
+    held = [words[k] + "." for k in range(0, len(words), 2)]
+    sets = [np.arange(2_000, dtype=np.uint64) for _ in range(6_000)]
+    guard = np.arange(2_000, dtype=np.uint64)  # what stands above keeps malloc from giving back what is free below
+    before = anonymous()
+    del sets
+    common.only("near_join")
+    assert before - anonymous() >= 60
+    assert len(held) and len(guard)
+
+
+def test_jobs_with_small_batches_also_read_few_rows_at_a_time(spark):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(key) for key in keys]
+    with pytest.raises(ZeroDivisionError), common.arrow_rows(spark, 77):
+        assert [spark.conf.get(key) for key in keys] == ["77", "77"]
+        raise ZeroDivisionError
+    assert [spark.conf.get(key) for key in keys] == before
+
+
+def test_the_encoder_holds_few_texts_as_objects(spark, monkeypatch):
+    texts = [f"word{k} and “marks” ▁ {k * k}" if k % 7 else "" for k in range(1201)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(pieces.F, "pandas_udf", None)  # it would make an object of every text of an Arrow batch
+    encoder = pieces.Encoder(pieces.Pieces.load(pieces.default_model()))
+    for row in pieces.encode(docs).select("doc_id", "encoded.*").collect():
+        ids, score, runner_up = encoder.encode(texts[row.doc_id])
+        assert (row.ids, row.n_pieces, row.score, row.runner_up) == (ids.tolist(), len(ids), score, runner_up)

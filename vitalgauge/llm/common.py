@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +34,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs started inside pass at most so many rows at a time between Spark and Python: both sides hold little."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Jobs started inside read and pass to Python at most so many rows at a time: both sides hold little."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: spark.conf.get(key) for key in keys}
     try:
+        for key in keys:
+            spark.conf.set(key, str(rows))
         yield
     finally:
-        spark.conf.set(key, before)
+        for key in keys:
+            spark.conf.set(key, before[key])
 
 
 _WORKER_CACHES: dict[str, dict] = {}
@@ -55,6 +59,17 @@ def only(owner: str) -> None:
     for name, cache in _WORKER_CACHES.items():
         if name != owner:
             cache.clear()
+    give_back()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system: Arrow's pool and malloc would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_of(column: str) -> Column:
@@ -67,6 +82,7 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows]
+        give_back()
 
 
 def named(df: DataFrame, **columns: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import named
+from vitalgauge.llm.common import named, only
 
 RATE = 0.05
 MIN_CHARS = 40
@@ -167,6 +167,7 @@ def find_items(
         shipped = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            only("decontaminate")
             matcher = Matcher(shipped.value, rate, min_chars)
             for batch in batches:
                 rows = [(d, *hit) for d, body in zip(batch["doc_id"], batch["body"], strict=True) for hit in matcher.find(body)]
@@ -201,6 +202,7 @@ def contaminated(
 
         @F.pandas_udf("boolean")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            only("decontaminate")
             matcher = Matcher(shipped.value, rate, min_chars)
             for texts in batches:
                 yield texts.map(lambda t: bool(matcher.find(t))).astype(bool)

@@ -24,17 +24,18 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgauge.llm.common import named, only, text_of, worker_cache
+from vitalgauge.llm.common import give_back, named, only, text_of, worker_cache
 
 MARK = "▁"
 OWN_MARK = "\ud800"  # stands for a mark in the text while the lattice is built; no text and no piece has it
-CACHED = 300_000  # words kept; the first ones seen are the common ones
+CACHED = 150_000  # words kept; the first ones seen are the common ones
 LONGEST_CACHED = 48
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-TOGETHER = 1_000_000  # characters of texts whose new words are solved together
+TOGETHER = 200_000  # characters of texts whose new words are solved together
 ROWS = 500  # texts whose results a task holds at a time
 MICRO = 1_000_000
 BYTE_PENALTY = 4 * MICRO
@@ -446,19 +447,22 @@ def encode(
     """
     path = model or default_model()
 
-    @F.pandas_udf("ids array<int>, n_pieces bigint, score bigint, runner_up bigint")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # Arrow in and out: only ROWS texts at a time become Python's
+    @F.arrow_udf("ids array<int>, n_pieces bigint, score bigint, runner_up bigint")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoder_for(path, 2)
-        for texts in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
-            rows = list(encoder.encode_all(list(texts)))
-            yield pd.DataFrame(
-                {
-                    "ids": [r[0] for r in rows],
-                    "n_pieces": [len(r[0]) for r in rows],
-                    "score": [r[1] for r in rows],
-                    "runner_up": pd.array([r[2] for r in rows], "Int64"),
-                }
-            )
+        for texts in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
+            ids, scores, runners_up = zip(*encoder.encode_all(texts.to_pylist()), strict=True)
+            sizes = np.array([len(i) for i in ids], np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            columns = {
+                "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32())),
+                "n_pieces": pa.array(sizes),
+                "score": pa.array(scores, pa.int64()),
+                "runner_up": pa.array(runners_up, pa.int64()),
+            }
+            yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+            give_back()
 
     return df.withColumn(out, run(text_of(text)))
 
