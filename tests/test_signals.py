@@ -9,12 +9,14 @@ import random
 
 import pytest
 from builders import NOW, event
+from pyspark.sql import functions as F
 
 from vitalgauge.operators import alerts as A
 from vitalgauge.operators import identity as ID
 from vitalgauge.operators import ingest as IN
 from vitalgauge.operators import retention as RT
 from vitalgauge.operators import traces as TR
+from vitalgauge.plans import ingest_queries as IQ
 from vitalgauge.sources import line_batches as LB
 from vitalgauge.sources import protobuf_batches as PB
 
@@ -249,6 +251,89 @@ def test_length_prefixed_frames(spark):
                    ("good", 1, None), ("zero", 0, "INVALID_FRAME")]
 
 
+def python_inputs(df):
+    """What the Python steps of a plan read, outermost first."""
+    found, nodes = [], [df._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+        if node.nodeName().startswith("MapIn"):
+            rows = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(
+                df.sparkSession._jsparkSession, node.child())
+            found.append(type(df)(rows, df.sparkSession))
+    return found
+
+
+def test_python_reads_small_rows_of_large_protobuf_batches(spark):
+    """An Arrow batch has 10,000 rows: neither a body nor the events of a batch may stand in one."""
+    events = spark.range(20_000).selectExpr(
+        "if(id < 19000, 'long', 'short-' || id) AS source", "if(id < 19000, 'b1', 'b' || id) AS batch_id",
+        "named_struct('id', id, 'event_id', 'e' || id, 'timestamp', id, 'module', 'm', 'name', 'n',"
+        " 'kind', 'METRIC', 'severity', 'INFO', 'priority', 'NORMAL', 'process_name', 'p',"
+        " 'thread_name', 't', 'app_version', '1', 'k', '7') AS e")
+    batches = events.groupBy("source", "batch_id").agg(F.array_sort(F.collect_list("e")).alias("events"))
+    batches = batches.unionByName(batches.limit(1).selectExpr(
+        "'empty' AS source", "'b0' AS batch_id", "slice(events, 1, 0) AS events"))
+    decoded = PB.decode_protobuf_batches(IQ.encode_envelopes(batches), enveloped=True)
+    inputs = python_inputs(decoded)
+    assert len(inputs) == 2
+    for rows in inputs:
+        size = rows.selectExpr(f"max(length(to_json(struct({', '.join(rows.columns)}))))").first()[0]
+        assert size < 2_000
+    got = decoded.selectExpr(
+        "source", "batch_id", "event_index", "event_id", "timestamp", "typed_fields['k'].value AS k",
+        "occurrence.service_version AS app_version", "decode_error").collect()
+    want = [("empty", "b0", 0, None, None, None, None, "EMPTY_BATCH")]
+    want += [("long", "b1", i, f"e{i}", i, "7", "1", None) for i in range(19_000)]
+    want += [(f"short-{i}", f"b{i}", 0, f"e{i}", i, "7", "1", None) for i in range(19_000, 20_000)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_protobuf_values_and_broken_bodies(spark):
+    classes = PB.message_classes()
+
+    def sent(size):
+        e = classes["Event"](timestamp=-7, event_id="e", module="\u00fc" * size, foreground=True)
+        e.fields["a"], e.fields["b"], e.extras["x"] = "1", "", "\u20ac"
+        e.typed_fields["t"].type = "INT"
+        e.occurrence.installation_id, e.occurrence.session_id = "i", ""
+        e.occurrence.native_frames.add(abi="arm", module_relative_pc=2**64 - 1)
+        e.occurrence.native_frames.add(abi="x86", load_bias=0)
+        return e
+
+    plain = classes["Event"](event_id="p", scene="s")
+    envelope = classes["Envelope"](schema_version=3, batch_id="b", events=[sent(1), plain, sent(300_000)])
+    bodies = [("all", envelope.SerializeToString()), ("exact", plain.SerializeToString() + b"\0"), ("none", b""), ("null", None)]
+    df = spark.createDataFrame(bodies, "source string, body binary").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        rows = {(r["source"], r["event_index"]): r for r in PB.decode_protobuf_batches(df, enveloped=True).collect()}
+        frames = PB.decode_protobuf_batches(
+            spark.createDataFrame([("empty", b""), ("null", None)], df.schema), enveloped=False).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {k: r["decode_error"] for k, r in rows.items()} == {
+        ("all", 0): None, ("all", 1): None, ("all", 2): None, ("exact", 0): "INVALID_ENVELOPE",
+        ("none", 0): "EMPTY_BATCH", ("null", 0): "INVALID_ENVELOPE"}
+    for index, size in ((0, 1), (2, 300_000)):
+        r = rows["all", index].asDict(recursive=True)
+        assert (r["timestamp"], r["module"], r["foreground"], r["scene"]) == (-7, "\u00fc" * size, True, None)
+        assert (r["schema_version"], r["batch_id"], r["sent_at_ms"], r["service_name"]) == ("3", "b", 0, "")
+        assert (r["fields"], r["extras"], r["global_context"]) == ({"a": "1", "b": ""}, {"x": "\u20ac"}, {})
+        assert r["typed_fields"] == {"t": {"type": "INT", "value": ""}}
+        o = r["occurrence"]
+        assert (o["installation_id"], o["session_id"], o["device_model"], o["variant"]) == ("i", "", None, "")
+        assert [(f["abi"], f["module_relative_pc"], f["load_bias"]) for f in o["native_frames"]] == [
+            ("arm", 2**64 - 1, None), ("x86", 0, 0)]
+    assert (rows["all", 1]["scene"], rows["all", 1]["occurrence"], rows["all", 1]["fields"]) == ("s", None, {})
+    assert (rows["none", 0]["schema_version"], rows["null", 0]["schema_version"]) == ("0", None)
+    assert rows["none", 0]["fields"] is None and rows["exact", 0]["event_id"] is None
+    assert [r["decode_error"] for r in frames] == ["EMPTY_BATCH"] * 2
+
+
 def test_expired_fields_after_pruning(inbox):
     df = inbox(event("crash", "java_crash", scene="Home",
                      fields={"stackTrace": "x", "threadName": "main"}),

@@ -9,9 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import attrgetter
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # message: (number, name, type, label); types are scalars, "map" or a message name.
 MESSAGES = {
@@ -69,12 +75,14 @@ EVENT_SCHEMA = (
     f" global_context map<string,string>, extras map<string,string>, occurrence {OCCURRENCE},"
     " decode_error string"
 )
-_COLUMNS = [part.split()[0] for part in (
-    "source schema_version sdk_name sdk_version batch_id sent_at_ms service_name service_version"
-    " deployment_environment resource_installation_id event_index timestamp event_id module name"
-    " kind severity priority process_name thread_name scene foreground fields typed_fields"
-    " global_context extras occurrence decode_error").split()]
+_HEAD = (
+    "source", "schema_version", "sdk_name", "sdk_version", "batch_id", "sent_at_ms", "service_name",
+    "service_version", "deployment_environment", "resource_installation_id",
+)
+# Results leave when there are so many rows or bytes; bodies come in pieces, 10,000 to an Arrow batch.
 _ROWS_PER_FRAME = 2_000
+_BYTES_PER_FRAME = 1 << 20
+_PIECE_BYTES = 1_024
 
 
 @lru_cache(maxsize=1)
@@ -126,111 +134,166 @@ def message_classes() -> dict:
     }
 
 
-def _optional(message, name: str):
-    return getattr(message, name) if message.HasField(name) else None
-
-
-def _occurrence(o) -> dict:
-    return {
-        "service_version": o.service_version, "version_code": o.version_code,
-        "app_build": o.app_build, "variant": o.variant, "installation_id": o.installation_id,
-        "session_id": _optional(o, "session_id"),
-        "device_model": _optional(o, "device_model"),
-        "os_version": _optional(o, "os_version"),
-        "native_frames": [
-            {
-                "abi": f.abi, "module_build_id": f.module_build_id, "module_name": f.module_name,
-                "module_relative_pc": _decimal(f.module_relative_pc),
-                "load_bias": _decimal(_optional(f, "load_bias")),
-            }
-            for f in o.native_frames
-        ],
-    }
+def _array(messages: list, name: str, kind: str, label: str, to: pa.DataType) -> pa.Array:
+    """One field of many messages as an Arrow array of type ``to``."""
+    get = attrgetter(name)
+    if kind == "map" or label == "repeated":
+        found, ends = [], [0]
+        for entries in map(get, messages):
+            if entries:
+                found.extend(entries.items() if kind == "map" else entries)
+            ends.append(len(found))
+        offsets = pa.array(ends, pa.int32())
+        if kind != "map":
+            return pa.ListArray.from_arrays(offsets, _struct(found, kind, to.value_type), type=to)
+        values = [value for _, value in found]
+        values = _struct(values, label, to.item_type) if label in MESSAGES else pa.array(values, to.item_type)
+        return pa.MapArray.from_arrays(offsets, pa.array([key for key, _ in found], to.key_type), values, type=to)
+    if kind in MESSAGES:
+        has = [m.HasField(name) for m in messages]
+        return _spread(_struct([get(m) for m, h in zip(messages, has) if h], kind, to), has)
+    if label == "optional":
+        values = [get(m) if m.HasField(name) else None for m in messages]
+    else:
+        values = list(map(get, messages))
+    # decimals hold unsigned numbers
+    return pa.array(values, pa.uint64()).cast(to) if kind == "uint64" else pa.array(values, to)
+
+
+def _struct(messages: list, kind: str, to: pa.StructType) -> pa.StructArray:
+    layout = {name: field for _, name, *field in MESSAGES[kind]}
+    return pa.StructArray.from_arrays(
+        [_array(messages, f.name, *layout[f.name], f.type) for f in to], fields=list(to)
+    )
 
 
-def _decimal(value):
-    from decimal import Decimal
+def _spread(values: pa.Array, has: list[bool]) -> pa.Array:
+    """The values in order where ``has`` is true, nulls elsewhere."""
+    if all(has):
+        return values
+    if not len(values):
+        return pa.nulls(len(has), values.type)
+    return values.take(pa.array([at - 1 if h else None for at, h in zip(accumulate(has), has)], pa.int32()))
 
-    return None if value is None else Decimal(value)
 
+class _Row(NamedTuple):
+    """An event of a batch, or the error that ends it; ``size`` is about its bytes."""
 
-def _event(e, index: int) -> dict:
-    return {
-        "event_index": index, "timestamp": e.timestamp, "event_id": e.event_id,
-        "module": e.module, "name": e.name, "kind": e.kind, "severity": e.severity,
-        "priority": e.priority, "process_name": e.process_name, "thread_name": e.thread_name,
-        "scene": e.scene or None, "foreground": e.foreground, "fields": dict(e.fields),
-        "typed_fields": {
-            key: {"type": v.type, "value": v.value} for key, v in e.typed_fields.items()
-        },
-        "global_context": dict(e.global_context), "extras": dict(e.extras),
-        "occurrence": _occurrence(e.occurrence) if e.HasField("occurrence") else None,
-        "decode_error": None,
-    }
+    head: tuple
+    index: int
+    event: object
+    error: str | None
+    size: int
 
 
-def _frames(body: bytes) -> Iterator[dict]:
+def _frames(source: str, body: bytes | None) -> Iterator[_Row]:
     """Events of big-endian length-prefixed frames; the first broken frame ends the batch."""
     decode = message_classes()["Event"].FromString
+    head = (source, *[None] * (len(_HEAD) - 1))
     at, index = 0, 0
     if not body:
-        yield {"event_index": 0, "decode_error": "EMPTY_BATCH"}
+        yield _Row(head, 0, None, "EMPTY_BATCH", 0)
+        return
     while at < len(body):
         end = at + LENGTH_BYTES + int.from_bytes(body[at : at + LENGTH_BYTES], "big")
         start, at = at + LENGTH_BYTES, end
         if start > len(body) or end <= start or end > len(body):
-            yield {"event_index": index, "decode_error": "INVALID_FRAME"}
+            yield _Row(head, index, None, "INVALID_FRAME", 0)
             return
         try:
-            yield _event(decode(body[start:end]), index)
+            event = decode(body[start:end])
         except Exception:  # noqa: BLE001 - any parse failure rejects the frame
-            yield {"event_index": index, "decode_error": "INVALID_MESSAGE"}
+            yield _Row(head, index, None, "INVALID_MESSAGE", 0)
             return
+        yield _Row(head, index, event, None, end - start)
         index += 1
 
 
-def _envelope(body: bytes) -> Iterator[dict]:
+def _envelope(source: str, body: bytes | None) -> Iterator[_Row]:
+    """Events of an envelope; every row repeats the head."""
     try:
         envelope = message_classes()["Envelope"].FromString(body)
     except Exception:  # noqa: BLE001 - any parse failure rejects the envelope
-        yield {"event_index": 0, "decode_error": "INVALID_ENVELOPE"}
+        yield _Row((source, *[None] * (len(_HEAD) - 1)), 0, None, "INVALID_ENVELOPE", 0)
         return
-    head = {
-        "schema_version": str(envelope.schema_version), "sdk_name": envelope.sdk_name,
-        "sdk_version": envelope.sdk_version, "batch_id": envelope.batch_id,
-        "sent_at_ms": envelope.sent_at_ms, "service_name": envelope.resource.service_name,
-        "service_version": envelope.resource.service_version,
-        "deployment_environment": envelope.resource.deployment_environment,
-        "resource_installation_id": envelope.resource.installation_id,
-    }
+    resource = envelope.resource
+    head = (
+        source, str(envelope.schema_version), envelope.sdk_name, envelope.sdk_version,
+        envelope.batch_id, envelope.sent_at_ms, resource.service_name, resource.service_version,
+        resource.deployment_environment, resource.installation_id,
+    )
+    size = sum(len(value) for value in head if isinstance(value, str))
     if not envelope.events:
-        yield {**head, "event_index": 0, "decode_error": "EMPTY_BATCH"}
+        yield _Row(head, 0, None, "EMPTY_BATCH", size)
+        return
+    size += len(body) // len(envelope.events)
     for index, event in enumerate(envelope.events):
-        yield {**head, **_event(event, index)}
+        yield _Row(head, index, event, None, size)
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
+    """``(source, body)`` put together from the pieces, which follow each other."""
+    held = bytearray()
+    for batch in batches:
+        for source, size, piece in zip(*batch.columns):
+            if not size.is_valid:
+                yield source.as_py(), None
+                continue
+            held += piece.as_buffer()
+            if len(held) == size.as_py():
+                yield source.as_py(), bytes(held)
+                held = bytearray()
 
 
 def decode_protobuf_batches(batches: DataFrame, enveloped: bool) -> DataFrame:
-    """Events of ``(source, body)`` rows; a broken body yields one row with ``decode_error``."""
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[dict] = []
-        for frame in frames:
-            for source, body in zip(frame["source"], frame["body"]):
-                for row in _envelope(body) if enveloped else _frames(body):
-                    rows.append({"source": source, **row})
-                    if len(rows) >= _ROWS_PER_FRAME:
-                        yield _to_frame(rows)
-                        rows = []
+    """Events of ``(source, body)`` rows; a broken body yields one row with ``decode_error``.
+
+    Python gets a body in rows of a kilobyte, so that Arrow batches stay small however large bodies
+    are; a task holds one body and the rows of a megabyte at a time.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(EVENT_SCHEMA))
+    pieces = batches.selectExpr(
+        "source",
+        "octet_length(body) AS size",
+        f"explode_outer(transform(sequence(0, greatest(octet_length(body) - 1, 0) div {_PIECE_BYTES}),"
+        f" i -> substring(body, cast(i * {_PIECE_BYTES} + 1 AS int), {_PIECE_BYTES}))) AS piece",
+    )
+
+    def decode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[_Row] = []
+        held = 0
+        for source, body in _bodies(frames):
+            for row in _envelope(source, body) if enveloped else _frames(source, body):
+                rows.append(row)
+                held += row.size
+                if len(rows) >= _ROWS_PER_FRAME or held >= _BYTES_PER_FRAME:
+                    yield _to_batch(rows, schema)
+                    rows, held = [], 0
         if rows:
-            yield _to_frame(rows)
+            yield _to_batch(rows, schema)
 
-    return batches.select("source", "body").mapInPandas(decode, EVENT_SCHEMA)
+    return pieces.mapInArrow(decode, EVENT_SCHEMA)
 
 
-def _to_frame(rows: list[dict]) -> pd.DataFrame:
-    # Object columns keep missing values as nulls instead of turning integers into floats.
-    columns = {c: pd.Series([row.get(c) for row in rows], dtype=object) for c in _COLUMNS}
-    return pd.DataFrame(columns)
+def _to_batch(rows: list[_Row], schema: pa.Schema) -> pa.RecordBatch:
+    heads, at = [], []
+    for row in rows:
+        if not heads or row.head is not heads[-1]:
+            heads.append(row.head)
+        at.append(len(heads) - 1)
+    at = pa.array(at, pa.int32())
+    columns = {
+        name: pa.array(values, schema.field(name).type).take(at) for name, values in zip(_HEAD, zip(*heads))
+    }
+    events = [row.event for row in rows if row.event is not None]
+    has = [row.event is not None for row in rows]
+    for _, name, kind, label in MESSAGES["Event"]:
+        columns[name] = _spread(_array(events, name, kind, label, schema.field(name).type), has)
+    scene = columns["scene"]
+    columns["scene"] = pc.if_else(pc.equal(scene, ""), pa.scalar(None, scene.type), scene)
+    columns["event_index"] = pa.array([row.index for row in rows], pa.int32())
+    columns["decode_error"] = pa.array([row.error for row in rows], pa.string())
+    return pa.RecordBatch.from_arrays([columns[name] for name in schema.names], schema=schema)
 
 
 def check_envelopes(
